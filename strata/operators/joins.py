@@ -14,6 +14,17 @@ from strata.operators.scd2 import END, START
 #: beyond it the facts' distinct (key, day) pairs are resolved first.
 RANGE_JOIN_VERSIONS = 32
 
+#: Row bound for broadcasting the few narrow columns of a dimension (a few dozen bytes per row).
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow frame only after counting that it stays within the bound.
+
+    Counting stops at the bound. A larger frame is returned unhinted and joined by shuffle.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
 def pit_join(
     fact: DataFrame,
@@ -38,11 +49,15 @@ def pit_join(
     ``strategy`` is ``"range"`` (join on the key, range as join condition), ``"asof"`` (resolve
     the distinct (key, day) pairs of the facts in one pass over a merged timeline, then join on
     equality) or ``"auto"``, which counts the versions per key of the dimension to choose: a key
-    with very many versions would otherwise be compared with every fact row of that key.
+    with very many versions would otherwise be compared with every fact row of that key. The
+    count also decides whether the dimension is small enough to broadcast.
     """
     versions = _half_open(dim, on, sk, closed, start, end)
     if strategy == "auto":
-        strategy = "range" if _most_versions(versions, on) <= RANGE_JOIN_VERSIONS else "asof"
+        most, total = _version_counts(versions, on)
+        strategy = "range" if most <= RANGE_JOIN_VERSIONS else "asof"
+        if strategy == "range" and total <= BROADCAST_ROWS:
+            versions = F.broadcast(versions)
     if strategy == "range":
         return _range_join(fact, versions, on, date_col, sk)
     if strategy == "asof":
@@ -66,9 +81,11 @@ def _half_open(
     ).where("_from < _until")
 
 
-def _most_versions(versions: DataFrame, on: list[str]) -> int:
+def _version_counts(versions: DataFrame, on: list[str]) -> tuple[int, int]:
+    """The most versions of any key, and all versions."""
     per_key = versions.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(F.max("n")).first()[0] or 0
+    most, total = per_key.agg(F.max("n"), F.sum("n")).first()
+    return most or 0, total or 0
 
 
 def _range_join(
@@ -125,11 +142,9 @@ def _asof_join(
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Current-value left join to a dimension that is unique on ``on``.
-
-    No broadcast hint: Spark broadcasts the dimension only while its measured size allows it.
-    """
-    return fact.join(dim.select(*on, *columns), on, "left").select(*fact.columns, *columns)
+    """Current-value left join to a dimension that is unique on ``on``."""
+    values = broadcast_if_small(dim.select(*on, *columns))
+    return fact.join(values, on, "left").select(*fact.columns, *columns)
 
 
 def inherit_keys(

@@ -213,6 +213,7 @@ class Tables:
         partition_by: Iterable[str] = (),
         metrics: Iterable[Column] = (),
         drop_accepted: Iterable[str] = (),
+        consumed: Iterable[str] = (),
     ) -> Written:
         """Append one frame to two tables in a single pass, split by the boolean column ``flag``.
 
@@ -242,7 +243,7 @@ class Tables:
                     dirs=(*(state.dirs if state else ()), *mine),
                     schema=columns,
                     partition_by=partition_by,
-                    consumed=state.consumed if state else (),
+                    consumed=(*(state.consumed if state else ()), *consumed),
                 ),
             )
         return Written(generation, observed)
