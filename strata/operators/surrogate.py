@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import shared_folder
+from strata.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id(): partition number above, row number below
 
@@ -19,21 +19,20 @@ def dense_sk(
 ) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` in the order of ``order_by``.
 
-    The rows are range-partitioned and sorted, each row's place inside its partition is frozen
-    in a checkpoint, and the partition sizes (one number per partition) give the offsets.
+    The rows are range-partitioned and sorted, each row's place inside its partition is written
+    down with it, and the partition sizes (one number per partition) give the offsets.
     ``order_by`` has to be unique for the numbering to be reproducible. Range bounds use all the
     order columns, so many rows that share the first one are still spread over partitions.
     """
-    shared_folder(df.sparkSession)
     spread = (
         df.repartitionByRange(partitions, *order_by)
         if partitions
         else df.repartitionByRange(*order_by)
     )
-    placed = (
-        spread.sortWithinPartitions(*order_by)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
+    placed = materialize(
+        spread.sortWithinPartitions(*order_by).withColumn(
+            "_place", F.monotonically_increasing_id()
+        )
     )
     part = F.shiftright("_place", _ROW_BITS).cast("int")
     row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
@@ -43,6 +42,6 @@ def dense_sk(
         offsets.append(total)
         total += sizes.get(p, 0)
     if not offsets:
-        return placed.withColumn("_place", F.col("_place")).withColumnRenamed("_place", name)
+        return placed.withColumnRenamed("_place", name)
     offset = F.element_at(F.lit(offsets).cast("array<bigint>"), part + 1)
     return placed.withColumn(name, offset + row).drop("_place")

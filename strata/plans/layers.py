@@ -308,14 +308,19 @@ GOLD_PARTITIONS = {
 GOLD_CLUSTERS = {"fact_sales": ["customer_sk", "product_sk"]}
 
 
-def build_gold(tables: Tables, name: str) -> dict[str, object]:
-    """Build and publish one gold table; without its inputs it is skipped with zero rows."""
+def build_gold(
+    tables: Tables, name: str, partitions: dict[str, list[str]] = GOLD_PARTITIONS
+) -> dict[str, object]:
+    """Build and publish one gold table; without its inputs it is skipped with zero rows.
+
+    ``partitions`` may name another layout, e.g. none for facts with few rows per day.
+    """
     missing = [f"{layer}.{t}" for layer, t in GOLD_INPUTS[name] if not tables.exists(layer, t)]
     if missing:
         return {"table_name": name, "row_count": 0, "skipped": f"not built yet: {', '.join(missing)}"}
     inputs = [tables.read(layer, table) for layer, table in GOLD_INPUTS[name]]
     built = star.dim_date(tables.spark) if name == "dim_date" else getattr(star, name)(*inputs)
-    partition_by = GOLD_PARTITIONS.get(name, [])
+    partition_by = partitions.get(name, [])
     rows = F.count(F.lit(1)).alias("row_count")
     if name in GOLD_CLUSTERS:
         written = write_clustered(
@@ -328,9 +333,13 @@ def build_gold(tables: Tables, name: str) -> dict[str, object]:
     return {"table_name": name, "row_count": written.metrics["row_count"], "skipped": None}
 
 
-def run_gold(tables: Tables, names: Iterable[str] = tuple(GOLD_INPUTS)) -> dict[str, dict]:
+def run_gold(
+    tables: Tables,
+    names: Iterable[str] = tuple(GOLD_INPUTS),
+    partitions: dict[str, list[str]] = GOLD_PARTITIONS,
+) -> dict[str, dict]:
     """All gold tables in dependency order."""
-    return {name: build_gold(tables, name) for name in names}
+    return {name: build_gold(tables, name, partitions) for name in names}
 
 
 def write_clustered(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "16g") -> SparkSession:
@@ -39,3 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, so lost executors cost nothing that was done before, but
+    as Parquet: later steps read only the columns they need and plan with the real size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/strata/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

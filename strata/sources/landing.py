@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,14 +51,16 @@ def tag_metadata(
     df: DataFrame,
     batch_id: str | None = None,
     ingest_ts: dt.datetime | None = None,
-    source: str | None = None,
+    source: str | Column | None = None,
 ) -> DataFrame:
     """Add the four audit columns, the same literals for all rows of a run.
 
-    ``_source_file`` is the file a row was read from, or ``source`` for frames without files.
+    ``_source_file`` is the file a row was read from, unless ``source`` says otherwise.
     """
     moment = ingest_ts or dt.datetime.now(dt.timezone.utc)
-    file = F.lit(source) if source is not None else F.col("_metadata.file_path")
+    if source is None:
+        source = F.col("_metadata.file_path")
+    file = source if isinstance(source, Column) else F.lit(source)
     return df.withColumns(
         {
             SOURCE_FILE: file,

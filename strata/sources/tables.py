@@ -12,6 +12,7 @@ there is no log and no concurrency control beyond that.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -27,8 +28,12 @@ DIRECTORY = "_directory"
 
 @dataclass(frozen=True)
 class Published:
-    """One published state: ``dirs`` are relative to ``base``; ``consumed`` is the ledger of
-    source generations this state already includes."""
+    """One published state.
+
+    ``dirs`` are the partition directories, relative to ``base``; ``sizes`` says how many of them
+    each generation has on disk. ``consumed`` is the ledger of source generations this state
+    already includes.
+    """
 
     version: int
     base: str
@@ -36,6 +41,14 @@ class Published:
     schema: T.StructType
     partition_by: tuple[str, ...] = ()
     consumed: tuple[str, ...] = ()
+    sizes: dict[str, int] = field(default_factory=dict)
+
+    def paths(self, dirs: list[str]) -> list[str]:
+        """Paths to scan for ``dirs``: a generation that is needed whole is named once."""
+        wanted = Counter(generation_of(d) for d in dirs)
+        whole = {g for g, n in wanted.items() if n == self.sizes.get(g)}
+        parts = [d for d in dirs if generation_of(d) not in whole]
+        return [f"{self.base}/{d}" for d in [*sorted(whole), *parts]]
 
 
 @dataclass(frozen=True)
@@ -94,6 +107,7 @@ class Tables:
             schema=T.StructType.fromJson(state["schema"]),
             partition_by=tuple(state["partition_by"]),
             consumed=tuple(state["consumed"]),
+            sizes=state["sizes"],
         )
 
     def _publish(self, layer: str, table: str, state: Published) -> None:
@@ -106,6 +120,7 @@ class Tables:
                 "schema": state.schema.jsonValue(),
                 "partition_by": list(state.partition_by),
                 "consumed": list(state.consumed),
+                "sizes": {g: state.sizes[g] for g in {generation_of(d) for d in state.dirs}},
             }
         )
         fs = self._fs()
@@ -155,7 +170,7 @@ class Tables:
         rows = (
             self.spark.read.schema(state.schema)
             .option("basePath", state.base)
-            .parquet(*[f"{state.base}/{d}" for d in dirs])
+            .parquet(*state.paths(dirs))
         )
         if with_directory:
             inside = F.regexp_extract("_metadata.file_path", rf"({GEN}=\d+(?:/[^/]+=[^/]+)*)/[^/]+$", 1)
@@ -197,6 +212,7 @@ class Tables:
                 schema=_nullable(df.schema),
                 partition_by=partition_by,
                 consumed=tuple(dict.fromkeys([*(state.consumed if state else ()), *consumed])),
+                sizes={**(state.sizes if state else {}), generation: len(written)},
             ),
         )
         return Written(generation, observed)
@@ -244,6 +260,7 @@ class Tables:
                     schema=columns,
                     partition_by=partition_by,
                     consumed=(*(state.consumed if state else ()), *consumed),
+                    sizes={**(state.sizes if state else {}), generation: len(leaves)},
                 ),
             )
         return Written(generation, observed)
@@ -276,18 +293,16 @@ class Tables:
         )
 
     def prune(self, layer: str, table: str) -> list[str]:
-        """Delete generations of this table that no published table refers to any more.
+        """Delete generations of this table that are not published any more.
+
+        A bronze generation also holds the rejects that the quarantine table publishes.
 
         Call it only when no reader is still using an earlier publication.
         """
         base = self.base(layer, table)
-        used = {
-            generation_of(d)
-            for other in LAYERS
-            for t in self.list(other)
-            if (state := self.published(other, t)).base == base
-            for d in state.dirs
-        }
+        sharing = [(layer, table), ("quarantine", table)] if layer == "bronze" else [(layer, table)]
+        states = [state for address in sharing if (state := self.published(*address))]
+        used = {generation_of(d) for state in states if state.base == base for d in state.dirs}
         stale = [n for n in self._children(base) if n.startswith(f"{GEN}=") and n not in used]
         for name in stale:
             self._fs().delete(self._path(f"{base}/{name}"), True)
@@ -307,6 +322,7 @@ class Tables:
                 schema=state.schema,
                 partition_by=state.partition_by,
                 consumed=tuple(dict.fromkeys([*state.consumed, *consumed])),
+                sizes=state.sizes,
             ),
         )
 

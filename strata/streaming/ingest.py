@@ -5,17 +5,18 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.plans.layers import refine_dimension, refine_fact, store_bronze
-from strata.sources.landing import CORRUPT, tag_metadata
+from strata.sources.landing import CORRUPT, SOURCE_FILE, tag_metadata
 from strata.sources.tables import Tables
 from strata.spec import TableSpec
 
 
 def stream_landing(tables: Tables, spec: TableSpec, landing: str) -> DataFrame:
-    """The landing folder as a streaming frame; malformed rows keep their text."""
+    """The landing folder as a streaming frame with the file of each row."""
     schema = T.StructType([*spec.schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     return (
         tables.spark.readStream.option("header", True)
@@ -24,6 +25,7 @@ def stream_landing(tables: Tables, spec: TableSpec, landing: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", CORRUPT)
         .schema(schema)
         .csv(landing)
+        .withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     )
 
 
@@ -47,7 +49,7 @@ def stream_ingest(
         if state is None or mark not in state.consumed:
             moment = dt.datetime.combine(as_of, dt.time(tzinfo=dt.timezone.utc))
             moment += dt.timedelta(microseconds=number)
-            tagged = tag_metadata(batch, mark, moment)
+            tagged = tag_metadata(batch, mark, moment, F.col(SOURCE_FILE))
             store_bronze(tables, spec, tagged, as_of, consumed=[mark])
         if refine:
             step = refine_dimension if spec.keeps_history else refine_fact
