@@ -125,7 +125,11 @@ def scd2_merge(
     as_of: dt.date,
     initial_start: dt.date | None = None,
 ) -> DataFrame:
-    """The whole history table after one batch; the target itself if nothing changed."""
+    """The whole history table after one batch; the target itself if nothing changed.
+
+    Publish or materialize the result before merging the next batch: the plan reads the target
+    several times, so a chain of unwritten merges would grow with every step.
+    """
     if target is None:
         return scd2_initial(source, key, tracked, sk, as_of, initial_start)
     change = scd2_change(
