@@ -110,10 +110,13 @@ def _asof_join(
     The distinct (key, day) pairs collapse before they are shuffled, so the timeline of a key
     has at most one row per day for its facts and one per version, however hot the key is. The
     facts then meet at most one row per (key, day); a hot pair is left to AQE's skew split.
+
+    The facts are read twice. Neither reading filters NULLs (they find no version anyway, and the
+    last join is NULL-safe for that reason), so both can share the shuffles that produced them.
     """
+    versions = versions.where(~any_null(on))
     asked = (
-        fact.where(~any_null([*on, date_col]))
-        .select(*on, F.col(date_col).cast("date").alias("_day"))
+        fact.select(*on, F.col(date_col).cast("date").alias("_day"))
         .distinct()
         .withColumn("_asked", F.lit(1))
     )
@@ -134,8 +137,8 @@ def _asof_join(
         .where((F.col("_asked") == 1) & (F.col("_day") < F.col("_version.until")))
         .select(*on, "_day", F.col("_version.sk").alias(sk))
     )
-    matches = [F.col(f"f.{k}") == F.col(f"r.{k}") for k in on]
-    same_day = F.col(f"f.{date_col}").cast("date") == F.col("r._day")
+    matches = [F.col(f"f.{k}").eqNullSafe(F.col(f"r.{k}")) for k in on]
+    same_day = F.col(f"f.{date_col}").cast("date").eqNullSafe(F.col("r._day"))
     return (
         fact.alias("f").join(resolved.alias("r"), [*matches, same_day], "left").select("f.*", f"r.{sk}")
     )

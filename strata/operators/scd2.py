@@ -29,16 +29,24 @@ def version_history(history: DataFrame, key: list[str]) -> DataFrame:
     return history.withColumn("version", F.row_number().over(oldest_first))
 
 
-def as_versions(df: DataFrame, tracked: list[str], start: Column) -> DataFrame:
-    """New open versions of the rows, without a surrogate key yet."""
-    return df.withColumns(
-        {
-            HASH: row_hash(tracked),
-            START: start.cast("date"),
-            END: F.lit(None).cast("date"),
-            CURRENT: F.lit(True),
-        }
+def _open_versions(
+    df: DataFrame,
+    tracked: list[str],
+    sk: str,
+    start: Column,
+    order_by: list[str],
+    first_sk: int = 0,
+    end: Column | None = None,
+) -> DataFrame:
+    """The rows as versions with surrogate keys from ``first_sk`` on, in ``order_by`` order.
+
+    The hash is added after the numbering, which reads its input twice.
+    """
+    end = (F.lit(None) if end is None else end).cast("date")
+    dated = df.withColumns({START: start.cast("date"), END: end}).withColumn(
+        CURRENT, F.col(END).isNull()
     )
+    return dense_sk(dated, order_by, sk, first_sk).withColumn(HASH, row_hash(tracked))
 
 
 def scd2_initial(
@@ -50,8 +58,7 @@ def scd2_initial(
     initial_start: dt.date | None = None,
 ) -> DataFrame:
     """First load: every row is current from ``initial_start`` (default: the load day) on."""
-    opened = as_versions(source, tracked, F.lit(initial_start or as_of))
-    return dense_sk(opened, order_by=list(key), name=sk)
+    return _open_versions(source, tracked, sk, F.lit(initial_start or as_of), list(key))
 
 
 def scd2_diff(
@@ -99,9 +106,7 @@ def scd2_change(
     ``source`` is unique on the key; keys that are missing from it stay as they are.
     """
     fresh = scd2_diff(source, current, key, tracked)
-    opened = dense_sk(
-        as_versions(fresh, tracked, F.lit(as_of)), order_by=list(key), name=sk, start=next_sk
-    )
+    opened = _open_versions(fresh, tracked, sk, F.lit(as_of), list(key), next_sk)
     if opened.isEmpty():
         return None
     changed = opened.select(*key)
@@ -170,11 +175,8 @@ def scd2_rebuild(
         .where(~same)
         .drop("_nth", *before)
     )
-    opened = as_versions(changes, tracked, F.col(day)).withColumn(
-        END, F.lead(day).over(by_day).cast("date")
-    )
-    versions = dense_sk(
-        opened.withColumn(CURRENT, F.col(END).isNull()), order_by=[START, *key], name=sk
+    versions = _open_versions(
+        changes, tracked, sk, F.col(day), [START, *key], end=F.lead(day).over(by_day)
     )
     if initial_start is None:
         return versions

@@ -293,7 +293,7 @@ class Tables:
         )
 
     def prune(self, layer: str, table: str) -> list[str]:
-        """Delete generations of this table that are not published any more.
+        """Delete publications before the last and generations that it does not name.
 
         A bronze generation also holds the rejects that the quarantine table publishes.
 
@@ -306,6 +306,8 @@ class Tables:
         stale = [n for n in self._children(base) if n.startswith(f"{GEN}=") and n not in used]
         for name in stale:
             self._fs().delete(self._path(f"{base}/{name}"), True)
+        for older in [n for n in self._children(f"{base}/_published") if n.endswith(".json")][:-1]:
+            self._fs().delete(self._path(f"{base}/_published/{older}"), False)
         return stale
 
     # -- helpers --------------------------------------------------------------------
@@ -362,13 +364,21 @@ def touched_directories(
 ) -> set[str]:
     """Published directories of ``rows`` (read ``with_directory``) that hold a key of ``source``.
 
-    Only the key columns are read. A partition column that is part of the key first cuts the
-    scan to the partition values of the source. The result has at most one entry per directory.
+    Only the key columns are read, and of those only row groups within the source's least and
+    greatest keys. A partition column that is part of the key cuts the scan to the partition
+    values of the source. The result has at most one entry per directory.
     """
     for column in partition_by:
         if column in key:
             values = [row[0] for row in source.select(column).distinct().collect()]
             rows = rows.where(F.col(column).isin(values))
+    bounds = source.agg(
+        *[F.min(k).alias(f"lo_{i}") for i, k in enumerate(key)],
+        *[F.max(k).alias(f"hi_{i}") for i, k in enumerate(key)],
+    ).first()
+    for i, k in enumerate(key):
+        if bounds[f"lo_{i}"] is not None:
+            rows = rows.where(F.col(k).between(bounds[f"lo_{i}"], bounds[f"hi_{i}"]))
     hit = rows.select(*key, DIRECTORY).join(source.select(*key), key, "left_semi")
     return {unquote(row[0]) for row in hit.select(DIRECTORY).distinct().collect()}
 
