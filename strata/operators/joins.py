@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import any_null, open_end
+from strata.functions.columns import OPEN_END, any_null, open_end
+from strata.operators.dedup import dedup_latest
 from strata.operators.scd2 import END, START
 
 #: Up to this many versions per key a range condition on the key join is the cheapest plan;
@@ -197,3 +198,57 @@ def fk_audit(fact: DataFrame, fact_name: str, references: dict[str, DataFrame])
             )
         )
     return reduce(DataFrame.unionByName, audits)
+
+
+def live_interval(
+    fact: DataFrame,
+    intervals: DataFrame,
+    on: list[str],
+    date_col: str,
+    start: str,
+    end: str,
+    best: list[Column],
+    values: list[str],
+) -> DataFrame:
+    """Add the best of the intervals (both ends included) that cover a fact's key and day.
+
+    Intervals of a key may overlap, in any number. They are cut at month borders and met with
+    the facts' distinct (key, day) pairs by key and month, so only what shares a month is
+    compared; the best one, by the sort columns ``best``, is picked per pair before the facts are
+    joined. Every fact row stays once, with NULLs where no interval covers it.
+    """
+    asked = fact.select(*on, F.col(date_col).cast("date").alias("_day")).distinct()
+    first, last = asked.agg(F.min("_day"), F.max("_day")).first()
+    if first is None:
+        first = last = OPEN_END
+    # Only months that occur among the facts matter, which also bounds open intervals.
+    begins = F.greatest(F.trunc(start, "month"), F.trunc(F.lit(first), "month"))
+    until = F.least(open_end(F.col(end)), F.lit(last))
+    months = (
+        intervals.where((F.col(start) <= F.lit(last)) & (open_end(F.col(end)) >= F.lit(first)))
+        .where(F.col(start) <= open_end(F.col(end)))
+        .withColumn("_month", F.explode(F.sequence(begins, until, F.expr("INTERVAL 1 MONTH"))))
+    )
+    matches = [F.col(f"a.{k}") == F.col(f"i.{k}") for k in on]
+    covered = (
+        asked.withColumn("_month", F.trunc("_day", "month"))
+        .alias("a")
+        .join(
+            months.alias("i"),
+            [
+                *matches,
+                F.col("a._month") == F.col("i._month"),
+                F.col("a._day") >= F.col(f"i.{start}"),
+                F.col("a._day") <= open_end(F.col(f"i.{end}")),
+            ],
+        )
+        .select(*[f"a.{k}" for k in on], "a._day", *[f"i.{v}" for v in values])
+    )
+    chosen = dedup_latest(covered, [*on, "_day"], best, tie_break=values)
+    matches = [F.col(f"f.{k}") == F.col(f"c.{k}") for k in on]
+    same_day = F.col(f"f.{date_col}").cast("date") == F.col("c._day")
+    return (
+        fact.alias("f")
+        .join(chosen.alias("c"), [*matches, same_day], "left")
+        .select("f.*", *[f"c.{v}" for v in values])
+    )

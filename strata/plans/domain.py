@@ -24,12 +24,12 @@ def _day(column: str) -> Column:
     return F.col(column).cast("date")
 
 
-def latest_lines(spark: SparkSession, folder: str) -> DataFrame:
+def latest_lines(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     """One row per order and line number: the one shipped last."""
     return dedup_latest(
         given(spark, folder, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-            "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
+            "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate", *more,
         ),
         ["l_orderkey", "l_linenumber"],
         ["l_shipdate"],
@@ -207,3 +207,15 @@ def promotions(spark: SparkSession, folder: str) -> DataFrame:
         F.date_add(start, F.col("p_size")).alias("end_date"),
         (F.col("p_size") / F.lit(100.0)).alias("discount_pct"),
     )
+
+
+def offers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line's discount on offer for its part from shipping on, for a day per piece."""
+    start = _day("l_shipdate")
+    return latest_lines(spark, folder, "l_discount").select(
+        _line_id("O").alias("promo_id"),
+        _text("l_partkey").alias("stock_code"),
+        start.alias("start_date"),
+        F.date_add(start, F.col("l_quantity").cast("int")).alias("end_date"),
+        F.col("l_discount").alias("discount_pct"),
+    )

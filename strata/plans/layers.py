@@ -26,6 +26,7 @@ from strata.sources.landing import (
     read_landing,
     tag_metadata,
 )
+from strata.session import materialize, temporary_steps
 from strata.sources.tables import Tables, generation_of, touched_directories
 from strata.spec import TableSpec
 
@@ -81,29 +82,30 @@ def ingest_bronze(
     reads the whole folder again. The file list is recorded after the data: should a run stop in
     between, the files are read twice and the duplicates fall to the next layer's deduplication.
     """
-    files = list_files(tables.spark, landing)
-    ledger = f"{spec.name}_files"
-    if only_new_files and tables.exists("bronze", ledger):
-        seen = tables.read("bronze", ledger)
-        files = files.join(seen, [SOURCE_FILE, "modified"], "left_anti")
-    # One entry per new file; a scan needs the paths on the driver in any case.
-    found = files.collect()
-    if not found:
-        return _counts(spec.name, "bronze", [], {})
-    paths = [row[SOURCE_FILE] for row in found]
-    raw = read_landing(tables.spark, paths, spec.schema, on_bad)
-    if on_bad == "fail":
-        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
-    moment = dt.datetime.combine(as_of, dt.datetime.now(dt.timezone.utc).timetz())
-    tagged = tag_metadata(raw, batch_id or str(uuid.uuid4()), moment)
-    result = store_bronze(tables, spec, tagged, as_of)
-    tables.append(
-        tables.spark.createDataFrame(found, files.schema).withColumn(INGEST_DATE, F.lit(as_of)),
-        "bronze",
-        ledger,
-        partition_by=[INGEST_DATE],
-    )
-    return result
+    with temporary_steps(tables.spark):
+        files = list_files(tables.spark, landing)
+        ledger = f"{spec.name}_files"
+        if only_new_files and tables.exists("bronze", ledger):
+            seen = tables.read("bronze", ledger)
+            files = files.join(seen, [SOURCE_FILE, "modified"], "left_anti")
+        files = materialize(files)
+        # A scan needs the path of every file on the driver in any case.
+        paths = [row[0] for row in files.select(SOURCE_FILE).collect()]
+        if not paths:
+            return _counts(spec.name, "bronze", [], {})
+        raw = read_landing(tables.spark, paths, spec.schema, on_bad)
+        if on_bad == "fail":
+            raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+        moment = dt.datetime.combine(as_of, dt.datetime.now(dt.timezone.utc).timetz())
+        tagged = tag_metadata(raw, batch_id or str(uuid.uuid4()), moment)
+        result = store_bronze(tables, spec, tagged, as_of)
+        tables.append(
+            files.withColumn(INGEST_DATE, F.lit(as_of)),
+            "bronze",
+            ledger,
+            partition_by=[INGEST_DATE],
+        )
+        return result
 
 
 def run_bronze(
@@ -238,24 +240,25 @@ def refine_dimension(
     valid = _split_stage(tables, spec, staged, counts)
     key, tracked, sk = list(spec.business_key), list(spec.tracked_columns), spec.surrogate_key_col
     options = {"partition_by": [CURRENT], "consumed": pending}
-    if not tables.exists("silver", spec.name):
-        opened = scd2_initial(valid, key, tracked, sk, as_of, initial_start)
-        tables.write(opened, "silver", spec.name, **options)
-        return counts
-    is_current = f"{CURRENT}=true"
-    current = tables.read("silver", spec.name, only=lambda d: is_current in d.split("/"))
-    change = scd2_change(valid, current, key, tracked, sk, as_of, next_surrogate(current, sk))
-    if change is None:
-        tables.mark_consumed("silver", spec.name, pending)
+    with temporary_steps(tables.spark):
+        if not tables.exists("silver", spec.name):
+            opened = scd2_initial(valid, key, tracked, sk, as_of, initial_start)
+            tables.write(opened, "silver", spec.name, **options)
+            return counts
+        is_current = f"{CURRENT}=true"
+        current = tables.read("silver", spec.name, only=lambda d: is_current in d.split("/"))
+        change = scd2_change(valid, current, key, tracked, sk, as_of, next_surrogate(current, sk))
+        if change is None:
+            tables.mark_consumed("silver", spec.name, pending)
+            return counts
+        tables.write(
+            change.kept.unionByName(change.closed).unionByName(change.opened),
+            "silver",
+            spec.name,
+            keep=lambda d: is_current not in d.split("/"),
+            **options,
+        )
         return counts
-    tables.write(
-        change.kept.unionByName(change.closed).unionByName(change.opened),
-        "silver",
-        spec.name,
-        keep=lambda d: is_current not in d.split("/"),
-        **options,
-    )
-    return counts
 
 
 def run_silver(
@@ -318,18 +321,19 @@ def build_gold(
     missing = [f"{layer}.{t}" for layer, t in GOLD_INPUTS[name] if not tables.exists(layer, t)]
     if missing:
         return {"table_name": name, "row_count": 0, "skipped": f"not built yet: {', '.join(missing)}"}
-    inputs = [tables.read(layer, table) for layer, table in GOLD_INPUTS[name]]
-    built = star.dim_date(tables.spark) if name == "dim_date" else getattr(star, name)(*inputs)
     partition_by = partitions.get(name, [])
     rows = F.count(F.lit(1)).alias("row_count")
-    if name in GOLD_CLUSTERS:
-        written = write_clustered(
-            tables, built, "gold", name, GOLD_CLUSTERS[name], partition_by, metrics=[rows]
-        )
-    else:
-        written = tables.write(
-            _sized(built, partition_by), "gold", name, partition_by=partition_by, metrics=[rows]
-        )
+    with temporary_steps(tables.spark):
+        inputs = [tables.read(layer, table) for layer, table in GOLD_INPUTS[name]]
+        built = star.dim_date(tables.spark) if name == "dim_date" else getattr(star, name)(*inputs)
+        if name in GOLD_CLUSTERS:
+            columns = GOLD_CLUSTERS[name]
+            written = write_clustered(
+                tables, built, "gold", name, columns, partition_by, metrics=[rows]
+            )
+        else:
+            built = _sized(built, partition_by)
+            written = tables.write(built, "gold", name, partition_by=partition_by, metrics=[rows])
     return {"table_name": name, "row_count": written.metrics["row_count"], "skipped": None}
 
 
@@ -354,20 +358,17 @@ def write_clustered(
 ):
     """Replace a table with files clustered on ``columns`` inside its partitions.
 
-    The frame is written once as it comes and clustered from there: bounds, range sampling and
-    the final write would each repeat the joins that produced it.
+    The frame is materialized and clustered from there: bounds, range sampling and the final
+    write would each repeat the joins that produced it.
     """
-    staged_name = f"{table}_unclustered"
-    tables.write(df, "stage", staged_name)
-    tables.prune("stage", staged_name)
-    staged = tables.read("stage", staged_name)
-    return tables.write(
-        cluster(staged, columns, list(partition_by), partitions),
-        layer,
-        table,
-        partition_by=partition_by,
-        metrics=metrics,
-    )
+    with temporary_steps(tables.spark):
+        return tables.write(
+            cluster(materialize(df), columns, list(partition_by), partitions),
+            layer,
+            table,
+            partition_by=partition_by,
+            metrics=metrics,
+        )
 
 
 # -- reprocessing and metrics -----------------------------------------------------------

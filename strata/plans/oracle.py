@@ -429,6 +429,26 @@ FROM returns r LEFT JOIN firsts f ON r.original_invoice_id = f.invoice_id""",
 SELECT m.promo_id, p.product_sk, m.start_date, m.start_date + m.p_size AS end_date, m.discount_pct
 FROM promotions m LEFT JOIN product_history p
   ON m.stock_code = p.stock_code AND {valid_on('p', 'm.start_date')}""",
+    "promotions_at_sale": with_(SALES)
+    + """, last_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+          ORDER BY l_shipdate DESC NULLS LAST, l_partkey DESC NULLS LAST,
+                   l_suppkey DESC NULLS LAST, l_quantity DESC NULLS LAST,
+                   l_extendedprice DESC NULLS LAST, l_returnflag DESC NULLS LAST,
+                   l_linestatus DESC NULLS LAST, l_discount DESC NULLS LAST) AS rn FROM lineitem),
+offers AS (
+  SELECT 'O' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS promo_id,
+         CAST(l_partkey AS VARCHAR) AS stock_code, CAST(l_shipdate AS DATE) AS start_date,
+         CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS end_date,
+         l_discount AS discount_pct
+  FROM last_lines WHERE rn = 1),
+ranked AS (
+  SELECT s.invoice_id, s.stock_code, s.sale_date, o.promo_id, o.discount_pct,
+         row_number() OVER (PARTITION BY s.invoice_id, s.stock_code
+           ORDER BY o.discount_pct DESC NULLS LAST, o.promo_id NULLS LAST) AS best
+  FROM sales s LEFT JOIN offers o
+    ON s.stock_code = o.stock_code AND s.sale_date BETWEEN o.start_date AND o.end_date)
+SELECT invoice_id, stock_code, sale_date, promo_id, discount_pct FROM ranked WHERE best = 1""",
     "foreign_keys": with_(FACT_SALES)
     + """SELECT 'fact_sales' AS fact_name, 'customer_sk' AS key_column,
                 count(*) AS fact_rows, count(*) - count(customer_sk) AS unresolved_rows,

@@ -481,6 +481,12 @@ def bridge_promotions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def promotions_at_sale(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales with the best of the overlapping offers for their part on the day of sale."""
+    return star.sales_promotions(domain.sales(spark, folder), domain.offers(spark, folder))
+
+
 @query
 def foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
     sold, customer, product = _fact_sales(spark, folder)

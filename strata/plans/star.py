@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.columns import date_key
-from strata.operators.joins import inherit_keys, lookup, pit_join
+from strata.operators.joins import inherit_keys, live_interval, lookup, pit_join
 from strata.operators.surrogate import dense_sk
 
 
@@ -150,3 +150,18 @@ def bridge_promotions(
     """Promotions with the product version valid on their first day."""
     keyed = pit_join(promotions, product, ["stock_code"], "start_date", "product_sk", closed, strategy)
     return keyed.select("promo_id", "product_sk", "start_date", "end_date", "discount_pct")
+
+
+def sales_promotions(sales: DataFrame, promotions: DataFrame) -> DataFrame:
+    """Sales with the promotion live on their day; the highest discount, then the smaller id."""
+    keyed = live_interval(
+        sales,
+        promotions,
+        ["stock_code"],
+        "sale_date",
+        "start_date",
+        "end_date",
+        best=[F.desc_nulls_last("discount_pct"), F.asc_nulls_last("promo_id")],
+        values=["promo_id", "discount_pct"],
+    )
+    return keyed.select("invoice_id", "stock_code", "sale_date", "promo_id", "discount_pct")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_steps: list[str] = []
+
+
+@contextmanager
+def temporary_steps(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialize`` writes inside the block, once the block has published it."""
+    before = len(_steps)
+    yield
+    for path in _steps[before:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(folder, True)
+    del _steps[before:]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -49,5 +66,6 @@ def materialize(df: DataFrame) -> DataFrame:
     as Parquet: later steps read only the columns they need and plan with the real size.
     """
     path = f"{shared_folder(df.sparkSession)}/strata/steps/{uuid.uuid4().hex}"
+    _steps.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,14 @@ import pytest
 from conftest import as_rows
 from pyspark.sql import functions as F
 
-from strata.operators.joins import broadcast_if_small, fk_audit, inherit_keys, lookup, pit_join
+from strata.operators.joins import (
+    broadcast_if_small,
+    fk_audit,
+    inherit_keys,
+    live_interval,
+    lookup,
+    pit_join,
+)
 
 DIM = (
     "customer_sk string, customer_id string, country string, effective_start_date date, "
@@ -177,3 +184,37 @@ def test_many_versions_choose_the_asof_plan(spark):
     )
     plan = resolve(fact, dim)._jdf.queryExecution().toString()
     assert "last(_version" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_best_live_interval_against_brute_force(frame):
+    """Overlapping, open, empty and unrelated intervals; one key holds most of both sides."""
+    pick, start = random.Random(11), dt.date(2026, 1, 1)
+    day = lambda n: str(start + dt.timedelta(days=n))
+    promos = []
+    for i in range(120):
+        begin, length = pick.randrange(-60, 150), pick.randrange(-2, 70)
+        end = None if i % 17 == 0 else day(begin + length)
+        promos.append((f"p{i:03}", "hot" if i % 3 else "b", day(begin), end, pick.choice([0.1, 0.2])))
+    facts = [
+        (f"i{i}", None if i % 29 == 0 else pick.choice(["hot", "hot", "b", "c"]),
+         None if i % 31 == 0 else day(pick.randrange(0, 100)))
+        for i in range(300)
+    ]
+    expected = []
+    for invoice, code, when in facts:
+        live = [
+            (-p[4], p[0]) for p in promos
+            if code and when and p[1] == code and p[2] <= when and (p[3] is None or when <= p[3])
+        ]
+        expected.append((invoice, min(live)[1] if live else None))
+    fact = frame("invoice_id string, stock_code string, sale_date date", *facts)
+    promo = frame("promo_id string, stock_code string, start_date date, end_date date, pct double", *promos)
+
+    def run(some_facts):
+        return live_interval(
+            some_facts, promo, ["stock_code"], "sale_date", "start_date", "end_date",
+            [F.desc("pct"), F.asc("promo_id")], ["promo_id", "pct"],
+        )
+
+    assert as_rows(run(fact), "invoice_id", "promo_id") == sorted(expected, key=repr)
+    assert run(fact.limit(0)).isEmpty()
