@@ -45,3 +45,18 @@ def dense_sk(
         return placed.withColumnRenamed("_place", name)
     offset = F.element_at(F.lit(offsets).cast("array<bigint>"), part + 1)
     return placed.withColumn(name, offset + row).drop("_place")
+
+
+def stable_sk(
+    df: DataFrame, key: list[str], name: str, previous: DataFrame | None = None
+) -> DataFrame:
+    """Number the rows like ``dense_sk``, but let keys numbered in ``previous`` keep their number.
+
+    ``df`` and ``previous`` have one row per key; new keys are numbered above the greatest.
+    """
+    if previous is None:
+        return dense_sk(df, list(key), name)
+    known = previous.select(*key, name)
+    first = known.agg(F.coalesce(F.max(name) + 1, F.lit(0))).first()[0]
+    fresh = dense_sk(df.join(known, key, "left_anti").select(*df.columns), list(key), name, first)
+    return df.join(known, key).select(*df.columns, name).unionByName(fresh)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from strata.operators.incremental import read_incremental
 from strata.operators.layout import cluster
 from strata.operators.merge import merge_upsert
 from strata.operators.quality import FAILED, HEALTHY_PASS_RATE, rule_counts, validate
-from strata.operators.scd2 import CURRENT, next_surrogate, scd2_change, scd2_initial
+from strata.operators.scd2 import CURRENT, START, next_surrogate, scd2_change, scd2_initial
 from strata.plans import star
 from strata.sources.landing import (
     CORRUPT,
@@ -27,7 +27,7 @@ from strata.sources.landing import (
     tag_metadata,
 )
 from strata.session import materialize, temporary_steps
-from strata.sources.tables import Tables, generation_of, touched_directories
+from strata.sources.tables import Tables, Written, generation_of, touched_directories
 from strata.spec import TableSpec
 
 OK = "_dq_ok"
@@ -311,39 +311,134 @@ GOLD_PARTITIONS = {
 GOLD_CLUSTERS = {"fact_sales": ["customer_sk", "product_sk"]}
 
 
+#: Gold dimensions that show a silver history as it is.
+GOLD_SHOWN = ("dim_customer", "dim_product")
+
+#: Gold dimensions whose surrogate keys survive a rebuild.
+GOLD_NUMBERED = ("dim_store", "dim_supplier")
+
+#: Surrogate key of each dimension that facts refer to.
+GOLD_KEYS = {"dim_customer": "customer_sk", "dim_product": "product_sk", "dim_store": "store_sk"}
+
+
 def build_gold(
-    tables: Tables, name: str, partitions: dict[str, list[str]] = GOLD_PARTITIONS
+    tables: Tables,
+    name: str,
+    partitions: dict[str, list[str]] = GOLD_PARTITIONS,
+    incremental: bool = False,
 ) -> dict[str, object]:
     """Build and publish one gold table; without its inputs it is skipped with zero rows.
 
-    ``partitions`` may name another layout, e.g. none for facts with few rows per day.
+    ``partitions`` may name another layout, e.g. none for facts with few rows per day. With
+    ``incremental`` a fact partitioned by day rebuilds only the days that can have changed, see
+    ``days_to_rebuild``; the result is the same.
     """
     missing = [f"{layer}.{t}" for layer, t in GOLD_INPUTS[name] if not tables.exists(layer, t)]
     if missing:
-        return {"table_name": name, "row_count": 0, "skipped": f"not built yet: {', '.join(missing)}"}
-    partition_by = partitions.get(name, [])
-    rows = F.count(F.lit(1)).alias("row_count")
+        return _built(name, 0, f"not built yet: {', '.join(missing)}")
+    if name in GOLD_SHOWN:
+        tables.publish_as(GOLD_INPUTS[name][0], "gold", name)
+        return _built(name, tables.read("gold", name).count())
+    layout = partitions.get(name, [])
+    stale = days_to_rebuild(tables, name, layout) if incremental else None
+    keep = None
     with temporary_steps(tables.spark):
         inputs = [tables.read(layer, table) for layer, table in GOLD_INPUTS[name]]
-        built = star.dim_date(tables.spark) if name == "dim_date" else getattr(star, name)(*inputs)
+        if stale is not None:
+            facts = GOLD_INPUTS[name][0]
+            if not any(stale(d) for d in _day_directories(tables, name)):
+                return _built(name, 0, "unchanged")
+            inputs[0] = tables.read(*facts, only=stale)
+            keep = lambda d: not stale(d)
+        if name == "dim_date":
+            built = star.dim_date(tables.spark)
+        elif name in GOLD_NUMBERED and tables.exists("gold", name):
+            built = getattr(star, name)(*inputs, previous=tables.read("gold", name))
+        else:
+            built = getattr(star, name)(*inputs)
+        options = {
+            "keep": keep,
+            "partition_by": layout,
+            "metrics": [F.count(F.lit(1)).alias("row_count")],
+            "inputs": _input_marks(tables, name),
+        }
         if name in GOLD_CLUSTERS:
-            columns = GOLD_CLUSTERS[name]
-            written = write_clustered(
-                tables, built, "gold", name, columns, partition_by, metrics=[rows]
-            )
+            written = write_clustered(tables, built, "gold", name, GOLD_CLUSTERS[name], **options)
         else:
-            built = _sized(built, partition_by)
-            written = tables.write(built, "gold", name, partition_by=partition_by, metrics=[rows])
-    return {"table_name": name, "row_count": written.metrics["row_count"], "skipped": None}
+            written = tables.write(_sized(built, layout), "gold", name, **options)
+    return _built(name, written.metrics["row_count"])
+
+
+def _built(name: str, rows: int, skipped: str | None = None) -> dict[str, object]:
+    return {"table_name": name, "layer": "gold", "row_count": rows, "skipped": skipped}
+
+
+def _input_marks(tables: Tables, name: str) -> dict[str, int]:
+    """The version of each input, and the greatest key of each dimension among them."""
+    marks = {}
+    for layer, table in GOLD_INPUTS[name]:
+        marks[f"{layer}.{table}"] = tables.published(layer, table).version
+        if table in GOLD_KEYS:
+            greatest = tables.read(layer, table).agg(F.max(GOLD_KEYS[table])).first()[0]
+            marks[GOLD_KEYS[table]] = -1 if greatest is None else greatest
+    return marks
+
+
+def _day_directories(tables: Tables, name: str) -> set[str]:
+    """Published directories of a fact and of the silver table it is built from."""
+    shown = [tables.published("gold", name), tables.published(*GOLD_INPUTS[name][0])]
+    return {d for state in shown for d in state.dirs}
+
+
+def days_to_rebuild(
+    tables: Tables, name: str, layout: list[str]
+) -> Callable[[str], bool] | None:
+    """Which partition directories of a fact are stale; ``None`` if it has to be built in full.
+
+    Days are stale if the silver directories of the day are not those of the last build, or if
+    they are not before the first day on which a version opened since then became valid: a new
+    version, and the end of the one it replaces, only matter from that day on. Versions opened
+    since the last build are those with greater surrogate keys. A new store can only be looked
+    up by a full build, since it may resolve facts of any day.
+    """
+    state = tables.published("gold", name)
+    if state is None or not state.inputs or state.partition_by != tuple(layout) or len(layout) != 1:
+        return None
+    silver = GOLD_INPUTS[name][0]
+    now = tables.published(*silver)
+    before = tables.published(*silver, version=state.inputs.get(".".join(silver), 0))
+    if before is None or now.partition_by != tuple(layout) or before.partition_by != tuple(layout):
+        return None
+    marks, first_day = _input_marks(tables, name), None
+    for dim, sk in GOLD_KEYS.items():
+        if marks.get(sk, -1) == state.inputs.get(sk, -1):
+            continue
+        if dim == "dim_store":
+            return None
+        opened = tables.read("gold", dim).where(F.col(sk) > state.inputs[sk])
+        start = opened.agg(F.min(START)).first()[0]
+        first_day = start if first_day is None else min(first_day, start)
+    changed = {d.rsplit("/", 1)[-1] for d in set(before.dirs) ^ set(now.dirs)}
+
+    def stale(directory: str) -> bool:
+        value = directory.rsplit("/", 1)[-1]
+        if value in changed:
+            return True
+        day = value.split("=", 1)[1]
+        # The partition of NULL days is not a date, and no version is valid on it.
+        return first_day is not None and day[:1].isdigit() and day >= first_day.isoformat()
+
+    return stale
 
 
 def run_gold(
     tables: Tables,
     names: Iterable[str] = tuple(GOLD_INPUTS),
     partitions: dict[str, list[str]] = GOLD_PARTITIONS,
+    incremental: bool = False,
 ) -> dict[str, dict]:
     """All gold tables in dependency order."""
-    return {name: build_gold(tables, name, partitions) for name in names}
+    return {name: build_gold(tables, name, partitions, incremental) for name in names}
 
 
 def write_clustered(
@@ -354,9 +449,9 @@ def write_clustered(
     columns: list[str],
     partition_by: Iterable[str] = (),
     partitions: int | None = None,
-    metrics: Iterable = (),
-):
-    """Replace a table with files clustered on ``columns`` inside its partitions.
+    **options,
+) -> Written:
+    """Write a table with files clustered on ``columns`` inside its partitions.
 
     The frame is materialized and clustered from there: bounds, range sampling and the final
     write would each repeat the joins that produced it.
@@ -367,7 +462,7 @@ def write_clustered(
             layer,
             table,
             partition_by=partition_by,
-            metrics=metrics,
+            **options,
         )
 
 

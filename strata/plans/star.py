@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import date_key
 from strata.operators.joins import inherit_keys, live_interval, lookup, pit_join
-from strata.operators.surrogate import dense_sk
+from strata.operators.surrogate import stable_sk
 
 
 def dim_date(
@@ -44,13 +44,13 @@ def dim_product(product: DataFrame) -> DataFrame:
     return product
 
 
-def dim_store(store: DataFrame) -> DataFrame:
-    """Current stores with a surrogate key in the order of the business key."""
-    return dense_sk(store, ["store_id"], "store_sk")
+def dim_store(store: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Current stores with surrogate keys, which stores of a previous build keep."""
+    return stable_sk(store, ["store_id"], "store_sk", previous)
 
 
-def dim_supplier(supplier: DataFrame) -> DataFrame:
-    return dense_sk(supplier, ["supplier_id"], "supplier_sk")
+def dim_supplier(supplier: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    return stable_sk(supplier, ["supplier_id"], "supplier_sk", previous)
 
 
 def _store_key(store: DataFrame) -> str:

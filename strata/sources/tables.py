@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -32,7 +32,7 @@ class Published:
 
     ``dirs`` are the partition directories, relative to ``base``; ``sizes`` says how many of them
     each generation has on disk. ``consumed`` is the ledger of source generations this state
-    already includes.
+    already includes; ``inputs`` notes what it was built from.
     """
 
     version: int
@@ -42,6 +42,7 @@ class Published:
     partition_by: tuple[str, ...] = ()
     consumed: tuple[str, ...] = ()
     sizes: dict[str, int] = field(default_factory=dict)
+    inputs: dict[str, int] = field(default_factory=dict)
 
     def paths(self, dirs: list[str]) -> list[str]:
         """Paths to scan for ``dirs``: a generation that is needed whole is named once."""
@@ -89,9 +90,12 @@ class Tables:
 
     # -- publication files ----------------------------------------------------------
 
-    def published(self, layer: str, table: str) -> Published | None:
+    def published(self, layer: str, table: str, version: int | None = None) -> Published | None:
+        """The current publication, or an earlier one that has not been pruned."""
         folder = f"{self.base(layer, table)}/_published"
         names = [n for n in self._children(folder) if n.endswith(".json")]
+        if version is not None:
+            names = [n for n in names if n == f"{version:08d}.json"]
         if not names:
             return None
         stream = self._fs().open(self._path(f"{folder}/{names[-1]}"))
@@ -108,6 +112,7 @@ class Tables:
             partition_by=tuple(state["partition_by"]),
             consumed=tuple(state["consumed"]),
             sizes=state["sizes"],
+            inputs=state["inputs"],
         )
 
     def _publish(self, layer: str, table: str, state: Published) -> None:
@@ -121,6 +126,7 @@ class Tables:
                 "partition_by": list(state.partition_by),
                 "consumed": list(state.consumed),
                 "sizes": {g: state.sizes[g] for g in {generation_of(d) for d in state.dirs}},
+                "inputs": state.inputs,
             }
         )
         fs = self._fs()
@@ -188,6 +194,7 @@ class Tables:
         partition_by: Iterable[str] = (),
         consumed: Iterable[str] = (),
         metrics: Iterable[Column] = (),
+        inputs: dict[str, int] | None = None,
     ) -> Written:
         """Write ``df`` as a new generation and publish it next to the directories ``keep`` keeps.
 
@@ -199,6 +206,8 @@ class Tables:
         generation = self._next_generation(layer, table)
         observed = self._store(df, f"{base}/{generation}", partition_by, tuple(metrics))
         kept = [d for d in state.dirs if keep(d)] if state and keep else []
+        if kept and state.base != base:
+            raise ValueError(f"{layer}.{table} publishes the files of {state.base}")
         if kept and state.schema.names != df.columns:
             raise ValueError(f"{layer}.{table}: columns {df.columns} differ from {state.schema.names}")
         written = self._leaves(f"{base}/{generation}", len(partition_by))
@@ -213,6 +222,7 @@ class Tables:
                 partition_by=partition_by,
                 consumed=tuple(dict.fromkeys([*(state.consumed if state else ()), *consumed])),
                 sizes={**(state.sizes if state else {}), generation: len(written)},
+                inputs=inputs or {},
             ),
         )
         return Written(generation, observed)
@@ -265,6 +275,21 @@ class Tables:
             )
         return Written(generation, observed)
 
+    def publish_as(self, source: tuple[str, str], layer: str, table: str) -> None:
+        """Publish the files of one table under another name, without copying them."""
+        shown, state = self.published(*source), self.published(layer, table)
+        version = state.version + 1 if state else 1
+        named = replace(shown, version=version, consumed=(), inputs={".".join(source): shown.version})
+        if state is None or replace(state, version=version) != named:
+            self._publish(layer, table, named)
+
+    def register(self, layer: str) -> list[str]:
+        """Temporary views ``<layer>_<table>`` over the published tables, for SQL."""
+        names = self.list(layer)
+        for table in names:
+            self.read(layer, table).createOrReplaceTempView(f"{layer}_{table}")
+        return names
+
     def mark_consumed(self, layer: str, table: str, consumed: Iterable[str]) -> None:
         """Extend the ledger without changing the data."""
         self._republish(layer, table, lambda d: True, consumed)
@@ -295,12 +320,13 @@ class Tables:
     def prune(self, layer: str, table: str) -> list[str]:
         """Delete publications before the last and generations that it does not name.
 
-        A bronze generation also holds the rejects that the quarantine table publishes.
+        Quarantine publishes the rejects inside bronze generations, and gold dimensions may
+        publish silver files; both count as use.
 
         Call it only when no reader is still using an earlier publication.
         """
         base = self.base(layer, table)
-        sharing = [(layer, table), ("quarantine", table)] if layer == "bronze" else [(layer, table)]
+        sharing = [(layer, table), ("quarantine", table), ("gold", f"dim_{table}")]
         states = [state for address in sharing if (state := self.published(*address))]
         used = {generation_of(d) for state in states if state.base == base for d in state.dirs}
         stale = [n for n in self._children(base) if n.startswith(f"{GEN}=") and n not in used]
@@ -325,6 +351,7 @@ class Tables:
                 partition_by=state.partition_by,
                 consumed=tuple(dict.fromkeys([*state.consumed, *consumed])),
                 sizes=state.sizes,
+                inputs=state.inputs,
             ),
         )
 

@@ -6,7 +6,7 @@ from conftest import as_rows
 from pyspark.sql import functions as F
 
 from strata.operators.quality import FAILED
-from strata.plans import layers
+from strata.plans import layers, star
 from strata.plans.retail import retail_specs
 from strata.sources.landing import CORRUPT, read_landing, tag_metadata
 from strata.spec import TableSpec, to_struct
@@ -244,6 +244,65 @@ def test_all_retail_tables(tables, tmp_path):
     assert metrics.where("level = 'WARNING'").select("table_name").collect()[0][0] == "shipping"
 
 
+def test_incremental_gold_equals_a_full_build(tables, tmp_path):
+    """New days, a moved sale, a late sale, new versions, then a new store; against full builds."""
+    root, specs = tmp_path / "landing", retail_specs()
+    names = ["sales", "customer", "product", "store"]
+    gold = ["dim_customer", "dim_product", "dim_store", "fact_sales"]
+
+    def run(day, **files):
+        for name, lines in files.items():
+            header = ",".join(c["name"] for c in specs[name].columns)
+            land(root / name, f"{day}.csv", header, *lines)
+        chosen = [specs[n] for n in names if n in files]
+        layers.run_bronze(tables, chosen, str(root), day)
+        layers.run_silver(tables, chosen, day, initial_start=dt.date(1900, 1, 1))
+
+    def sale(invoice, code, day, store="S1", customer="C1"):
+        return f"{invoice},{code},2,1.5,{customer},{store},France,{day} 10:00:00,{day}"
+
+    def build_and_compare(full_build):
+        before = tables.published("gold", "fact_sales")
+        results = layers.run_gold(tables, gold, incremental=True)
+        state = tables.published("gold", "fact_sales")
+        kept = set(state.dirs) & set(before.dirs) if before else set()
+        assert bool(kept) != full_build
+        found = as_rows(tables.read("gold", "fact_sales"))
+        dims = [tables.read("gold", n) for n in gold[:3]]
+        assert found == as_rows(star.fact_sales(tables.read("silver", "sales"), *dims))
+        return results["fact_sales"], {d.split("/")[1] for d in kept}
+
+    run(
+        DAY1,
+        sales=[sale("I1", "A", "2026-06-01"), sale("I2", "A", "2026-06-30"), sale("I3", "B", DAY1)],
+        customer=["C1,France,Retail"], product=["A,pen,1.5,P1"], store=["S1,North,France,Main"],
+    )
+    build_and_compare(full_build=True)
+    assert layers.build_gold(tables, "fact_sales", incremental=True)["skipped"] == "unchanged"
+    # A new day, and a product that did not exist before: earlier days stay.
+    run(DAY2, sales=[sale("I4", "B", DAY2)], product=["B,cup,4.0,P1"])
+    result, kept = build_and_compare(full_build=False)
+    assert result["row_count"] == 1
+    assert kept == {"sale_date=2026-06-01", "sale_date=2026-06-30", "sale_date=2026-07-01"}
+    # I2 moves to another day, I5 arrives late, C1 changes on day 3.
+    run(
+        DAY3,
+        sales=[sale("I2", "A", "2026-06-15"), sale("I5", "B", DAY2), sale("I6", "A", DAY3)],
+        customer=["C1,Germany,Retail"],
+    )
+    result, kept = build_and_compare(full_build=False)
+    assert kept == {"sale_date=2026-06-01", "sale_date=2026-07-01"}
+    # A new store that sorts first: known stores keep their keys, facts are built in full.
+    run(dt.date(2026, 7, 4), store=["S0,South,France,New"], sales=[sale("I7", "A", "2026-07-04", "S0")])
+    build_and_compare(full_build=True)
+    assert as_rows(tables.read("gold", "dim_store"), "store_id", "store_sk") == [("S0", 1), ("S1", 0)]
+    # Gold dimensions show the silver files; pruning silver keeps them.
+    tables.prune("silver", "customer")
+    assert tables.read("gold", "dim_customer").count() == 2
+    assert set(tables.register("gold")) == set(gold)
+    assert tables.spark.sql("SELECT count(*) FROM gold_fact_sales").first()[0] == 7
+
+
 def test_clustered_files_cover_small_ranges(tables, spark):
     """Both columns prune: every file covers a part of each, not only of the first."""
     df = spark.range(20000).selectExpr("id * 7919 % 1000 AS a", "id * 104729 % 997 AS b")
