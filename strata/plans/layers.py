@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from strata.operators.quality import FAILED, HEALTHY_PASS_RATE, rule_counts, val
 from strata.operators.scd2 import CURRENT, START, next_surrogate, scd2_change, scd2_initial
 from strata.plans import star
 from strata.sources.landing import (
+    BATCH_ID,
     CORRUPT,
     INGEST_DATE,
     INGEST_TS,
@@ -26,7 +29,7 @@ from strata.sources.landing import (
     read_landing,
     tag_metadata,
 )
-from strata.session import materialize, temporary_steps
+from strata.session import materialize, side_by_side, temporary_steps
 from strata.sources.tables import Tables, Written, generation_of, touched_directories
 from strata.spec import TableSpec
 
@@ -109,28 +112,44 @@ def ingest_bronze(
 
 
 def run_bronze(
-    tables: Tables, specs: Iterable[TableSpec], landing_root: str, as_of: dt.date, **options
+    tables: Tables,
+    specs: Iterable[TableSpec],
+    landing_root: str,
+    as_of: dt.date,
+    at_once: int = 1,
+    **options,
 ) -> dict[str, dict]:
-    """All tables in order; the first failure stops the run."""
-    return {
-        spec.name: ingest_bronze(
-            tables, spec, f"{landing_root}/{spec.source_path or spec.name}", as_of, **options
-        )
-        for spec in specs
-    }
+    """All tables, in order or several at once; the first failure stops the run."""
+
+    def ingest(spec: TableSpec) -> dict:
+        landing = f"{landing_root}/{spec.source_path or spec.name}"
+        return ingest_bronze(tables, spec, landing, as_of, **options)
+
+    return _each(tables, specs, ingest, at_once)
+
+
+def _each(
+    tables: Tables, specs: Iterable[TableSpec], step: Callable[[TableSpec], dict], at_once: int
+) -> dict[str, dict]:
+    specs = list(specs)
+    results = side_by_side(tables.spark, [partial(step, spec) for spec in specs], at_once)
+    return {spec.name: result for spec, result in zip(specs, results)}
 
 
 # -- silver -----------------------------------------------------------------------------
 
 
-def _stage(
-    tables: Tables, spec: TableSpec, as_of: dt.date, mode: str
-) -> tuple[DataFrame, list[str], dict] | None:
-    """The unprocessed bronze rows: deduplicated, flagged and written once to a staging table.
+@dataclass(frozen=True)
+class _Batch:
+    """Unprocessed bronze rows, deduplicated and flagged, before anything has run."""
 
-    The following steps read the batch several times; a written table survives lost executors
-    and gives them pruned columns and exact sizes to plan with.
-    """
+    flagged: DataFrame
+    checks: list[R.Rule]
+    pending: list[str]
+    seen: Observation
+
+
+def _batch(tables: Tables, spec: TableSpec, as_of: dt.date, mode: str) -> _Batch | None:
     state = tables.published("silver", spec.name)
     done = set(state.consumed) if state else set()
     pending = [g for g in tables.generations("bronze", spec.name) if g not in done]
@@ -152,28 +171,44 @@ def _stage(
         incremental.observe(seen, F.count(F.lit(1)).alias("incremental_count")),
         key,
         [INGEST_TS],
-        tie_break=[*values, SOURCE_FILE, "_batch_id"],
+        tie_break=[*values, SOURCE_FILE, BATCH_ID],
     )
     checks = [*R.build_all(spec.dq_rules, as_of), R.key_present(key)]
     flagged = validate(deduped, checks).flagged.withColumn(OK, F.size(FAILED) == 0)
+    return _Batch(flagged, checks, pending, seen)
+
+
+def _stage(tables: Tables, spec: TableSpec, batch: _Batch) -> tuple[DataFrame, dict]:
+    """The good rows of the batch from a staging table; the others go to quarantine.
+
+    A merge reads its batch several times. A written table survives lost executors and gives
+    those steps pruned columns and exact sizes to plan with.
+    """
     written = tables.write(
-        flagged, "stage", spec.name, partition_by=[OK], metrics=rule_counts(checks)
+        batch.flagged, "stage", spec.name, partition_by=[OK], metrics=rule_counts(batch.checks)
     )
     tables.prune("stage", spec.name)
-    counts = {
-        "incremental_count": seen.get["incremental_count"],
-        **_counts(spec.name, "silver", checks, written.metrics),
+    staged = tables.read("stage", spec.name)
+    counts = _silver_counts(spec, batch, written.metrics)
+    _quarantine(tables, spec, staged, counts)
+    return _good(staged), counts
+
+
+def _silver_counts(spec: TableSpec, batch: _Batch, metrics: dict) -> dict[str, object]:
+    return {
+        "incremental_count": batch.seen.get["incremental_count"],
+        **_counts(spec.name, "silver", batch.checks, metrics),
     }
-    if not counts["incremental_count"]:
-        return None
-    return tables.read("stage", spec.name), pending, counts
 
 
-def _split_stage(tables: Tables, spec: TableSpec, staged: DataFrame, counts: dict) -> DataFrame:
+def _good(flagged: DataFrame) -> DataFrame:
+    return flagged.where(F.col(OK)).drop(OK, FAILED)
+
+
+def _quarantine(tables: Tables, spec: TableSpec, flagged: DataFrame, counts: dict) -> None:
     if counts["invalid_count"]:
-        rejects = staged.where(~F.col(OK)).drop(OK)
+        rejects = flagged.where(~F.col(OK)).drop(OK)
         tables.append(rejects, "quarantine", f"{spec.name}_silver")
-    return staged.where(F.col(OK)).drop(OK, FAILED)
 
 
 def _nothing_new(spec: TableSpec) -> dict:
@@ -194,27 +229,49 @@ def refine_fact(
     """
     if spec.keeps_history:
         raise ValueError(f"{spec.name} keeps history; use refine_dimension")
-    work = _stage(tables, spec, as_of, mode)
-    if work is None:
+    batch = _batch(tables, spec, as_of, mode)
+    if batch is None:
         return _nothing_new(spec)
-    staged, pending, counts = work
-    valid = _split_stage(tables, spec, staged, counts)
     key, layout = list(spec.business_key), list(spec.partition_by)
-    touched: set[str] = set()
-    if tables.exists("silver", spec.name):
-        rows = tables.read("silver", spec.name, with_directory=True)
-        touched = touched_directories(rows, valid, key, layout)
-        if touched:
-            affected = tables.read("silver", spec.name, only=lambda d: d in touched)
-            valid = merge_upsert(valid, affected, key, newer_than, check_unique=False)
+    if not tables.exists("silver", spec.name):
+        return _first_load(tables, spec, batch)
+    valid, counts = _stage(tables, spec, batch)
+    if not counts["incremental_count"]:
+        return _nothing_new(spec)
+    rows = tables.read("silver", spec.name, with_directory=True)
+    touched = touched_directories(rows, valid, key, layout)
+    if touched:
+        affected = tables.read("silver", spec.name, only=lambda d: d in touched)
+        valid = merge_upsert(valid, affected, key, newer_than, check_unique=False)
     tables.write(
         _sized(valid, layout),
         "silver",
         spec.name,
         keep=lambda d: d not in touched,
         partition_by=layout,
-        consumed=pending,
+        consumed=batch.pending,
+    )
+    return counts
+
+
+def _first_load(tables: Tables, spec: TableSpec, batch: _Batch) -> dict[str, object]:
+    """Write the good rows straight to silver, counting on the way.
+
+    Rows already passed the rules in bronze, so rejects are the exception: only if there are any
+    is the batch read again for them.
+    """
+    checked = Observation()
+    counted = batch.flagged.observe(checked, *rule_counts(batch.checks))
+    layout = list(spec.partition_by)
+    tables.write(
+        _sized(_good(counted), layout),
+        "silver",
+        spec.name,
+        partition_by=layout,
+        consumed=batch.pending,
     )
+    counts = _silver_counts(spec, batch, checked.get)
+    _quarantine(tables, spec, batch.flagged, counts)
     return counts
 
 
@@ -233,13 +290,14 @@ def refine_dimension(
     """
     if not spec.keeps_history:
         raise ValueError(f"{spec.name} keeps no history; use refine_fact")
-    work = _stage(tables, spec, as_of, mode)
-    if work is None:
+    batch = _batch(tables, spec, as_of, mode)
+    if batch is None:
+        return _nothing_new(spec)
+    valid, counts = _stage(tables, spec, batch)
+    if not counts["incremental_count"]:
         return _nothing_new(spec)
-    staged, pending, counts = work
-    valid = _split_stage(tables, spec, staged, counts)
     key, tracked, sk = list(spec.business_key), list(spec.tracked_columns), spec.surrogate_key_col
-    options = {"partition_by": [CURRENT], "consumed": pending}
+    options = {"partition_by": [CURRENT], "consumed": batch.pending}
     with temporary_steps(tables.spark):
         if not tables.exists("silver", spec.name):
             opened = scd2_initial(valid, key, tracked, sk, as_of, initial_start)
@@ -249,7 +307,7 @@ def refine_dimension(
         current = tables.read("silver", spec.name, only=lambda d: is_current in d.split("/"))
         change = scd2_change(valid, current, key, tracked, sk, as_of, next_surrogate(current, sk))
         if change is None:
-            tables.mark_consumed("silver", spec.name, pending)
+            tables.mark_consumed("silver", spec.name, batch.pending)
             return counts
         tables.write(
             change.kept.unionByName(change.closed).unionByName(change.opened),
@@ -267,14 +325,16 @@ def run_silver(
     as_of: dt.date,
     mode: str = "batch",
     initial_start: dt.date | None = None,
+    at_once: int = 1,
 ) -> dict[str, dict]:
-    """All tables in order, as history or as upsert; the first failure stops the run."""
-    return {
-        spec.name: refine_dimension(tables, spec, as_of, mode, initial_start)
-        if spec.keeps_history
-        else refine_fact(tables, spec, as_of, mode)
-        for spec in specs
-    }
+    """All tables, as history or as upsert; the first failure stops the run."""
+
+    def refine(spec: TableSpec) -> dict:
+        if spec.keeps_history:
+            return refine_dimension(tables, spec, as_of, mode, initial_start)
+        return refine_fact(tables, spec, as_of, mode)
+
+    return _each(tables, specs, refine, at_once)
 
 
 # -- gold -------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from strata.operators.scd2 import (
 from strata.operators.surrogate import dense_sk
 from strata.plans import analytics, domain, layers, star
 from strata.plans.domain import given
-from strata.session import shared_folder
+from strata.session import shared_folder, side_by_side
 from strata.sources.catalog import CatalogTables
 from strata.sources.landing import CORRUPT, export_landing, read_landing, tag_metadata
 from strata.sources.tables import Tables
@@ -376,10 +377,15 @@ def inherited_keys(spark: SparkSession, folder: str) -> DataFrame:
 # -- star schema ------------------------------------------------------------------------
 
 
+def _dims(spark: SparkSession, folder: str, *builders: Query) -> list[DataFrame]:
+    """Dimensions that do not depend on each other, built at the same time."""
+    return side_by_side(spark, [partial(b, spark, folder) for b in builders], len(builders))
+
+
 def _fact_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    customer = domain.customer_history(spark, folder)
-    product = domain.product_history(spark, folder)
-    stores = domain.store_dim(spark, folder)
+    customer, product, stores = _dims(
+        spark, folder, domain.customer_history, domain.product_history, domain.store_dim
+    )
     return star.fact_sales(domain.sales(spark, folder), customer, product, stores), customer, product
 
 
@@ -426,12 +432,10 @@ def fact_sales(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def fact_sales_store_id(spark: SparkSession, folder: str) -> DataFrame:
     """The same fact over a store dimension that has no surrogate key."""
-    return star.fact_sales(
-        domain.sales(spark, folder),
-        domain.customer_history(spark, folder),
-        domain.product_history(spark, folder),
-        domain.stores(spark, folder),
+    dims = _dims(
+        spark, folder, domain.customer_history, domain.product_history, domain.stores
     )
+    return star.fact_sales(domain.sales(spark, folder), *dims)
 
 
 @query
@@ -446,11 +450,8 @@ def fact_returns_invoice_only(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return star.fact_online_orders(
-        domain.online_orders(spark, folder),
-        domain.customer_history(spark, folder),
-        domain.product_history(spark, folder),
-    )
+    dims = _dims(spark, folder, domain.customer_history, domain.product_history)
+    return star.fact_online_orders(domain.online_orders(spark, folder), *dims)
 
 
 @query
@@ -464,8 +465,7 @@ def fact_shipping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact_inventory(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    product = domain.product_history(spark, folder)
-    stores = domain.store_dim(spark, folder)
+    product, stores = _dims(spark, folder, domain.product_history, domain.store_dim)
     return star.fact_inventory_snapshot(domain.inventory(spark, folder), product, stores), product
 
 
@@ -590,11 +590,11 @@ def landing_to_star(spark: SparkSession, folder: str) -> DataFrame:
     )
     export_landing(_part_prices(spark, folder), f"{landing}/product")
     export_landing(domain.stores(spark, folder), f"{landing}/store")
-    layers.run_bronze(tables, specs, landing, SECOND_CUT)
-    layers.run_silver(tables, specs, SECOND_CUT, initial_start=FIRST_CUT)
+    layers.run_bronze(tables, specs, landing, SECOND_CUT, at_once=4)
+    layers.run_silver(tables, specs, SECOND_CUT, initial_start=FIRST_CUT, at_once=4)
     export_landing(_second_batch(spark, folder), f"{landing}/customer/2")
     layers.run_bronze(tables, [CUSTOMER], landing, SECOND_CUT + dt.timedelta(days=1))
-    layers.run_silver(tables, specs, SECOND_CUT + dt.timedelta(days=1))
+    layers.run_silver(tables, specs, SECOND_CUT + dt.timedelta(days=1), at_once=4)
     names = ["dim_customer", "dim_product", "dim_store", "fact_sales"]
     layers.run_gold(tables, names, partitions={})  # some 25 rows a day are no partition
     return tables.read("gold", "fact_sales")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cpus: int | str = 8, memory: str = "16g") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
@@ -44,19 +50,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_steps: list[str] = []
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 @contextmanager
 def temporary_steps(spark: SparkSession) -> Iterator[None]:
     """Delete what ``materialize`` writes inside the block, once the block has published it."""
-    before = len(_steps)
-    yield
-    for path in _steps[before:]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.delete(folder, True)
-    del _steps[before:]
+    written: list[str] = []
+    token = _steps.set(written)
+    try:
+        yield
+    finally:
+        _steps.reset(token)
+        for path in written:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def side_by_side(
+    spark: SparkSession, builds: Iterable[Callable[[], T]], at_once: int
+) -> list[T]:
+    """Results of independent builds, up to ``at_once`` of them submitting Spark jobs together.
+
+    Small tables then fill executors that a single job would leave idle. The first failure, in
+    the given order, is raised after the builds that have begun.
+    """
+    builds = list(builds)
+    if at_once <= 1 or len(builds) <= 1:
+        return [build() for build in builds]
+    with ThreadPoolExecutor(at_once) as pool:
+        begun = [pool.submit(inheritable_thread_target(spark)(build)) for build in builds]
+        try:
+            return [future.result() for future in begun]
+        except BaseException:
+            for future in begun:
+                future.cancel()
+            raise
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -66,6 +95,7 @@ def materialize(df: DataFrame) -> DataFrame:
     as Parquet: later steps read only the columns they need and plan with the real size.
     """
     path = f"{shared_folder(df.sparkSession)}/strata/steps/{uuid.uuid4().hex}"
-    _steps.append(path)
+    if (written := _steps.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -329,3 +329,18 @@ def test_stream(tables, landing, tmp_path):
     # A micro-batch delivered again is not stored again.
     stream_ingest(tables, INVOICE, path, str(tmp_path / "lost"), DAY1).awaitTermination()
     assert tables.read("bronze", "invoice").count() == 3
+
+
+def test_tables_at_once(tables, tmp_path):
+    """Several tables at the same time give what one after the other gives; failures come through."""
+    root, specs = tmp_path / "landing", retail_specs()
+    for name, lines in RETAIL_FILES.items():
+        land(root / name, "1.csv", ",".join(c["name"] for c in specs[name].columns), *lines)
+    bronze = layers.run_bronze(tables, specs.values(), str(root), DAY1, at_once=4)
+    silver = layers.run_silver(tables, specs.values(), DAY1, at_once=4)
+    assert list(bronze) == list(silver) == list(specs)
+    assert {n: r["valid_count"] for n, r in silver.items()} == {
+        n: len(lines) - (n == "shipping") for n, lines in RETAIL_FILES.items()
+    }
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        layers.run_bronze(tables, specs.values(), "/nowhere/at/all", DAY1, at_once=4)
