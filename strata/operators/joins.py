@@ -177,27 +177,44 @@ def inherit_keys(
 def fk_audit(fact: DataFrame, fact_name: str, references: dict[str, DataFrame]) -> DataFrame:
     """Per foreign key: fact rows, rows without a key, and rows whose key is in no dimension.
 
-    ``references`` maps a fact column to the dimension that has a column of the same name. Facts
-    are counted per key before the anti-join, so the join sees each key once.
+    ``references`` maps a fact column to the dimension that has a column of the same name. The
+    fact is read once for all keys and counted per key before the join, which so sees each key
+    once however many rows hold it.
     """
-    audits = []
-    for column, dim in references.items():
-        per_key = fact.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        known = dim.select(column).distinct().withColumn("_known", F.lit(True))
-        checked = per_key.join(known, column, "left")
-        missing = F.col(column).isNull()
-        audits.append(
-            checked.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("fact_rows"),
-                F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("unresolved_rows"),
-                F.coalesce(
-                    F.sum(F.when(~missing & F.col("_known").isNull(), F.col("n"))), F.lit(0)
-                ).alias("orphan_rows"),
-            ).select(
-                F.lit(fact_name).alias("fact_name"), F.lit(column).alias("key_column"), "*"
-            )
+    kinds = {fact.schema[c].dataType.simpleString() for c in references}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
+
+    def entry(column: str) -> Column:
+        return F.struct(F.lit(column).alias("key_column"), F.col(column).cast(kind).alias("key"))
+
+    per_key = (
+        fact.select(F.inline(F.array(*[entry(c) for c in references])))
+        .groupBy("key_column", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    known = reduce(
+        DataFrame.unionByName, [dim.select(entry(c).alias("e")) for c, dim in references.items()]
+    )
+    known = known.select("e.*").distinct().withColumn("_known", F.lit(True))
+    missing, orphan = F.col("key").isNull(), F.col("_known").isNull()
+    counted = (
+        per_key.join(known, ["key_column", "key"], "left")
+        .groupBy("key_column")
+        .agg(
+            F.sum("n").alias("fact_rows"),
+            F.sum(F.when(missing, F.col("n"))).alias("unresolved_rows"),
+            F.sum(F.when(~missing & orphan, F.col("n"))).alias("orphan_rows"),
         )
-    return reduce(DataFrame.unionByName, audits)
+    )
+    names = fact.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in references])).alias("key_column")
+    )
+    totals = ("fact_rows", "unresolved_rows", "orphan_rows")
+    return names.join(counted, "key_column", "left").select(
+        F.lit(fact_name).alias("fact_name"),
+        "key_column",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals],
+    )
 
 
 def live_interval(

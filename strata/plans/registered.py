@@ -38,7 +38,7 @@ from strata.operators.scd2 import (
 from strata.operators.surrogate import dense_sk
 from strata.plans import analytics, domain, layers, star
 from strata.plans.domain import given
-from strata.session import shared_folder, side_by_side
+from strata.session import materialize, shared_folder, side_by_side
 from strata.sources.catalog import CatalogTables
 from strata.sources.landing import CORRUPT, export_landing, read_landing, tag_metadata
 from strata.sources.tables import Tables
@@ -510,7 +510,7 @@ def top_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def return_rate(spark: SparkSession, folder: str) -> DataFrame:
-    sold = _fact_sales(spark, folder)[0]
+    sold = materialize(_fact_sales(spark, folder)[0])  # read twice
     return analytics.return_rate(sold, star.fact_returns(domain.returns(spark, folder), sold))
 
 

@@ -167,6 +167,11 @@ def test_fk_audit(frame):
     fact = frame("customer_sk int", (1,), (1,), (7,), (None,))
     dim = frame("customer_sk int", (1,), (2,))
     assert as_rows(fk_audit(fact, "f", {"customer_sk": dim})) == [("f", "customer_sk", 4, 1, 1)]
+    two = fact.withColumn("store_id", F.lit("S1"))
+    stores = frame("store_id string", ("S2",))
+    assert as_rows(fk_audit(two, "f", {"customer_sk": dim, "store_id": stores})) == [
+        ("f", "customer_sk", 4, 1, 1), ("f", "store_id", 4, 0, 4),
+    ]
     empty = fk_audit(fact.limit(0), "f", {"customer_sk": dim})
     assert as_rows(empty) == [("f", "customer_sk", 0, 0, 0)]
 

@@ -344,3 +344,23 @@ def test_tables_at_once(tables, tmp_path):
     }
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         layers.run_bronze(tables, specs.values(), "/nowhere/at/all", DAY1, at_once=4)
+
+
+@pytest.mark.parametrize("one", [INVOICE, CUSTOMER])
+def test_files_without_rows(tables, landing, one):
+    header = ",".join(c["name"] for c in one.columns)
+    path = land(landing, "empty.csv", header)
+    assert layers.ingest_bronze(tables, one, path, DAY1)["total_count"] == 0
+    refine = layers.refine_dimension if one.keeps_history else layers.refine_fact
+    assert refine(tables, one, DAY1)["incremental_count"] == 0
+    land(landing, "rows.csv", header, "a,b,1")
+    assert layers.ingest_bronze(tables, one, path, DAY2)["valid_count"] == 1
+    assert refine(tables, one, DAY2)["valid_count"] == 1
+    assert tables.read("silver", one.name).count() == 1
+
+
+def test_everything_rejected(tables, landing):
+    path = land(landing, "bad.csv", "invoice_id,stock_code,quantity", "I,,1")
+    assert layers.ingest_bronze(tables, INVOICE, path, DAY1)["invalid_count"] == 1
+    assert layers.refine_fact(tables, INVOICE, DAY1)["incremental_count"] == 0
+    assert not tables.exists("silver", "invoice") or tables.read("silver", "invoice").isEmpty()

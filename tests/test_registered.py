@@ -47,6 +47,9 @@ def test_same_rows_as_sql(spark, duck, name):
     assert by_name(map(tuple, found.collect()), found.columns) == by_name(
         expected, [d[0] for d in described]
     )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert slow not in plan
 
 
 def test_flagship(spark):
