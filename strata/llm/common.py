@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,33 @@ def with_columns(
     return df.mapInArrow(run, StructType([*kept, *fields]))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal (non-null, integer) keys of a sorted stream of batches, one at a time."""
+    waiting: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[start] for c in columns)
+            if waiting and key != before:
+                yield _whole(waiting)
+                waiting = []
+            before = key
+            waiting.append(batch.slice(start, end - start))
+    if waiting:
+        yield _whole(waiting)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
 def texts_of(array: pa.Array) -> list[str]:
     """Texts of an Arrow column, with an empty text for null."""
     return [value or "" for value in array.to_pylist()]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, pii, quality, secrets, toxicity
+from strata.llm import bpe, embeddings, pii, quality, secrets, simhash, toxicity
 from strata.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,6 +34,12 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 @query
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -86,4 +92,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 ORACLE: dict[str, str] = {}
