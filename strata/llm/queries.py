@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, embeddings, pii, quality, secrets, simhash, toxicity
+from strata.llm import (
+    bpe, decontaminate, embeddings, pii, quality, secrets, sharding, simhash, toxicity,
+)
 from strata.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +42,13 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 @query
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -78,6 +87,15 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return sharding.assign_shards(documents, SHARD_BYTES)
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -97,4 +115,7 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontaminate.oracle(),
+    "op7_sharding": sharding.oracle(SHARD_BYTES),
+}
