@@ -252,18 +252,23 @@ def links(prints: DataFrame, radius: int, partitions: list[Partition]) -> DataFr
 
 
 def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    radius: int = 2,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, fingerprint, component_id) for every row: its SimHash and the smallest reachable key.
+    """(key, carried columns, fingerprint, component_id) for every row.
 
-    Rows link if their fingerprints differ in at most ``radius`` bits. Null and empty texts have
-    fingerprint zero and link like any other. Rows with a null key come back too; they connect
-    others but are nobody's component, and a component of null keys only has a null id. Repeated
-    rows come back as often as they are there. An empty table gives an empty result.
+    The fingerprint is the SimHash, component_id the smallest key reachable over rows whose
+    fingerprints differ in at most ``radius`` bits. Null and empty texts have fingerprint zero and
+    link like any other. Rows with a null key come back too; they connect others but are nobody's
+    component, and a component of null keys only has a null id. Repeated rows come back as often as
+    they are there. An empty table gives an empty result.
     """
-    rows = materialize(
-        with_fingerprint(df.select(key, text), text, "fp").select(F.col(key).alias("key"), "fp")
-    )
+    carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *carried)
+    rows = materialize(with_fingerprint(source, "text", "fp").drop("text"))
     prints = materialize(rows.groupBy("fp").agg(F.min("key").alias("low")))
     if prints.isEmpty():
         joined = rows.withColumn("component_id", F.col("key"))
@@ -274,8 +279,35 @@ def near_duplicates(
             "fp", F.coalesce("root", "fp").alias("root"), "low"
         )
         lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-        joined = rows.join(placed.join(lows, "root").select("fp", "component_id"), "fp")
-    return joined.select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
+        placed = placed.join(lows, "root").select("fp", "root", "component_id")
+        joined = rows.join(placed, "fp")
+    return joined.select(
+        F.col("key").alias(key),
+        *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
+        F.col("fp").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def without_near_duplicates(
+    df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2
+) -> DataFrame:
+    """One row of each component: that with the smallest key, of several the smallest text hash.
+
+    Rows that agree in key and text are one row. A component whose keys are all null counts as one.
+    """
+    mark = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text"))
+    marked = df.withColumn("_mark", mark)
+    found = near_duplicates(marked, key, text, radius, ("_mark",))
+    low = F.struct(F.col(key).isNull(), "_mark")
+    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    chosen = (
+        found.groupBy("component_id", group.alias("alone"))
+        .agg(F.min(low).getField("_mark").alias("_mark"))
+        .select("_mark")
+        .distinct()
+    )
+    return marked.join(chosen, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
 
 
 def hex_digits(fingerprint_: str = "fingerprint"):
