@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from strata.plans.oracle import ORACLE
+from strata.plans.registered import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -34,13 +36,15 @@ def by_name(rows, columns):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLE) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
-    found = entry_point.queries()[name](spark, FOLDER)
-    result = duck.execute(entry_point.oracle_sql()[name])
+    found = QUERIES[name](spark, FOLDER)
+    result = duck.execute(ORACLE[name])
     expected, described = result.fetchall(), result.description
     types = {d[0]: str(d[1]) for d in described}
     assert {f.name: TYPES[f.dataType.simpleString()] for f in found.schema} == types
