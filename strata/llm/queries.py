@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import (
-    bpe, decontaminate, embeddings, pii, quality, secrets, sharding, simhash, toxicity,
+    bpe, decontaminate, embeddings, pii, quality, repeats, secrets, sharding, simhash,
+    toxicity,
 )
 from strata.llm.common import fold, table
 
@@ -96,6 +97,14 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(documents, SHARD_BYTES)
 
 
+@query
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    removed = repeats.remove_repeats(table(spark, folder, "documents"))
+    return removed.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
