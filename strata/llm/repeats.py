@@ -33,7 +33,7 @@ from strata.session import materialize
 
 GRAM = 20
 BUFFER = 1 << 20  # bytes of text that are hashed together
-FLUSH = 2_000_000  # stretches that a task holds before it sends them
+FLUSH = 1_000_000  # stretches that a task holds before it sends them
 LOCAL_STRETCHES = 64  # different stretches of a gram that a task sends to the gram's shard
 SHARD_STRETCHES = 2048  # and that a shard resolves as strings
 ROUND_WINDOWS = 200_000  # windows in one construction
