@@ -143,7 +143,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(ranks: bytes, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary; its cache outlives a task."""
+    """One codec per Python worker and vocabulary; ``forget`` empties its caches after a task."""
     key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
@@ -151,6 +151,12 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def forget() -> None:
+    for known in _codecs.values():
+        known.cache.clear()
+        known.merges.clear()
+
+
 def _vocabulary(df: DataFrame, path: str):
     with open(path, "rb") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())
@@ -174,7 +180,7 @@ def encode(
             pa.array([worker.encode(t.as_py() or "") for t in texts], pa.binary())
         ]
 
-    return with_columns(df, [text], [StructField(out, BinaryType())], start)
+    return with_columns(df, [text], [StructField(out, BinaryType())], start, forget)
 
 
 def decode(

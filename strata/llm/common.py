@@ -31,11 +31,13 @@ def with_columns(
     inputs: Sequence[str],
     fields: Sequence[StructField],
     start: Callable[[], Callable[..., Sequence[pa.Array]]],
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Append columns that Python computes from Arrow columns, a slice of a batch at a time.
 
     ``start()`` runs once per task and returns a function from the input arrays to the new arrays.
-    A new column replaces one of the same name; all other columns stay as they are.
+    A new column replaces one of the same name; all other columns stay as they are. ``finish()``
+    runs at the end of the task, to let go of what the worker process would keep.
     """
     names = [f.name for f in fields]
     kept = [f for f in df.schema.fields if f.name not in names]
@@ -48,6 +50,8 @@ def with_columns(
                 made = list(work(*[part.column(c) for c in inputs]))
                 columns = [part.column(c) for c in kept_names] + made
                 yield pa.RecordBatch.from_arrays(columns, names=kept_names + names)
+        if finish:
+            finish()
 
     return df.mapInArrow(run, StructType([*kept, *fields]))
 
