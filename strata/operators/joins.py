@@ -15,17 +15,6 @@ from strata.operators.scd2 import END, START
 #: beyond it the facts' distinct (key, day) pairs are resolved first.
 RANGE_JOIN_VERSIONS = 32
 
-#: Row bound for broadcasting the few narrow columns of a dimension (a few dozen bytes per row).
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow frame only after counting that it stays within the bound.
-
-    Counting stops at the bound. A larger frame is returned unhinted and joined by shuffle.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def pit_join(
     fact: DataFrame,
@@ -44,21 +33,18 @@ def pit_join(
     still open.
 
     ``closed="left"`` reads versions as ``[start, end)``: on the day of a change the new version
-    counts. ``closed="both"`` is for data whose end is the last valid day; where such intervals
-    touch, the later version wins, so a fact row is never doubled.
+    counts. ``closed="both"`` is for data whose end is the last valid day. Where versions of a key
+    overlap, a version ends at the start of the next one (of those that start together, the one
+    with the greatest surrogate key counts), so a fact row is never doubled. All strategies agree.
 
     ``strategy`` is ``"range"`` (join on the key, range as join condition), ``"asof"`` (resolve
     the distinct (key, day) pairs of the facts in one pass over a merged timeline, then join on
     equality) or ``"auto"``, which counts the versions per key of the dimension to choose: a key
-    with very many versions would otherwise be compared with every fact row of that key. The
-    count also decides whether the dimension is small enough to broadcast.
+    with very many versions would otherwise be compared with every fact row of that key.
     """
     versions = _half_open(dim, on, sk, closed, start, end)
     if strategy == "auto":
-        most, total = _version_counts(versions, on)
-        strategy = "range" if most <= RANGE_JOIN_VERSIONS else "asof"
-        if strategy == "range" and total <= BROADCAST_ROWS:
-            versions = F.broadcast(versions)
+        strategy = "range" if _most_versions(versions, on) <= RANGE_JOIN_VERSIONS else "asof"
     if strategy == "range":
         return _range_join(fact, versions, on, date_col, sk)
     if strategy == "asof":
@@ -74,19 +60,18 @@ def _half_open(
         raise ValueError("closed must be 'left' or 'both'")
     until = open_end(F.col(end))
     if closed == "both":
-        following = Window.partitionBy(*on).orderBy(start, sk)
-        last_day = F.when(F.col(end).isNull(), until).otherwise(F.date_add(F.col(end), 1))
-        until = F.least(last_day, open_end(F.lead(start).over(following)))
+        until = F.when(F.col(end).isNull(), until).otherwise(F.date_add(F.col(end), 1))
+    following = Window.partitionBy(*on).orderBy(start, sk)
+    until = F.least(until, open_end(F.lead(start).over(following)))
     return dim.select(
         *on, F.col(sk), F.col(start).alias("_from"), until.alias("_until")
     ).where("_from < _until")
 
 
-def _version_counts(versions: DataFrame, on: list[str]) -> tuple[int, int]:
-    """The most versions of any key, and all versions."""
+def _most_versions(versions: DataFrame, on: list[str]) -> int:
+    """The most versions of any key."""
     per_key = versions.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    most, total = per_key.agg(F.max("n"), F.sum("n")).first()
-    return most or 0, total or 0
+    return per_key.agg(F.max("n")).first()[0] or 0
 
 
 def _range_join(
@@ -147,8 +132,7 @@ def _asof_join(
 
 def lookup(fact: DataFrame, dim: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """Current-value left join to a dimension that is unique on ``on``."""
-    values = broadcast_if_small(dim.select(*on, *columns))
-    return fact.join(values, on, "left").select(*fact.columns, *columns)
+    return fact.join(dim.select(*on, *columns), on, "left").select(*fact.columns, *columns)
 
 
 def inherit_keys(

@@ -103,8 +103,12 @@ def scd2_change(
 ) -> HistoryChange | None:
     """What a batch changes, or ``None`` if it changes nothing.
 
-    ``source`` is unique on the key; keys that are missing from it stay as they are.
+    ``source`` is unique on the key; keys that are missing from it stay as they are. A batch dated
+    before the newest current version is refused: history is corrected with ``scd2_rebuild``.
     """
+    newest = current.agg(F.max(START)).first()[0]
+    if newest is not None and newest > as_of:
+        raise ValueError(f"a batch as of {as_of} cannot change a version that starts on {newest}")
     fresh = scd2_diff(source, current, key, tracked)
     opened = _open_versions(fresh, tracked, sk, F.lit(as_of), list(key), next_sk)
     if opened.isEmpty():

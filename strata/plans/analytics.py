@@ -1,6 +1,7 @@
 """Analyst queries over the star schema.
 
-Money is summed as exact decimals of cents, so totals do not depend on how rows are spread.
+Money is summed as exact decimals, so totals do not depend on how rows are spread; only the totals
+are rounded to cents. Facts without a key form a group of their own unless ``resolved_only``.
 """
 
 from __future__ import annotations
@@ -8,22 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CENTS = "decimal(18,2)"
+EXACT = "decimal(28,6)"
 
 
 def _total(column: str) -> Column:
-    return F.sum(F.col(column).cast(CENTS))
+    return F.sum(F.col(column).cast(EXACT))
 
 
-def top_customers(sales: DataFrame, n: int = 10) -> DataFrame:
-    """The n customer versions with the highest revenue; ties go to the smaller key."""
+def _cents(total: str) -> Column:
+    return F.round(total, 2).cast("double")
+
+
+def _resolved(facts: DataFrame, key: str, resolved_only: bool) -> DataFrame:
+    return facts.where(F.col(key).isNotNull()) if resolved_only else facts
+
+
+def top_customers(sales: DataFrame, n: int = 10, resolved_only: bool = False) -> DataFrame:
+    """The n customer versions with the highest revenue; ties go to the smaller key, NULL last."""
     return (
-        sales.where(F.col("customer_sk").isNotNull())
+        _resolved(sales, "customer_sk", resolved_only)
         .groupBy("customer_sk")
         .agg(_total("line_total").alias("revenue"))
-        .orderBy(F.desc("revenue"), "customer_sk")
+        .orderBy(F.desc(F.round("revenue", 2)), F.asc_nulls_last("customer_sk"))
         .limit(n)
-        .select("customer_sk", F.col("revenue").cast("double").alias("revenue"))
+        .select("customer_sk", _cents("revenue").alias("revenue"))
     )
 
 
@@ -38,21 +47,24 @@ def revenue_by_country(sales: DataFrame, customer: DataFrame) -> DataFrame:
         .groupBy("country")
         .agg(F.sum("part").alias("total"))
         .orderBy(F.desc("total"), "country")
-        .select("country", F.col("total").cast("double").alias("revenue"))
+        .select("country", _cents("total").alias("revenue"))
     )
 
 
-def return_rate(sales: DataFrame, returns: DataFrame) -> DataFrame:
+def return_rate(
+    sales: DataFrame, returns: DataFrame, resolved_only: bool = False
+) -> DataFrame:
     """Sold and returned pieces per product version, and their ratio in percent."""
     sold = (
-        sales.where(F.col("product_sk").isNotNull())
+        _resolved(sales, "product_sk", resolved_only)
         .groupBy("product_sk")
         .agg(F.sum("quantity").alias("sold_quantity"))
     )
     back = returns.groupBy("product_sk").agg(F.sum("quantity").alias("back"))
     returned = F.coalesce("back", F.lit(0))
-    return sold.join(back, "product_sk", "left").select(
-        "product_sk",
+    same = F.col("s.product_sk").eqNullSafe(F.col("b.product_sk"))
+    return sold.alias("s").join(back.alias("b"), same, "left").select(
+        "s.product_sk",
         "sold_quantity",
         returned.alias("returned_quantity"),
         F.when(F.col("sold_quantity") > 0, returned * F.lit(100.0) / F.col("sold_quantity")).alias(

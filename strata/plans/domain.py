@@ -77,10 +77,22 @@ def customer_feed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def customer_state(spark: SparkSession, folder: str, before: dt.date, since: dt.date) -> DataFrame:
+def within(day: str, since: dt.date | None, before: dt.date | None) -> Column:
+    """``since <= day < before``; None leaves an end open, and a NULL day belongs to the open past."""
+    past, coming = F.lit(True), F.lit(True)
+    if since is not None:
+        past = F.coalesce(F.col(day) >= F.lit(since), F.lit(False))
+    if before is not None:
+        coming = F.coalesce(F.col(day) < F.lit(before), F.lit(True))
+    return past & coming
+
+
+def customer_state(
+    spark: SparkSession, folder: str, before: dt.date | None, since: dt.date | None
+) -> DataFrame:
     """Each customer's last report in ``[since, before)``, as a daily batch would deliver it."""
     feed = customer_feed(spark, folder)
-    reported = feed.where((F.col("feed_date") >= F.lit(since)) & (F.col("feed_date") < F.lit(before)))
+    reported = feed.where(within("feed_date", since, before))
     return dedup_latest(reported, ["customer_id"], ["feed_date", "feed_key"]).select(
         "customer_id", "country", "segment"
     )

@@ -17,7 +17,14 @@ from strata.operators.incremental import read_incremental
 from strata.operators.layout import cluster
 from strata.operators.merge import merge_upsert
 from strata.operators.quality import FAILED, HEALTHY_PASS_RATE, rule_counts, validate
-from strata.operators.scd2 import CURRENT, START, next_surrogate, scd2_change, scd2_initial
+from strata.operators.scd2 import (
+    CURRENT,
+    START,
+    next_surrogate,
+    scd2_change,
+    scd2_initial,
+    scd2_rebuild,
+)
 from strata.plans import star
 from strata.sources.landing import (
     BATCH_ID,
@@ -78,9 +85,14 @@ def ingest_bronze(
     batch_id: str | None = None,
     on_bad: str = "quarantine",
     only_new_files: bool = True,
+    ingest_ts: dt.datetime | None = None,
+    paths_only: DataFrame | None = None,
 ) -> dict[str, object]:
     """Read the landing files of a table into bronze.
 
+    Rows carry ``ingest_ts``, by default a moment after that of every batch stored before, so that
+    the later of two runs is the newer one. ``paths_only`` restricts the run to some files.
+
     Files already read, by path and modification time, are skipped; ``only_new_files=False``
     reads the whole folder again. The file list is recorded after the data: should a run stop in
     between, the files are read twice and the duplicates fall to the next layer's deduplication.
@@ -91,6 +103,8 @@ def ingest_bronze(
         if only_new_files and tables.exists("bronze", ledger):
             seen = tables.read("bronze", ledger)
             files = files.join(seen, [SOURCE_FILE, "modified"], "left_anti")
+        if paths_only is not None:
+            files = files.join(paths_only.select(SOURCE_FILE).distinct(), SOURCE_FILE, "left_semi")
         files = materialize(files)
         # A scan needs the path of every file on the driver in any case.
         paths = [row[0] for row in files.select(SOURCE_FILE).collect()]
@@ -99,8 +113,8 @@ def ingest_bronze(
         raw = read_landing(tables.spark, paths, spec.schema, on_bad)
         if on_bad == "fail":
             raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
-        moment = dt.datetime.combine(as_of, dt.datetime.now(dt.timezone.utc).timetz())
-        tagged = tag_metadata(raw, batch_id or str(uuid.uuid4()), moment)
+        moment = ingest_ts or next_ingest_ts(tables, spec, as_of)
+        tagged = tag_metadata(raw, batch_id or str(uuid.uuid4()), moment, ingest_date=as_of)
         result = store_bronze(tables, spec, tagged, as_of)
         tables.append(
             files.withColumn(INGEST_DATE, F.lit(as_of)),
@@ -111,6 +125,23 @@ def ingest_bronze(
         return result
 
 
+def next_ingest_ts(tables: Tables, spec: TableSpec, as_of: dt.date) -> dt.datetime:
+    """Midnight of ``as_of``, or a microsecond after the newest stored batch if that is later.
+
+    Batches only ever get later, so the newest generation holds the greatest moment.
+    """
+    moment = dt.datetime.combine(as_of, dt.time(tzinfo=dt.timezone.utc))
+    generations = tables.generations("bronze", spec.name)
+    if not generations:
+        return moment
+    newest = max(generations, key=lambda g: int(g.split("=")[1]))
+    rows = tables.read("bronze", spec.name, only=lambda d: generation_of(d) == newest)
+    stored = rows.agg(F.max(INGEST_TS)).first()[0]
+    if stored is None:
+        return moment
+    return max(moment, dt.datetime.fromisoformat(stored) + dt.timedelta(microseconds=1))
+
+
 def run_bronze(
     tables: Tables,
     specs: Iterable[TableSpec],
@@ -149,10 +180,33 @@ class _Batch:
     seen: Observation
 
 
-def _batch(tables: Tables, spec: TableSpec, as_of: dt.date, mode: str) -> _Batch | None:
+def pending_generations(tables: Tables, spec: TableSpec) -> dict[str, list[str]]:
+    """Bronze generations that silver has not seen, by ingest day, oldest day first."""
     state = tables.published("silver", spec.name)
     done = set(state.consumed) if state else set()
-    pending = [g for g in tables.generations("bronze", spec.name) if g not in done]
+    bronze = tables.published("bronze", spec.name)
+    days: dict[str, list[str]] = {}
+    for directory in bronze.dirs if bronze else ():
+        generation = generation_of(directory)
+        if generation in done:
+            continue
+        marks = [p.split("=", 1)[1] for p in directory.split("/") if p.startswith(f"{INGEST_DATE}=")]
+        own = days.setdefault(marks[0] if marks else "", [])
+        if generation not in own:
+            own.append(generation)
+    return dict(sorted(days.items()))
+
+
+def _batch(
+    tables: Tables,
+    spec: TableSpec,
+    as_of: dt.date,
+    mode: str,
+    pending: list[str] | None = None,
+) -> _Batch | None:
+    state = tables.published("silver", spec.name)
+    if pending is None:
+        pending = [g for own in pending_generations(tables, spec).values() for g in own]
     if mode == "batch":
         incremental = tables.read("bronze", spec.name, only=lambda d: generation_of(d) in pending)
         if not pending:
@@ -170,7 +224,7 @@ def _batch(tables: Tables, spec: TableSpec, as_of: dt.date, mode: str) -> _Batch
     deduped = dedup_latest(
         incremental.observe(seen, F.count(F.lit(1)).alias("incremental_count")),
         key,
-        [INGEST_TS],
+        [INGEST_DATE, INGEST_TS],
         tie_break=[*values, SOURCE_FILE, BATCH_ID],
     )
     checks = [*R.build_all(spec.dq_rules, as_of), R.key_present(key)]
@@ -285,12 +339,47 @@ def refine_dimension(
     """Merge the unprocessed bronze rows into a type-2 history.
 
     History is partitioned by ``is_current``: a batch rewrites the current versions, adds the
-    ones it closes and leaves those closed before untouched, all in one publication. The greatest
-    surrogate key always belongs to a current version, so closed ones are not read at all.
+    ones it closes and leaves those closed before untouched, all in one publication. Of those,
+    only the column of surrogate keys is read.
+
+    Several pending ingest days are merged one after the other, as of their own days (the last one
+    as of ``as_of``), so that catching up gives the history that daily runs would have.
     """
     if not spec.keeps_history:
         raise ValueError(f"{spec.name} keeps no history; use refine_fact")
-    batch = _batch(tables, spec, as_of, mode)
+    days = list(pending_generations(tables, spec).items()) if mode == "batch" else []
+    if len(days) > 1:
+        steps = []
+        for day, own in days:
+            moment = as_of if day == days[-1][0] or not day else dt.date.fromisoformat(day)
+            steps.append(_refine_dimension(tables, spec, moment, mode, initial_start, own))
+            initial_start = None
+        return _added(steps)
+    return _refine_dimension(tables, spec, as_of, mode, initial_start)
+
+
+def _added(steps: list[dict]) -> dict[str, object]:
+    """The counts of several steps as those of one."""
+    total = {**steps[-1], "violations": {}}
+    for count in ("incremental_count", "total_count", "valid_count", "invalid_count"):
+        total[count] = sum(step[count] for step in steps)
+    for step in steps:
+        for label, n in step["violations"].items():
+            total["violations"][label] = total["violations"].get(label, 0) + n
+    total["pass_rate"] = total["valid_count"] * 100.0 / total["total_count"] if total["total_count"] else 100.0
+    total["level"] = "INFO" if total["pass_rate"] >= HEALTHY_PASS_RATE else "WARNING"
+    return total
+
+
+def _refine_dimension(
+    tables: Tables,
+    spec: TableSpec,
+    as_of: dt.date,
+    mode: str,
+    initial_start: dt.date | None,
+    pending: list[str] | None = None,
+) -> dict[str, object]:
+    batch = _batch(tables, spec, as_of, mode, pending)
     if batch is None:
         return _nothing_new(spec)
     valid, counts = _stage(tables, spec, batch)
@@ -305,7 +394,8 @@ def refine_dimension(
             return counts
         is_current = f"{CURRENT}=true"
         current = tables.read("silver", spec.name, only=lambda d: is_current in d.split("/"))
-        change = scd2_change(valid, current, key, tracked, sk, as_of, next_surrogate(current, sk))
+        following = next_surrogate(tables.read("silver", spec.name), sk)
+        change = scd2_change(valid, current, key, tracked, sk, as_of, following)
         if change is None:
             tables.mark_consumed("silver", spec.name, batch.pending)
             return counts
@@ -386,9 +476,12 @@ def build_gold(
     name: str,
     partitions: dict[str, list[str]] = GOLD_PARTITIONS,
     incremental: bool = False,
+    calendar: tuple[dt.date, dt.date] | None = None,
 ) -> dict[str, object]:
     """Build and publish one gold table; without its inputs it is skipped with zero rows.
 
+    ``calendar`` is the first and last day of ``dim_date``; by default the whole years of the facts.
+
     ``partitions`` may name another layout, e.g. none for facts with few rows per day. With
     ``incremental`` a fact partitioned by day rebuilds only the days that can have changed, see
     ``days_to_rebuild``; the result is the same.
@@ -411,7 +504,7 @@ def build_gold(
             inputs[0] = tables.read(*facts, only=stale)
             keep = lambda d: not stale(d)
         if name == "dim_date":
-            built = star.dim_date(tables.spark)
+            built = star.dim_date(tables.spark, *(calendar or calendar_range(tables)))
         elif name in GOLD_NUMBERED and tables.exists("gold", name):
             built = getattr(star, name)(*inputs, previous=tables.read("gold", name))
         else:
@@ -429,6 +522,25 @@ def build_gold(
     return _built(name, written.metrics["row_count"])
 
 
+#: Silver facts and their event dates, which the calendar has to cover.
+EVENT_DATES = {
+    "sales": "sale_date", "online_orders": "order_date", "inventory": "snapshot_date",
+    "shipping": "ship_date",
+}
+
+
+def calendar_range(tables: Tables) -> tuple[dt.date, dt.date]:
+    """From the first day of the facts' first year to the last day of their last year."""
+    found = []
+    for table, day in EVENT_DATES.items():
+        if tables.exists("silver", table):
+            rows = tables.read("silver", table)
+            if day in rows.columns:
+                found += [d for d in rows.agg(F.min(day), F.max(day)).first() if d is not None]
+    years = [d.year for d in found] or [2026]
+    return dt.date(min(years), 1, 1), dt.date(max(years), 12, 31)
+
+
 def _built(name: str, rows: int, skipped: str | None = None) -> dict[str, object]:
     return {"table_name": name, "layer": "gold", "row_count": rows, "skipped": skipped}
 
@@ -496,9 +608,10 @@ def run_gold(
     names: Iterable[str] = tuple(GOLD_INPUTS),
     partitions: dict[str, list[str]] = GOLD_PARTITIONS,
     incremental: bool = False,
+    calendar: tuple[dt.date, dt.date] | None = None,
 ) -> dict[str, dict]:
     """All gold tables in dependency order."""
-    return {name: build_gold(tables, name, partitions, incremental) for name in names}
+    return {name: build_gold(tables, name, partitions, incremental, calendar) for name in names}
 
 
 def write_clustered(
@@ -535,26 +648,119 @@ def reprocess(
     landing_root: str,
     dates: Iterable[dt.date],
     as_of: dt.date | None = None,
+    relanded: dict[dt.date, str] | None = None,
 ) -> list[dict]:
-    """Drop the bronze rows of the given ingest dates, read their files again and refine them.
+    """Read the files of past ingest days again and bring silver to what the corrected days give.
 
-    Silver is idempotent: rows that come out the same change nothing.
+    Bronze and quarantine rows of the days are dropped and their own files, no others, are read
+    again; ``relanded`` names another landing root for a day whose files were delivered anew. Every business key that the days held before or hold now is then recomputed from all its
+    bronze rows: facts keep the row of the latest day, histories are rebuilt day by day, and keys
+    that are gone from bronze leave silver. Later days are thus never reverted. Versions whose key
+    and start survive keep their surrogate key. Rules see ``as_of``, by default the last of the days.
     """
+    days = sorted(set(dates))
     results = []
     for spec in specs:
-        for day in dates:
-            for table in (spec.name, f"{spec.name}_files"):
-                if tables.exists("bronze", table):
-                    tables.replace_partition(None, "bronze", table, INGEST_DATE, day)
-            if tables.exists("quarantine", spec.name):
-                tables.replace_partition(None, "quarantine", spec.name, INGEST_DATE, day)
+        if not days or not tables.exists("bronze", spec.name):
+            continue
+        with temporary_steps(tables.spark):
+            key = list(spec.business_key)
+            held = tables.read("bronze", spec.name).where(F.col(INGEST_DATE).isin(days))
+            before = materialize(held.select(*key).distinct())
+            files = tables.read("bronze", f"{spec.name}_files")
+            files = materialize(files.where(F.col(INGEST_DATE).isin(days)))
             landing = f"{landing_root}/{spec.source_path or spec.name}"
-            results.append(ingest_bronze(tables, spec, landing, day))
-            refine = refine_dimension if spec.keeps_history else refine_fact
-            results.append(refine(tables, spec, as_of or day))
+            for day in days:
+                for table in (spec.name, f"{spec.name}_files"):
+                    tables.replace_partition(None, "bronze", table, INGEST_DATE, day)
+                if tables.exists("quarantine", spec.name):
+                    tables.replace_partition(None, "quarantine", spec.name, INGEST_DATE, day)
+                if day in (relanded or {}):
+                    anew = f"{relanded[day]}/{spec.source_path or spec.name}"
+                    results.append(ingest_bronze(tables, spec, anew, day, only_new_files=False))
+                    continue
+                own = files.where(F.col(INGEST_DATE) == F.lit(day))
+                results.append(ingest_bronze(tables, spec, landing, day, paths_only=own))
+            held = tables.read("bronze", spec.name).where(F.col(INGEST_DATE).isin(days))
+            touched = materialize(before.union(held.select(*key)).distinct().dropna(subset=key))
+            results.append(_recompute(tables, spec, touched, as_of or days[-1]))
     return results
 
 
+def _recompute(tables: Tables, spec: TableSpec, touched: DataFrame, as_of: dt.date) -> dict:
+    """Silver rows of the touched keys anew from all of bronze; all other rows stay.
+
+    Bronze generations that silver has not seen are not marked as seen, except for those that hold
+    nothing but touched keys' days: refining them later changes nothing that is already there.
+    """
+    key, layout = list(spec.business_key), list(spec.partition_by)
+    rows = tables.read("bronze", spec.name).join(touched, key, "left_semi")
+    names = [c["name"] for c in spec.columns]
+    values = [c for c in names if c not in key]
+    checks = [*R.build_all(spec.dq_rules, as_of), R.key_present(key)]
+    latest, ties = [INGEST_DATE, INGEST_TS], [*values, SOURCE_FILE, BATCH_ID]
+    by = [*key, INGEST_DATE] if spec.keeps_history else key
+    flagged = validate(dedup_latest(rows, by, latest, tie_break=ties), checks).flagged
+    flagged = materialize(flagged.withColumn(OK, F.size(FAILED) == 0))
+    counted = flagged.agg(
+        F.count(F.lit(1)).alias("total_count"), F.count(F.when(F.col(OK), 1)).alias("valid_count")
+    ).first()
+    counts = {
+        "incremental_count": counted["total_count"],
+        **_counts(spec.name, "silver", [], counted.asDict()),
+    }
+    rejected = f"{spec.name}_silver"
+    if tables.exists("quarantine", rejected):
+        kept = tables.read("quarantine", rejected).join(touched, key, "left_anti")
+        tables.write(materialize(kept), "quarantine", rejected)
+    _quarantine(tables, spec, flagged, counts)
+    good = _good(flagged)
+    seen = tables.generations("bronze", spec.name)
+    if not tables.exists("silver", spec.name):
+        step = refine_dimension if spec.keeps_history else refine_fact
+        return step(tables, spec, as_of)
+    silver = tables.read("silver", spec.name)
+    untouched = silver.join(touched, key, "left_anti").select(*silver.columns)
+    options = {"partition_by": [CURRENT] if spec.keeps_history else layout}
+    if spec.keeps_history:
+        good = _rebuilt(spec, silver.join(touched, key, "left_semi"), silver, good)
+    fresh = untouched.unionByName(good.select(*silver.columns))
+    done = tables.published("silver", spec.name).consumed
+    pending = {g for own in pending_generations(tables, spec).values() for g in own}
+    whole = [g for g in seen if g not in done and g in pending and _only_touched(tables, spec, g, touched)]
+    tables.write(_sized(fresh, options["partition_by"]), "silver", spec.name, consumed=whole, **options)
+    return counts
+
+
+def _only_touched(tables: Tables, spec: TableSpec, generation: str, touched: DataFrame) -> bool:
+    rows = tables.read("bronze", spec.name, only=lambda d: generation_of(d) == generation)
+    return rows.join(touched, list(spec.business_key), "left_anti").isEmpty()
+
+
+def _rebuilt(
+    spec: TableSpec, old: DataFrame, silver: DataFrame, good: DataFrame
+) -> DataFrame:
+    """The touched keys' history from their daily rows, surviving versions with their old key."""
+    key, tracked, sk = list(spec.business_key), list(spec.tracked_columns), spec.surrogate_key_col
+    first = silver.agg(F.min(START)).first()[0]
+    began = good.agg(F.min(INGEST_DATE)).first()[0]
+    # The first load may have dated its versions back; the same keys are dated back again.
+    back = old.where(F.col(START) == F.lit(first)).select(*key).distinct() if first else None
+    versions = scd2_rebuild(good, key, tracked, "_new_sk", INGEST_DATE, [INGEST_TS])
+    if back is not None and began is not None and first < began:
+        oldest = versions.groupBy(*key).agg(F.min(START).alias("_first"))
+        dated = versions.join(oldest, key).join(back.withColumn("_back", F.lit(True)), key, "left")
+        start = F.when(F.col("_back") & (F.col(START) == F.col("_first")), F.lit(first))
+        versions = dated.withColumn(START, F.coalesce(start, F.col(START))).drop("_first", "_back")
+    known = old.select(*key, START, F.col(sk).alias("_old_sk"))
+    following = next_surrogate(silver, sk)
+    return (
+        versions.join(known, [*key, START], "left")
+        .withColumn(sk, F.coalesce("_old_sk", F.col("_new_sk") + F.lit(following)))
+        .drop("_old_sk", "_new_sk")
+    )
+
+
 def run_metrics(tables: Tables, results: Iterable[dict]) -> DataFrame:
     """The results of a run as one row per step."""
     columns = {

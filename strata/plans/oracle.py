@@ -168,34 +168,40 @@ checked AS (
          order_date <= DATE '2000-06-30' AS not_future FROM checked_orders)"""
 
 
-def line_state(name: str, since: str, before: str) -> str:
+def within(day: str, since: str | None, before: str | None) -> str:
+    if since is None:
+        return f"coalesce({day} < DATE '{before}', TRUE)"
+    return f"{day} >= DATE '{since}'"
+
+
+def line_state(name: str, since: str | None, before: str | None) -> str:
     return f"""
 {name} AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, ship_date
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
           ORDER BY ship_date DESC, l_partkey DESC, l_quantity DESC, l_extendedprice DESC) AS rn
         FROM (SELECT *, CAST(l_shipdate AS DATE) AS ship_date FROM lineitem) l
-        WHERE ship_date >= DATE '{since}' AND ship_date < DATE '{before}') t
+        WHERE {within('ship_date', since, before)}) t
   WHERE rn = 1)"""
 
 
-def customer_state(name: str, since: str, before: str) -> str:
+def customer_state(name: str, since: str | None, before: str | None) -> str:
     return f"""
 {name} AS (
   SELECT customer_id, country, segment
   FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
           ORDER BY feed_date DESC, o_orderkey DESC) AS rn FROM customer_feed
-        WHERE feed_date >= DATE '{since}' AND feed_date < DATE '{before}') t
+        WHERE {within('feed_date', since, before)}) t
   WHERE rn = 1)"""
 
 
-EARLY_LINES = line_state("early", "1995-01-01", "1998-07-01")
-LATE_LINES = line_state("late", "1998-07-01", "2002-01-01")
+EARLY_LINES = line_state("early", None, "1998-07-01")
+LATE_LINES = line_state("late", "1998-07-01", None)
 TWO_BATCHES = ",".join(
     [
         CUSTOMER_FEED,
-        customer_state("first_batch", "1995-01-01", "1998-07-01"),
-        customer_state("second_batch", "1998-07-01", "2002-01-01"),
+        customer_state("first_batch", None, "1998-07-01"),
+        customer_state("second_batch", "1998-07-01", None),
     ]
 ) + """,
 first_load AS (
@@ -209,6 +215,39 @@ changed AS (
      OR s.segment IS DISTINCT FROM t.segment)"""
 
 
+THREE_DAYS = (
+    CUSTOMER_FEED,
+    """
+reported AS (
+  SELECT customer_id, country, segment, day FROM (
+    SELECT *, row_number() OVER (PARTITION BY customer_id, day
+        ORDER BY feed_date DESC NULLS LAST, o_orderkey DESC) AS rn
+    FROM (SELECT *, CASE WHEN feed_date >= DATE '2000-07-01' THEN DATE '2002-01-01'
+                         WHEN feed_date >= DATE '1998-07-01' THEN DATE '2000-07-01'
+                         ELSE DATE '1998-07-01' END AS day FROM customer_feed) f) t
+  WHERE rn = 1)""",
+)
+CORRECTED = """
+  SELECT customer_id, country, CASE WHEN day = DATE '2000-07-01' AND customer_id::BIGINT % 5 = 0
+                                    THEN 'MOVED' ELSE segment END AS segment, day
+  FROM reported WHERE NOT (day = DATE '2000-07-01' AND customer_id::BIGINT % 3 = 0)"""
+
+
+def folded(rows: str) -> str:
+    """The history that the daily rows make, one version per change."""
+    return f"""
+lagged AS (
+  SELECT *, row_number() OVER w AS nth, lag(country) OVER w AS was_country,
+         lag(segment) OVER w AS was_segment
+  FROM ({rows}) r WINDOW w AS (PARTITION BY customer_id ORDER BY day)),
+folded AS (
+  SELECT customer_id, country, segment, day AS effective_start_date,
+         lead(day) OVER (PARTITION BY customer_id ORDER BY day) AS effective_end_date,
+         lead(day) OVER (PARTITION BY customer_id ORDER BY day) IS NULL AS is_current
+  FROM lagged
+  WHERE nth = 1 OR country IS DISTINCT FROM was_country OR segment IS DISTINCT FROM was_segment)"""
+
+
 def merged(day: str) -> str:
     return f"""
 merged AS (
@@ -373,6 +412,11 @@ FROM changes""",
     + f"""SELECT s.invoice_id, s.stock_code, s.sale_date, p.product_sk FROM sales s
           LEFT JOIN product_history p
             ON s.stock_code = p.stock_code AND {valid_on('p', 's.sale_date')}""",
+    "point_in_time_overlap": with_(ORDERS, CUSTOMER_HISTORY)
+    + f"""SELECT o.order_id, o.customer_id, o.order_date, c.customer_sk, s.strategy
+          FROM (SELECT 'range' AS strategy UNION ALL SELECT 'asof') s, online_orders o
+          LEFT JOIN customer_history c
+            ON o.customer_id = c.customer_id AND {valid_on('c', 'o.order_date')}""",
     "point_in_time_last_day": with_(ORDERS, CUSTOMER_HISTORY)
     + """SELECT o.order_id, o.customer_id, o.order_date, c.customer_sk FROM online_orders o
          LEFT JOIN (SELECT customer_id, customer_sk, effective_start_date AS first_day,
@@ -459,22 +503,22 @@ SELECT invoice_id, stock_code, sale_date, promo_id, discount_pct FROM ranked WHE
                 count(*) FILTER (WHERE product_sk NOT IN
                   (SELECT product_sk FROM product_history)) FROM fact_sales""",
     "revenue_by_country": with_(FACT_SALES)
-    + """SELECT country, CAST(sum(CAST(line_total AS DECIMAL(18, 2))) AS DOUBLE) AS revenue
+    + """SELECT country, CAST(round(sum(CAST(line_total AS DECIMAL(28, 6))), 2) AS DOUBLE) AS revenue
          FROM fact_sales JOIN customer_history USING (customer_sk)
          GROUP BY country ORDER BY revenue DESC, country""",
     "top_customers": with_(FACT_SALES)
-    + """SELECT customer_sk, CAST(sum(CAST(line_total AS DECIMAL(18, 2))) AS DOUBLE) AS revenue
-         FROM fact_sales WHERE customer_sk IS NOT NULL
-         GROUP BY customer_sk ORDER BY revenue DESC, customer_sk LIMIT 10""",
+    + """SELECT customer_sk, CAST(round(sum(CAST(line_total AS DECIMAL(28, 6))), 2) AS DOUBLE) AS revenue
+         FROM fact_sales
+         GROUP BY customer_sk ORDER BY revenue DESC, customer_sk NULLS LAST LIMIT 10""",
     "return_rate": with_(FACT_SALES, FACT_RETURNS)
     + """, sold AS (
-  SELECT product_sk, CAST(sum(quantity) AS BIGINT) AS sold_quantity FROM fact_sales
-  WHERE product_sk IS NOT NULL GROUP BY product_sk),
+  SELECT product_sk, CAST(sum(quantity) AS BIGINT) AS sold_quantity FROM fact_sales GROUP BY product_sk),
 back AS (
   SELECT product_sk, CAST(sum(quantity) AS BIGINT) AS quantity FROM fact_returns GROUP BY product_sk)
 SELECT s.product_sk, s.sold_quantity, coalesce(b.quantity, 0) AS returned_quantity,
-       coalesce(b.quantity, 0) * 100.0::DOUBLE / s.sold_quantity AS return_percent
-FROM sold s LEFT JOIN back b ON s.product_sk = b.product_sk""",
+       CASE WHEN s.sold_quantity > 0
+         THEN coalesce(b.quantity, 0) * 100.0::DOUBLE / s.sold_quantity END AS return_percent
+FROM sold s LEFT JOIN back b ON s.product_sk IS NOT DISTINCT FROM b.product_sk""",
     "latest_stock": with_(FACT_INVENTORY)
     + """SELECT store_sk, stock_code, snapshot_date, stock_on_hand FROM (
            SELECT i.*, p.stock_code, row_number() OVER (PARTITION BY i.store_sk, p.stock_code
@@ -523,6 +567,8 @@ FROM merged""",
     "reprocessed_day": with_(ORDERS)
     + """, good AS (SELECT * FROM online_orders WHERE order_status IN ('F', 'O'))
 SELECT *, 'silver' AS layer FROM good UNION ALL SELECT *, 'bronze' FROM good""",
+    "reprocessed_history": with_(*THREE_DAYS, folded(CORRECTED)) + "SELECT * FROM folded",
+    "silver_catch_up": with_(*THREE_DAYS, folded("SELECT * FROM reported")) + "SELECT * FROM folded",
     "clustered_sales": with_(SALES)
     + """SELECT CAST(customer_id AS BIGINT) AS customer_key, CAST(stock_code AS BIGINT) AS part_key,
                 CAST(year(sale_date) AS INTEGER) AS sale_year,

@@ -207,21 +207,26 @@ def incremental_by_batch(spark: SparkSession, folder: str) -> DataFrame:
 # -- merges and history -----------------------------------------------------------------
 
 
-def _line_state(spark: SparkSession, folder: str, since: dt.date, before: dt.date) -> DataFrame:
-    """The last shipment of each order line within ``[since, before)``."""
+def _line_state(
+    spark: SparkSession, folder: str, since: dt.date | None, before: dt.date | None
+) -> DataFrame:
+    """The last shipment of each order line within ``[since, before)``, either end open if None.
+
+    Lines without a date belong to the part that is open at its beginning.
+    """
     lines = given(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
         F.col("l_shipdate").cast("date").alias("ship_date"),
     )
-    sent = lines.where((F.col("ship_date") >= F.lit(since)) & (F.col("ship_date") < F.lit(before)))
+    sent = lines.where(domain.within("ship_date", since, before))
     return dedup_latest(sent, ["l_orderkey", "l_linenumber"], ["ship_date"])
 
 
 @query
 def upsert_lines(spark: SparkSession, folder: str) -> DataFrame:
     return merge_upsert(
-        _line_state(spark, folder, SECOND_CUT, LAST_CUT),
-        _line_state(spark, folder, FIRST_CUT, SECOND_CUT),
+        _line_state(spark, folder, SECOND_CUT, None),
+        _line_state(spark, folder, None, SECOND_CUT),
         ["l_orderkey", "l_linenumber"],
         check_unique=False,
     )
@@ -231,8 +236,8 @@ def upsert_lines(spark: SparkSession, folder: str) -> DataFrame:
 def upsert_lines_replayed(spark: SparkSession, folder: str) -> DataFrame:
     """An older batch replayed over a newer state: only keys the state lacks come in."""
     return merge_upsert(
-        _line_state(spark, folder, FIRST_CUT, SECOND_CUT),
-        _line_state(spark, folder, SECOND_CUT, LAST_CUT),
+        _line_state(spark, folder, None, SECOND_CUT),
+        _line_state(spark, folder, SECOND_CUT, None),
         ["l_orderkey", "l_linenumber"],
         newer_than="ship_date",
         check_unique=False,
@@ -243,12 +248,12 @@ KEY, TRACKED, SK = ["customer_id"], ["country", "segment"], "customer_sk"
 
 
 def _first_load(spark: SparkSession, folder: str) -> DataFrame:
-    state = domain.customer_state(spark, folder, SECOND_CUT, FIRST_CUT)
+    state = domain.customer_state(spark, folder, SECOND_CUT, None)
     return scd2_initial(state, KEY, TRACKED, SK, SECOND_CUT, FIRST_CUT)
 
 
 def _second_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return domain.customer_state(spark, folder, LAST_CUT, SECOND_CUT)
+    return domain.customer_state(spark, folder, None, SECOND_CUT)
 
 
 def _merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,6 +357,18 @@ def point_in_time_asof(spark: SparkSession, folder: str) -> DataFrame:
     return pit_join(lines, history, ["stock_code"], "sale_date", "product_sk", strategy="asof")
 
 
+@query
+def point_in_time_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions that run 90 days into the next one: every order still meets one version at most."""
+    orders = domain.online_orders(spark, folder).select("order_id", "customer_id", "order_date")
+    history = domain.customer_history(spark, folder).withColumn(END, F.date_add(F.col(END), 90))
+    found = [
+        pit_join(orders, history, KEY, "order_date", SK, strategy=s).withColumn("strategy", F.lit(s))
+        for s in ("range", "asof")
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query
 def point_in_time_last_day(spark: SparkSession, folder: str) -> DataFrame:
     """The same versions with their end written as the last valid day."""
@@ -586,7 +603,7 @@ def landing_to_star(spark: SparkSession, folder: str) -> DataFrame:
     specs = [SALES, CUSTOMER, PRODUCT, STORE]
     export_landing(domain.sales(spark, folder), f"{landing}/sales")
     export_landing(
-        domain.customer_state(spark, folder, SECOND_CUT, FIRST_CUT), f"{landing}/customer/1"
+        domain.customer_state(spark, folder, SECOND_CUT, None), f"{landing}/customer/1"
     )
     export_landing(_part_prices(spark, folder), f"{landing}/product")
     export_landing(domain.stores(spark, folder), f"{landing}/store")
@@ -629,7 +646,7 @@ def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def silver_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Two landing batches of shipments upserted into a partitioned silver table."""
+    """Two landing batches of shipments upserted into a silver table."""
     tables = Tables(spark, _folder(spark))
     spec = _spec(
         "lines",
@@ -637,12 +654,13 @@ def silver_upsert(spark: SparkSession, folder: str) -> DataFrame:
         "l_extendedprice:double ship_date:date",
         ["l_orderkey", "l_linenumber"],
     )
-    for number, (since, before) in enumerate([(FIRST_CUT, SECOND_CUT), (SECOND_CUT, LAST_CUT)]):
+    parts = [(None, SECOND_CUT, SECOND_CUT), (SECOND_CUT, None, LAST_CUT)]
+    for number, (since, before, day) in enumerate(parts):
         export_landing(
             _line_state(spark, folder, since, before), f"{tables.root}/landing/lines/{number}"
         )
-        layers.run_bronze(tables, [spec], f"{tables.root}/landing", before)
-        layers.run_silver(tables, [spec], before)
+        layers.run_bronze(tables, [spec], f"{tables.root}/landing", day)
+        layers.run_silver(tables, [spec], day)
     return tables.read("silver", "lines").select([c["name"] for c in spec.columns])
 
 
@@ -662,6 +680,53 @@ def reprocessed_day(spark: SparkSession, folder: str) -> DataFrame:
     return kept.unionByName(stored)
 
 
+@query
+def reprocessed_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Three ingest days of customers, the middle one landed again with rows changed and removed.
+
+    Day by day: the customers' last reports before a cut, between two cuts, and after. The
+    corrected middle day lacks every third customer and moves every fifth to another segment.
+    """
+    tables = Tables(spark, _folder(spark))
+    landing = f"{tables.root}/landing"
+    for day, part in _three_days(spark, folder):
+        export_landing(part, f"{landing}/customer/{day}")
+        layers.run_bronze(tables, [CUSTOMER], landing, day)
+        layers.run_silver(tables, [CUSTOMER], day)
+    middle, part = _three_days(spark, folder)[1]
+    number = F.col("customer_id").cast("bigint")
+    moved = F.when(number % 5 == 0, F.lit("MOVED")).otherwise(F.col("segment"))
+    corrected = part.where(number % 3 != 0).withColumn("segment", moved)
+    export_landing(corrected, f"{tables.root}/corrected/customer")
+    layers.reprocess(
+        tables, [CUSTOMER], landing, [middle], relanded={middle: f"{tables.root}/corrected"}
+    )
+    return tables.read("silver", "customer").select(*KEY, *TRACKED, START, END, "is_current")
+
+
+THIRD_CUT = dt.date(2000, 7, 1)
+
+
+def _three_days(spark: SparkSession, folder: str) -> list[tuple[dt.date, DataFrame]]:
+    cuts = [(None, SECOND_CUT), (SECOND_CUT, THIRD_CUT), (THIRD_CUT, None)]
+    days = [SECOND_CUT, THIRD_CUT, LAST_CUT]
+    return [
+        (day, domain.customer_state(spark, folder, before, since))
+        for day, (since, before) in zip(days, cuts, strict=True)
+    ]
+
+
+@query
+def silver_catch_up(spark: SparkSession, folder: str) -> DataFrame:
+    """Three ingest days of customers in bronze, refined in one run."""
+    tables = Tables(spark, _folder(spark))
+    for day, part in _three_days(spark, folder):
+        export_landing(part, f"{tables.root}/landing/customer/{day}")
+        layers.run_bronze(tables, [CUSTOMER], f"{tables.root}/landing", day)
+    layers.run_silver(tables, [CUSTOMER], LAST_CUT)
+    return tables.read("silver", "customer").select(*KEY, *TRACKED, START, END, "is_current")
+
+
 @query
 def clustered_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Sales written clustered by customer and part within their year, and read back."""

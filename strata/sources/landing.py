@@ -50,10 +50,12 @@ def tag_metadata(
     batch_id: str | None = None,
     ingest_ts: dt.datetime | None = None,
     source: str | Column | None = None,
+    ingest_date: dt.date | None = None,
 ) -> DataFrame:
     """Add the four audit columns, the same literals for all rows of a run.
 
-    ``_source_file`` is the file a row was read from, unless ``source`` says otherwise.
+    ``_source_file`` is the file a row was read from, unless ``source`` says otherwise;
+    ``_ingest_date`` is the day of ``ingest_ts``, unless ``ingest_date`` is given.
     """
     moment = ingest_ts or dt.datetime.now(dt.timezone.utc)
     if source is None:
@@ -62,9 +64,9 @@ def tag_metadata(
     return df.withColumns(
         {
             SOURCE_FILE: file,
-            INGEST_TS: F.lit(moment.isoformat()),
+            INGEST_TS: F.lit(moment.isoformat(timespec="microseconds") if ingest_date else moment.isoformat()),
             BATCH_ID: F.lit(batch_id or str(uuid.uuid4())),
-            INGEST_DATE: F.lit(moment.date()),
+            INGEST_DATE: F.lit(ingest_date or moment.date()),
         }
     )
 

@@ -43,6 +43,8 @@ class Published:
     consumed: tuple[str, ...] = ()
     sizes: dict[str, int] = field(default_factory=dict)
     inputs: dict[str, int] = field(default_factory=dict)
+    #: The greatest generation number ever published, dropped generations included.
+    last: int = field(default=0, compare=False)
 
     def paths(self, dirs: list[str]) -> list[str]:
         """Paths to scan for ``dirs``: a generation that is needed whole is named once."""
@@ -113,10 +115,13 @@ class Tables:
             consumed=tuple(state["consumed"]),
             sizes=state["sizes"],
             inputs=state["inputs"],
+            last=state.get("last", 0),
         )
 
     def _publish(self, layer: str, table: str, state: Published) -> None:
         folder = f"{self.base(layer, table)}/_published"
+        before = self.published(layer, table)
+        numbers = [int(g.split("=")[1]) for g in state.sizes]
         body = json.dumps(
             {
                 "version": state.version,
@@ -127,6 +132,7 @@ class Tables:
                 "consumed": list(state.consumed),
                 "sizes": {g: state.sizes[g] for g in {generation_of(d) for d in state.dirs}},
                 "inputs": state.inputs,
+                "last": max([state.last, before.last if before else 0, *numbers]),
             }
         )
         fs = self._fs()
@@ -252,8 +258,8 @@ class Tables:
         schema = _nullable(df.drop(flag).schema)
         narrow = T.StructType([f for f in schema.fields if f.name not in set(drop_accepted)])
         for side, address, columns in (
-            ("false", rejected, schema),
             ("true", accepted, narrow),
+            ("false", rejected, schema),
         ):
             mine = [f"{generation}/{leaf}" for leaf in leaves if leaf.split("/")[0] == f"{flag}={side}"]
             state = self.published(*address)
@@ -361,6 +367,9 @@ class Tables:
             for n in self._children(self.base(layer, table))
             if n.startswith(f"{GEN}=")
         ]
+        # A number once published is in ledgers of other tables and never used again.
+        state = self.published(layer, table)
+        taken.append(state.last if state else 0)
         return f"{GEN}={max(taken, default=0) + 1}"
 
     def _store(self, df, path, partition_by, metrics) -> dict:

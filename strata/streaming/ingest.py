@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from strata.plans.layers import refine_dimension, refine_fact, store_bronze
+from strata.plans.layers import next_ingest_ts, refine_dimension, refine_fact, store_bronze
 from strata.sources.landing import CORRUPT, SOURCE_FILE, tag_metadata
 from strata.sources.tables import Tables
 from strata.spec import TableSpec
@@ -40,25 +41,32 @@ def stream_ingest(
     """Ingest everything that has landed, then stop; start it again to continue.
 
     The stream's checkpoint remembers the files. A micro-batch repeated after a failure is
-    recognised by its number in the bronze ledger and not stored twice.
+    recognised in the bronze ledger, by its number and the id that its stream keeps in the
+    checkpoint, and not stored twice. Another stream, or one that has lost its checkpoint, has an
+    id of its own and stores what it reads; silver then keeps the latest row of each key.
     """
+    known = threading.Event()
+    identity: list[str] = []
 
     def store(batch: DataFrame, number: int) -> None:
-        mark = f"stream-{number}"
+        known.wait()
+        mark = f"stream-{identity[0]}-{number}"
         state = tables.published("bronze", spec.name)
         if state is None or mark not in state.consumed:
-            moment = dt.datetime.combine(as_of, dt.time(tzinfo=dt.timezone.utc))
-            moment += dt.timedelta(microseconds=number)
-            tagged = tag_metadata(batch, mark, moment, F.col(SOURCE_FILE))
+            moment = next_ingest_ts(tables, spec, as_of)
+            tagged = tag_metadata(batch, mark, moment, F.col(SOURCE_FILE), as_of)
             store_bronze(tables, spec, tagged, as_of, consumed=[mark])
         if refine:
             step = refine_dimension if spec.keeps_history else refine_fact
             step(tables, spec, as_of)
 
-    return (
+    query = (
         stream_landing(tables, spec, landing)
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    identity.append(query.id)
+    known.set()
+    return query

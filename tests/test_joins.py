@@ -6,7 +6,6 @@ from conftest import as_rows
 from pyspark.sql import functions as F
 
 from strata.operators.joins import (
-    broadcast_if_small,
     fk_audit,
     inherit_keys,
     live_interval,
@@ -135,12 +134,6 @@ def test_arguments_are_checked(frame):
         resolve(fact, dim, strategy="hash")
 
 
-def test_broadcast_needs_a_checked_size(spark):
-    small = broadcast_if_small(spark.range(10), rows=10)
-    large = broadcast_if_small(spark.range(11), rows=10)
-    assert "broadcast" in small._jdf.queryExecution().toString().lower()
-    assert "broadcast" not in large._jdf.queryExecution().toString().lower()
-
 
 def test_lookup(frame):
     fact = frame("id int, store_id string", (1, "S1"), (2, "S9"), (3, None))

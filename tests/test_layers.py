@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.operators.quality import FAILED
 from strata.plans import layers, star
 from strata.plans.retail import retail_specs
+from strata.operators.scd2 import END, START
 from strata.sources.landing import CORRUPT, read_landing, tag_metadata
 from strata.spec import TableSpec, to_struct
 from strata.streaming.ingest import stream_ingest
@@ -326,9 +327,71 @@ def test_stream(tables, landing, tmp_path):
     stream_ingest(tables, INVOICE, path, checkpoint, DAY1).awaitTermination()
     assert as_rows(tables.read("silver", "invoice"), "invoice_id", "quantity") == [("I1", 6), ("I4", 1)]
     assert tables.read("quarantine", "invoice").count() == 2
-    # A micro-batch delivered again is not stored again.
-    stream_ingest(tables, INVOICE, path, str(tmp_path / "lost"), DAY1).awaitTermination()
+    # Started again, the stream finds nothing; with a lost checkpoint it stores everything again.
+    stream_ingest(tables, INVOICE, path, checkpoint, DAY1).awaitTermination()
     assert tables.read("bronze", "invoice").count() == 3
+    stream_ingest(tables, INVOICE, path, str(tmp_path / "lost"), DAY1).awaitTermination()
+    assert tables.read("bronze", "invoice").count() == 6
+    other = land(tmp_path / "other", "a.csv", "invoice_id,stock_code,quantity", "I9,A,1")
+    stream_ingest(tables, INVOICE, other, str(tmp_path / "second"), DAY1).awaitTermination()
+    assert ("I9", 1) in as_rows(tables.read("silver", "invoice"), "invoice_id", "quantity")
+
+
+def test_reprocessing_a_past_day_keeps_later_days(tables, tmp_path):
+    root, header = tmp_path / "landing", "customer_id,country,segment"
+    for day, country in ((DAY1, "UK"), (DAY2, "France"), (DAY3, "Germany")):
+        land(root / "customer", f"{day}.csv", header, f"C1,{country},Retail", f"D{day.day},Spain,Retail")
+        layers.ingest_bronze(tables, CUSTOMER, str(root / "customer"), day)
+        layers.refine_dimension(tables, CUSTOMER, day)
+    before = as_rows(tables.read("silver", "customer"), "customer_id", "country", START, "customer_sk")
+    land(root / "customer", f"{DAY2}.csv", header, "C1,Italy,Retail", "E2,Spain,Retail")
+    for _ in range(2):  # replaying changes nothing more
+        layers.reprocess(tables, [CUSTOMER], str(root), [DAY2])
+        found = as_rows(tables.read("silver", "customer"), "customer_id", "country", START, END)
+        assert found == sorted(
+            [
+                ("C1", "UK", DAY1, DAY2), ("C1", "Italy", DAY2, DAY3), ("C1", "Germany", DAY3, None),
+                ("D1", "Spain", DAY1, None), ("D3", "Spain", DAY3, None), ("E2", "Spain", DAY2, None),
+            ],
+            key=repr,
+        )
+    after = as_rows(tables.read("silver", "customer"), "customer_id", "country", START, "customer_sk")
+    kept = {(r[0], r[2]): r[3] for r in before}
+    assert all(kept.get((r[0], r[2]), r[3]) == r[3] for r in after)
+    assert len({r[3] for r in after}) == len(after)
+
+
+def test_catching_up_equals_daily_runs(tables, tmp_path):
+    root, header = tmp_path / "landing", "customer_id,country,segment"
+    for day, country in ((DAY1, "UK"), (DAY2, "France"), (DAY3, "Germany")):
+        land(root, f"{day}.csv", header, f"C1,{country},Retail")
+        layers.ingest_bronze(tables, CUSTOMER, str(root), day)
+    counts = layers.refine_dimension(tables, CUSTOMER, DAY3)
+    assert counts["incremental_count"] == 3
+    assert as_rows(tables.read("silver", "customer"), "country", START, END) == [
+        ("France", DAY2, DAY3), ("Germany", DAY3, None), ("UK", DAY1, DAY2)
+    ]
+
+
+def test_a_dropped_generation_is_not_numbered_again(tables, landing):
+    header = "invoice_id,stock_code,quantity"
+    for name, day in (("a", DAY1), ("b", DAY2)):
+        path = land(landing, f"{name}.csv", header, f"I{name},A,1")
+        layers.ingest_bronze(tables, INVOICE, path, day)
+        layers.refine_fact(tables, INVOICE, day)
+    tables.replace_partition(None, "bronze", "invoice", "_ingest_date", DAY2)
+    tables.prune("bronze", "invoice")
+    layers.ingest_bronze(tables, INVOICE, land(landing, "c.csv", header, "Ic,A,1"), DAY3)
+    assert layers.refine_fact(tables, INVOICE, DAY3)["incremental_count"] == 1
+
+
+def test_the_later_run_of_a_day_is_newer(tables, landing):
+    header = "invoice_id,stock_code,quantity"
+    for name, quantity in (("a", 5), ("b", 4)):
+        path = land(landing, f"{name}.csv", header, f"I,A,{quantity}")
+        layers.ingest_bronze(tables, INVOICE, path, DAY1)
+    layers.refine_fact(tables, INVOICE, DAY1)
+    assert as_rows(tables.read("silver", "invoice"), "quantity") == [(4,)]
 
 
 def test_tables_at_once(tables, tmp_path):
