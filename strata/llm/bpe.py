@@ -21,7 +21,7 @@ from pyspark.sql.types import BinaryType, StructField
 
 from strata.llm.common import with_columns
 
-CACHED_PIECES = 600_000
+CACHED_PIECES = 300_000
 CACHED_LENGTH = 48
 SHIFT = 8  # a node of the bitmap has 256 children
 NODE, MASK = 1 << SHIFT, (1 << SHIFT) - 1

@@ -150,7 +150,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is its component's smallest node.
+    """(node, root) for the nodes of the edges (a, b): root is the component's smallest node.
+
+    The roots themselves, and nodes with no edge but to themselves, are left out.
 
     Large-star and small-star steps in turn, each written to the shared folder, until nothing
     changes. A step joins every node with its smallest neighbour; no group is ever collected.
