@@ -76,8 +76,16 @@ def test_returns_by_line_and_by_invoice(sold, frame):
     assert as_rows(star.fact_returns(returns, sold, on_stock_code=False)) == [
         ("R1", "I1", 0, 0, 1), ("R2", "I9", None, None, 2),
     ]
-    rate = analytics.return_rate(sold, star.fact_returns(returns, sold))
-    assert as_rows(rate) == [(0, 5, 0, 0.0), (1, 1, 1, 100.0)]
+    facts = star.fact_returns(returns, sold)
+    resolved = [(0, 5, 0, 0.0), (1, 1, 1, 100.0)]
+    assert as_rows(analytics.return_rate(sold, facts, resolved_only=True)) == resolved
+    # Facts without a product are a group of their own.
+    assert as_rows(analytics.return_rate(sold, facts)) == [*resolved, (None, None, 2, None)]
+
+
+def test_totals_are_rounded_not_lines(spark):
+    lines = spark.range(1000).selectExpr("CAST(1 AS BIGINT) AS customer_sk", "0.004D AS line_total")
+    assert as_rows(analytics.top_customers(lines)) == [(1, 4.0)]
 
 
 def test_orders_shipping_inventory_promotions(frame, dims):
@@ -98,7 +106,8 @@ def test_orders_shipping_inventory_promotions(frame, dims):
 
 
 def test_reports(sold, dims):
-    assert as_rows(analytics.top_customers(sold)) == [(0, 6.5), (1, 20.0)]
+    assert as_rows(analytics.top_customers(sold, resolved_only=True)) == [(0, 6.5), (1, 20.0)]
+    assert as_rows(analytics.top_customers(sold)) == [(0, 6.5), (1, 20.0), (None, None)]
     assert [r.customer_sk for r in analytics.top_customers(sold, 1).collect()] == [1]
     by_country = analytics.revenue_by_country(sold, dims[0]).collect()
     assert [(r.country, r.revenue) for r in by_country] == [("France", 20.0), ("UK", 6.5)]
