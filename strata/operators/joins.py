@@ -140,15 +140,17 @@ def inherit_keys(
     parent: DataFrame,
     on: list[str],
     columns: list[str],
-    parent_unique: bool = True,
+    parent_unique: bool = False,
 ) -> DataFrame:
     """Left join that takes over resolved keys from another fact, keeping the child's grain.
 
-    If ``on`` does not identify one parent row, pass ``parent_unique=False``: the parent is then
-    reduced before the join to the row with the smallest ``columns`` per key, so children are
-    not multiplied and a hot parent key arrives pre-aggregated.
+    The parent is reduced before the join to the row with the smallest ``columns`` per key, so a
+    parent key with several rows never multiplies children, and a hot one arrives pre-aggregated.
+    Join and reduction share one shuffle of the parent. Rows with a NULL in ``on`` match nothing
+    and are left out before it. ``parent_unique=True`` is the caller's promise that ``on``
+    identifies one parent row, and skips the reduction.
     """
-    keys = parent.select(*on, *columns)
+    keys = parent.select(*on, *columns).dropna(subset=on)
     if not parent_unique:
         keys = (
             keys.groupBy(*on)

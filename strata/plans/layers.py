@@ -500,7 +500,7 @@ def build_gold(
         if stale is not None:
             facts = GOLD_INPUTS[name][0]
             if not any(stale(d) for d in _day_directories(tables, name)):
-                return _built(name, 0, "unchanged")
+                return _built(name, tables.read("gold", name).count(), "unchanged")
             inputs[0] = tables.read(*facts, only=stale)
             keep = lambda d: not stale(d)
         if name == "dim_date":
@@ -519,6 +519,8 @@ def build_gold(
             written = write_clustered(tables, built, "gold", name, GOLD_CLUSTERS[name], **options)
         else:
             written = tables.write(_sized(built, layout), "gold", name, **options)
+    if stale is not None:  # the write counted the rebuilt days only
+        return _built(name, tables.read("gold", name).count())
     return _built(name, written.metrics["row_count"])
 
 

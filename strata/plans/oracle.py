@@ -26,6 +26,12 @@ sales AS (
   JOIN orders ON l_orderkey = o_orderkey
   WHERE rn = 1)"""
 
+KEPT_SALES = """
+kept_sales AS (
+  SELECT s.* FROM sales s JOIN customer ON s.customer_id = CAST(c_custkey AS VARCHAR)
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE r_name IN ('EUROPE', 'AMERICA', 'ASIA', 'AFRICA'))"""
+
 CUSTOMER_FEED = """
 customer_feed AS (
   SELECT CAST(o_custkey AS VARCHAR) AS customer_id, n_name AS country,
@@ -501,7 +507,15 @@ SELECT invoice_id, stock_code, sale_date, promo_id, discount_pct FROM ranked WHE
          UNION ALL
          SELECT 'fact_sales', 'product_sk', count(*), count(*) - count(product_sk),
                 count(*) FILTER (WHERE product_sk NOT IN
-                  (SELECT product_sk FROM product_history)) FROM fact_sales""",
+                  (SELECT product_sk FROM product_history)) FROM fact_sales
+         UNION ALL
+         SELECT 'fact_sales', 'store_sk', count(*), count(*) - count(store_sk),
+                count(*) FILTER (WHERE store_sk NOT IN (SELECT store_sk FROM store_dim)) FROM fact_sales
+         UNION ALL
+         SELECT 'fact_sales', 'date_sk', count(*), count(*) - count(date_sk),
+                count(*) FILTER (WHERE sale_date <
+                    (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) OR sale_date >
+                    (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) FROM fact_sales""",
     "revenue_by_country": with_(FACT_SALES)
     + """SELECT country, CAST(round(sum(CAST(line_total AS DECIMAL(28, 6))), 2) AS DOUBLE) AS revenue
          FROM fact_sales JOIN customer_history USING (customer_sk)
@@ -549,13 +563,88 @@ FROM orders""",
     "run_metrics": """
 WITH counted AS (
   SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS good FROM orders)
-SELECT 'online_orders' AS table_name, 'bronze' AS layer, total AS total_count,
-       good AS valid_count, total - good AS invalid_count,
-       good * 100.0::DOUBLE / total AS pass_rate,
-       CASE WHEN good * 100.0::DOUBLE / total >= 95 THEN 'INFO' ELSE 'WARNING' END AS level
+SELECT 'online_orders' AS table_name, 'bronze' AS layer, CAST(NULL AS BIGINT) AS incremental_count,
+       total AS total_count, good AS valid_count, total - good AS invalid_count,
+       CAST(NULL AS BIGINT) AS row_count, good * 100.0::DOUBLE / total AS pass_rate,
+       CASE WHEN good * 100.0::DOUBLE / total >= 95 THEN 'INFO' ELSE 'WARNING' END AS level,
+       CAST(NULL AS VARCHAR) AS skipped
 FROM counted
-UNION ALL SELECT 'online_orders', 'silver', good, good, 0, 100.0::DOUBLE, 'INFO' FROM counted
-UNION ALL SELECT 'online_orders', 'silver', 0, 0, 0, 100.0::DOUBLE, 'INFO'""",
+UNION ALL SELECT 'online_orders', 'silver', good, good, good, 0, NULL, 100.0::DOUBLE, 'INFO', NULL
+FROM counted
+UNION ALL SELECT 'online_orders', 'silver', 0, 0, 0, 0, NULL, 100.0::DOUBLE, 'INFO', NULL
+UNION ALL SELECT 'dim_store', 'gold', NULL, NULL, NULL, NULL, 0, NULL, NULL,
+  'not built yet: silver.store'
+UNION ALL SELECT 'dim_date', 'gold', NULL, NULL, NULL, NULL,
+  make_date(max(year(o_orderdate)), 12, 31) - make_date(min(year(o_orderdate)), 1, 1) + 1,
+  NULL, NULL, NULL FROM orders WHERE o_orderstatus IN ('F', 'O')""",
+    "silver_quarantine": """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderstatus AS order_status,
+       CAST(o_orderdate AS DATE) AS order_date,
+       CASE WHEN o_orderstatus IN ('F', 'O') THEN '' ELSE 'allowed_values(order_status)' END
+         AS failed_rules
+FROM orders""",
+    "deleted_day_then_new_day": with_(ORDERS)
+    + """, good AS (SELECT * FROM online_orders WHERE order_status IN ('F', 'O'))
+SELECT *, 'silver' AS layer FROM good
+UNION ALL SELECT *, 'bronze' FROM good WHERE order_date < DATE '1998-07-01'
+  OR order_date >= DATE '2000-07-01' OR order_date IS NULL""",
+    "gold_star": with_(SALES, CUSTOMER_FEED, customer_state("last_report", None, "9999-12-31"), STORES,
+                       ORDERS, SHIPPING, RETURNS.removeprefix(LINES + ","), INVENTORY, KEPT_SALES)
+    + f""", customers AS (
+  SELECT customer_id, CAST(row_number() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS customer_sk
+  FROM last_report),
+products AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS stock_code, p_size,
+         CAST(row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS BIGINT) AS product_sk
+  FROM part),
+sold AS (
+  SELECT s.*, c.customer_sk, p.product_sk, t.store_sk FROM kept_sales s
+  LEFT JOIN customers c ON s.customer_id = c.customer_id AND s.sale_date >= DATE '1995-01-01'
+  LEFT JOIN products p ON s.stock_code = p.stock_code AND s.sale_date >= DATE '1995-01-01'
+  LEFT JOIN store_dim t ON s.store_id = t.store_id),
+ordered AS (
+  SELECT o.order_id, c.customer_sk, p.product_sk FROM online_orders o
+  LEFT JOIN customers c ON o.customer_id = c.customer_id AND o.order_date >= DATE '1995-01-01'
+  LEFT JOIN products p ON o.stock_code = p.stock_code AND o.order_date >= DATE '1995-01-01'),
+stock AS (
+  SELECT i.*, p.product_sk, t.store_sk FROM inventory i
+  LEFT JOIN products p ON i.stock_code = p.stock_code AND i.snapshot_date >= DATE '1995-01-01'
+  LEFT JOIN store_dim t ON i.store_id = t.store_id),
+days AS (
+  SELECT sale_date AS day FROM kept_sales UNION ALL SELECT order_date FROM online_orders
+  UNION ALL SELECT snapshot_date FROM inventory UNION ALL SELECT ship_date FROM shipping),
+digest(table_name, n_rows, customer_keys, product_keys, store_keys, amount) AS (
+  SELECT 'dim_customer', count(*), sum(customer_sk), 0, 0, 0 FROM customers
+  UNION ALL SELECT 'dim_product', count(*), 0, sum(product_sk), 0, 0 FROM products
+  UNION ALL SELECT 'dim_store', count(*), 0, 0, sum(store_sk), 0 FROM store_dim
+  UNION ALL SELECT 'dim_supplier', count(*), 0, 0, 0, 0 FROM supplier
+  UNION ALL SELECT 'dim_date', make_date(max(year(day)), 12, 31) - make_date(min(year(day)), 1, 1) + 1,
+    0, 0, 0, 0 FROM days
+  UNION ALL SELECT 'fact_sales', count(*), sum(customer_sk), sum(product_sk), sum(store_sk), sum(quantity)
+    FROM sold
+  UNION ALL SELECT 'fact_returns', count(*), sum(s.customer_sk), sum(s.product_sk), 0, sum(r.quantity)
+    FROM returns r LEFT JOIN sold s ON r.original_invoice_id = s.invoice_id AND r.stock_code = s.stock_code
+  UNION ALL SELECT 'fact_online_orders', count(*), sum(customer_sk), sum(product_sk), 0, 0 FROM ordered
+  UNION ALL SELECT 'fact_shipping', count(*), sum(customer_sk), 0, 0, 0
+    FROM shipping LEFT JOIN ordered USING (order_id)
+  UNION ALL SELECT 'fact_inventory_snapshot', count(*), 0, sum(product_sk), sum(store_sk), sum(stock_on_hand)
+    FROM stock
+  UNION ALL SELECT 'bridge_promotions', count(*), 0, sum(product_sk), 0, 0 FROM products)
+SELECT table_name, n_rows, coalesce(customer_keys, 0)::BIGINT AS customer_keys,
+       coalesce(product_keys, 0)::BIGINT AS product_keys, coalesce(store_keys, 0)::BIGINT AS store_keys,
+       coalesce(amount, 0)::BIGINT AS amount FROM digest""",
+    "gold_incremental": with_(SALES, TWO_BATCHES, merged("1998-07-02"), STORES, KEPT_SALES)
+    + f""", parts AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS stock_code,
+         CAST(row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS BIGINT) AS product_sk
+  FROM part)
+SELECT s.invoice_id, s.stock_code, m.customer_sk, p.product_sk, t.store_sk,
+       CAST(strftime(s.sale_date, '%Y%m%d') AS INTEGER) AS date_sk, s.sale_date, s.quantity,
+       s.unit_price, s.quantity * s.unit_price AS line_total
+FROM kept_sales s
+LEFT JOIN merged m ON s.customer_id = m.customer_id AND {valid_on('m', 's.sale_date')}
+LEFT JOIN parts p ON s.stock_code = p.stock_code AND s.sale_date >= DATE '1995-01-01'
+LEFT JOIN store_dim t ON s.store_id = t.store_id""",
     "silver_upsert": with_(EARLY_LINES, LATE_LINES)
     + """, merged AS (
   SELECT * FROM late UNION ALL
@@ -580,4 +669,6 @@ SELECT *, 'silver' AS layer FROM good UNION ALL SELECT *, 'bronze' FROM good""",
          WHERE order_status <> 'F' AND order_date <> DATE '1998-07-01'""",
     "stream_bronze": with_(ORDERS)
     + "SELECT * FROM online_orders WHERE order_status IN ('F', 'O')",
+    "stream_two_sources": with_(ORDERS)
+    + "SELECT * FROM online_orders WHERE order_status IN ('F', 'O')",
 }

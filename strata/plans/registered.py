@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
-from functools import partial
+from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ from strata.operators.scd2 import (
 from strata.operators.surrogate import dense_sk
 from strata.plans import analytics, domain, layers, star
 from strata.plans.domain import given
-from strata.session import materialize, shared_folder, side_by_side
+from strata.plans.retail import retail_specs
+from strata.session import materialize, session_folder, side_by_side
 from strata.sources.catalog import CatalogTables
 from strata.sources.landing import CORRUPT, export_landing, read_landing, tag_metadata
 from strata.sources.tables import Tables
@@ -59,7 +61,7 @@ def query(run: Query) -> Query:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/strata/{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # -- landing, quality and increments ----------------------------------------------------
@@ -399,11 +401,28 @@ def _dims(spark: SparkSession, folder: str, *builders: Query) -> list[DataFrame]
     return side_by_side(spark, [partial(b, spark, folder) for b in builders], len(builders))
 
 
-def _fact_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    customer, product, stores = _dims(
-        spark, folder, domain.customer_history, domain.product_history, domain.store_dim
+def _prepared_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines joined with orders once: the point-in-time join reads its facts twice."""
+    return materialize(domain.sales(spark, folder))
+
+
+def _prepared_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(domain.online_orders(spark, folder))
+
+
+def _sales_star(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Sales with their keys, and the dimensions by surrogate key."""
+    lines, customer, product, stores = _dims(
+        spark, folder,
+        _prepared_sales, domain.customer_history, domain.product_history, domain.store_dim,
     )
-    return star.fact_sales(domain.sales(spark, folder), customer, product, stores), customer, product
+    dims = {"customer_sk": customer, "product_sk": product, "store_sk": stores}
+    return star.fact_sales(lines, customer, product, stores), dims
+
+
+def _fact_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sold, dims = _sales_star(spark, folder)
+    return sold, dims["customer_sk"], dims["product_sk"]
 
 
 @query
@@ -449,10 +468,11 @@ def fact_sales(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def fact_sales_store_id(spark: SparkSession, folder: str) -> DataFrame:
     """The same fact over a store dimension that has no surrogate key."""
-    dims = _dims(
-        spark, folder, domain.customer_history, domain.product_history, domain.stores
+    facts_and_dims = _dims(
+        spark, folder,
+        _prepared_sales, domain.customer_history, domain.product_history, domain.stores,
     )
-    return star.fact_sales(domain.sales(spark, folder), *dims)
+    return star.fact_sales(*facts_and_dims)
 
 
 @query
@@ -467,8 +487,9 @@ def fact_returns_invoice_only(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact_orders(spark: SparkSession, folder: str) -> DataFrame:
-    dims = _dims(spark, folder, domain.customer_history, domain.product_history)
-    return star.fact_online_orders(domain.online_orders(spark, folder), *dims)
+    return star.fact_online_orders(
+        *_dims(spark, folder, _prepared_orders, domain.customer_history, domain.product_history)
+    )
 
 
 @query
@@ -506,9 +527,9 @@ def promotions_at_sale(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
-    sold, customer, product = _fact_sales(spark, folder)
-    references = {"customer_sk": customer, "product_sk": product}
-    return fk_audit(sold, "fact_sales", references)
+    """All four keys of the sales fact: customer, product, store and day."""
+    sold, dims = _sales_star(spark, folder)
+    return fk_audit(sold, "fact_sales", {**dims, "date_sk": dim_date(spark, folder)})
 
 
 # -- analyst queries --------------------------------------------------------------------
@@ -617,6 +638,101 @@ def landing_to_star(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("gold", "fact_sales")
 
 
+def _retail_landing(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The given tables in the columns of the ten retail specifications.
+
+    Sales name one of the allowed countries for the region of their customer; there is none for
+    the Middle East, so the sales of that region are rejected.
+    """
+    regions = (
+        given(spark, folder, "customer")
+        .join(given(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(given(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("r_name").alias("region"))
+    )
+    country = F.coalesce(
+        *[F.when(F.col("region") == r, F.lit(c)) for r, c in REGION_COUNTRY.items()], F.col("region")
+    )
+    lines = domain.sales(spark, folder).join(regions, "customer_id", "left")
+    landed = {
+        "sales": lines.withColumn("country", country),
+        "customer": domain.customer_state(spark, folder, None, None),
+        "product": _part_prices(spark, folder),
+        "store": domain.stores(spark, folder),
+        "supplier": domain.suppliers(spark, folder),
+        "inventory": domain.inventory(spark, folder),
+        "promotions": domain.promotions(spark, folder),
+        "online_orders": domain.online_orders(spark, folder),
+        "shipping": domain.shipping(spark, folder),
+        "returns": domain.returns(spark, folder),
+    }
+    specs = retail_specs()
+    return {name: df.select([c["name"] for c in specs[name].columns]) for name, df in landed.items()}
+
+
+REGION_COUNTRY = {
+    "EUROPE": "United Kingdom", "AMERICA": "USA", "ASIA": "Australia", "AFRICA": "France",
+}
+
+
+def _digest(tables: Tables, name: str) -> DataFrame:
+    """Rows of a gold table, sums of its resolved keys, and its quantity."""
+    rows = tables.read("gold", name)
+    amount = next((c for c in ("quantity", "stock_on_hand") if c in rows.columns), "")
+
+    def total(column: str, name: str):
+        found = F.sum(F.col(column).cast("bigint")) if column in rows.columns else F.lit(None)
+        return F.coalesce(found, F.lit(0)).cast("bigint").alias(name)
+
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        total("customer_sk", "customer_keys"),
+        total("product_sk", "product_keys"),
+        total("store_sk", "store_keys"),
+        total(amount, "amount"),
+    ).select(F.lit(name).alias("table_name"), "*")
+
+
+@query
+def gold_star(spark: SparkSession, folder: str) -> DataFrame:
+    """All eleven gold tables from the retail specifications: a digest of each.
+
+    Facts are clustered but not cut by day, which would give some files per row on small tables;
+    ``gold_incremental`` writes the layout by day.
+    """
+    tables = Tables(spark, _folder(spark))
+    specs = [replace(spec, partition_by=()) for spec in retail_specs().values()]
+    for name, df in _retail_landing(spark, folder).items():
+        export_landing(df, f"{tables.root}/landing/{name}")
+    layers.run_bronze(tables, specs, f"{tables.root}/landing", LAST_CUT, at_once=4)
+    layers.run_silver(tables, specs, LAST_CUT, initial_start=FIRST_CUT, at_once=4)
+    layers.run_gold(tables, partitions={})
+    return reduce(DataFrame.unionByName, [_digest(tables, name) for name in layers.GOLD_INPUTS])
+
+
+@query
+def gold_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Partitioned and clustered fact_sales, brought up to date after a second customer batch."""
+    tables = Tables(spark, _folder(spark))
+    specs, landing = retail_specs(), f"{tables.root}/landing"
+    landed = _retail_landing(spark, folder)
+    landed["customer"] = domain.customer_state(spark, folder, SECOND_CUT, None)
+    chosen = ["sales", "customer", "product", "store"]
+    for name in chosen:
+        export_landing(landed[name], f"{landing}/{name}/1")
+    names = ["dim_customer", "dim_product", "dim_store", "fact_sales"]
+    first = [specs[name] for name in chosen]
+    layers.run_bronze(tables, first, landing, SECOND_CUT, at_once=4)
+    layers.run_silver(tables, first, SECOND_CUT, initial_start=FIRST_CUT, at_once=4)
+    layers.run_gold(tables, names)
+    export_landing(_second_batch(spark, folder), f"{landing}/customer/2")
+    following = SECOND_CUT + dt.timedelta(days=1)
+    layers.run_bronze(tables, [specs["customer"]], landing, following)
+    layers.run_silver(tables, [specs["customer"]], following)
+    layers.run_gold(tables, names, incremental=True)
+    return tables.read("gold", "fact_sales")
+
+
 @query
 def bronze_and_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Both sides of a landing ingest, written in one pass."""
@@ -631,28 +747,66 @@ def bronze_and_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of a bronze and silver run, collected by the writes themselves."""
+    """Counts of a bronze, silver and gold run, collected by the writes themselves."""
     tables = Tables(spark, _folder(spark))
     export_landing(domain.online_orders(spark, folder), f"{tables.root}/landing/online_orders")
     steps = [
         *layers.run_bronze(tables, [ORDERS], f"{tables.root}/landing", RULES_AS_OF).values(),
         *layers.run_silver(tables, [ORDERS], RULES_AS_OF).values(),
         *layers.run_silver(tables, [ORDERS], RULES_AS_OF).values(),
+        *layers.run_gold(tables, ["dim_store", "dim_date"]).values(),
     ]
-    return layers.run_metrics(tables, steps).select(
-        "table_name", "layer", "total_count", "valid_count", "invalid_count", "pass_rate", "level"
-    )
+    return layers.run_metrics(tables, steps)
+
+
+@query
+def silver_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders that bronze takes without rules; silver checks them and keeps the rejects apart."""
+    tables = Tables(spark, _folder(spark))
+    export_landing(domain.online_orders(spark, folder), f"{tables.root}/landing/online_orders")
+    layers.run_bronze(tables, [replace(ORDERS, dq_rules=())], f"{tables.root}/landing", RULES_AS_OF)
+    layers.run_silver(tables, [ORDERS], RULES_AS_OF)
+    columns = ["order_id", "order_status", "order_date"]
+    kept = tables.read("silver", ORDERS.name).select(*columns, F.lit("").alias("failed_rules"))
+    rejected = _readable(tables.read("quarantine", f"{ORDERS.name}_silver"))
+    return kept.unionByName(rejected.select(*columns, "failed_rules"))
+
+
+@query
+def deleted_day_then_new_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Three ingest days; the second is dropped from bronze and pruned before the third arrives.
+
+    Silver has seen the second day and keeps it, and must not take the third for it.
+    """
+    tables = Tables(spark, _folder(spark))
+    landing = f"{tables.root}/landing"
+    orders = domain.online_orders(spark, folder)
+    cuts = [(None, SECOND_CUT), (SECOND_CUT, THIRD_CUT), (THIRD_CUT, None)]
+    days = [SECOND_CUT, THIRD_CUT, LAST_CUT]
+    for day, (since, before) in zip(days, cuts, strict=True):
+        if day == LAST_CUT:
+            tables.replace_partition(None, "bronze", ORDERS.name, "_ingest_date", THIRD_CUT)
+            tables.prune("bronze", ORDERS.name)
+        part = orders.where(domain.within("order_date", since, before))
+        export_landing(part, f"{landing}/online_orders/{day}")
+        layers.run_bronze(tables, [ORDERS], landing, day)
+        layers.run_silver(tables, [ORDERS], day)
+    columns = [c["name"] for c in ORDERS.columns]
+    kept = tables.read("silver", ORDERS.name).select(*columns, F.lit("silver").alias("layer"))
+    stored = tables.read("bronze", ORDERS.name).select(*columns, F.lit("bronze").alias("layer"))
+    return kept.unionByName(stored)
 
 
 @query
 def silver_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Two landing batches of shipments upserted into a silver table."""
+    """Two landing batches of shipments upserted into a silver table partitioned by line number."""
     tables = Tables(spark, _folder(spark))
     spec = _spec(
         "lines",
         "l_orderkey:string l_linenumber:integer l_partkey:string l_quantity:double "
         "l_extendedprice:double ship_date:date",
         ["l_orderkey", "l_linenumber"],
+        partition_by=("l_linenumber",),
     )
     parts = [(None, SECOND_CUT, SECOND_CUT), (SECOND_CUT, None, LAST_CUT)]
     for number, (since, before, day) in enumerate(parts):
@@ -666,7 +820,7 @@ def silver_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def reprocessed_day(spark: SparkSession, folder: str) -> DataFrame:
-    """Two ingest days, the first of them dropped from bronze and read again."""
+    """An ingest day dropped from bronze and read again a day later."""
     tables = Tables(spark, _folder(spark))
     landing = f"{tables.root}/landing"
     first, second = RULES_AS_OF, RULES_AS_OF + dt.timedelta(days=1)
@@ -765,7 +919,9 @@ def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     open_orders = tables.read("silver", "orders").where("order_status <> 'F'")
     tables.publish(open_orders, "silver", "orders")
     tables.replace_partition(None, "silver", "orders", "order_date", SECOND_CUT)
-    return tables.read("silver", "orders")
+    found = materialize(tables.read("silver", "orders"))
+    tables.drop("silver")
+    return found
 
 
 @query
@@ -779,3 +935,16 @@ def stream_bronze(spark: SparkSession, folder: str) -> DataFrame:
             tables, ORDERS, landing, f"{tables.root}/stream", RULES_AS_OF
         ).awaitTermination()
     return tables.read("silver", ORDERS.name).select([c["name"] for c in ORDERS.columns])
+
+
+@query
+def stream_two_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Two landing folders streamed into one table, each with a checkpoint of its own."""
+    tables = Tables(spark, _folder(spark))
+    orders = domain.online_orders(spark, folder)
+    for number, (since, before) in enumerate([(None, SECOND_CUT), (SECOND_CUT, None)]):
+        landing = f"{tables.root}/landing/{number}"
+        export_landing(orders.where(domain.within("order_date", since, before)), landing)
+        checkpoint = f"{tables.root}/stream/{number}"
+        stream_ingest(tables, ORDERS, landing, checkpoint, RULES_AS_OF).awaitTermination()
+    return tables.read("silver", ORDERS.name).select([c["name"] for c in ORDERS.columns])

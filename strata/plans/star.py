@@ -104,9 +104,7 @@ def fact_returns(
     """
     on = ["original_invoice_id", "stock_code"] if on_stock_code else ["original_invoice_id"]
     sold = sales_fact.withColumnRenamed("invoice_id", "original_invoice_id")
-    keyed = inherit_keys(
-        returns, sold, on, ["customer_sk", "product_sk"], parent_unique=on_stock_code
-    )
+    keyed = inherit_keys(returns, sold, on, ["customer_sk", "product_sk"])
     return keyed.select(
         "return_invoice_id", "original_invoice_id", "customer_sk", "product_sk", "quantity"
     )

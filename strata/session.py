@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import TypeVar
 
+from py4j.protocol import Py4JError
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,8 @@ def local_session(cpus: int | str = 8, memory: str = "16g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        # Listing a table with a directory a day takes a task per directory by default.
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -50,6 +54,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_folders: dict[str, Callable[[], None]] = {}
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, deleted when the process ends.
+
+    A frame may be read until then, so nothing in it can go earlier by itself; a long-lived
+    session calls ``release`` once it needs none of its intermediate results any more. Should the
+    process be killed, the folder is left behind under the application's id.
+    """
+    path = f"{shared_folder(spark)}/strata/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def remove() -> None:
+            try:
+                files.delete(folder, True)
+            except (Py4JError, OSError):
+                pass  # the JVM has ended before
+
+        _folders[path] = remove
+        atexit.register(remove)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate results of this application now."""
+    mark = f"/{spark.sparkContext.applicationId}"
+    for path, remove in _folders.items():
+        if path.endswith(mark):
+            remove()
+
+
 _steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
@@ -94,7 +132,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage like a checkpoint, so lost executors cost nothing that was done before, but
     as Parquet: later steps read only the columns they need and plan with the real size.
     """
-    path = f"{shared_folder(df.sparkSession)}/strata/steps/{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     if (written := _steps.get()) is not None:
         written.append(path)
     df.write.parquet(path)

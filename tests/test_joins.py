@@ -150,9 +150,9 @@ def test_inherited_keys_keep_the_grain(frame):
     )
     back = frame("ret string, invoice_id string, stock_code string", ("R1", "I1", "B"), ("R2", "I3", "A"))
     keys = ["customer_sk", "product_sk"]
-    exact = inherit_keys(back, sold, ["invoice_id", "stock_code"], keys)
+    exact = inherit_keys(back, sold.union(sold), ["invoice_id", "stock_code"], keys)
     assert as_rows(exact, "ret", *keys) == [("R1", 1, 11), ("R2", None, None)]
-    by_invoice = inherit_keys(back, sold, ["invoice_id"], keys, parent_unique=False)
+    by_invoice = inherit_keys(back, sold, ["invoice_id"], keys)
     assert as_rows(by_invoice, "ret", *keys) == [("R1", 1, 10), ("R2", None, None)]
 
 

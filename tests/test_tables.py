@@ -1,9 +1,11 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from conftest import as_rows
 from pyspark.sql import functions as F
 
+from strata.session import materialize, release
 from strata.sources.catalog import CatalogTables
 from strata.sources.tables import touched_directories
 
@@ -135,3 +137,32 @@ def test_catalog(spark, frame):
     finally:
         catalog.drop("silver")
     assert not catalog.exists("silver", "t")
+
+
+def test_catalog_keeps_partitions_and_drops_old_versions(spark, frame):
+    catalog = CatalogTables(spark, "test_parts_")
+    catalog.init(["silver"])
+    try:
+        catalog.publish(frame(SCHEMA, *ROWS), "silver", "t", ["day"])
+        for _ in range(3):
+            catalog.publish(catalog.read("silver", "t"), "silver", "t")
+        assert catalog.partition_columns("silver", "t") == ["day"]
+        stored = {t.name for t in spark.catalog.listTables("test_parts_silver")}
+        assert stored == {"t", "t__3", "t__4"}
+        day = dt.date(2026, 1, 2)
+        others = catalog.read("silver", "t").where(F.col("day") == F.lit(day)).withColumn("v", F.col("v") * 10)
+        catalog.replace_partition(others, "silver", "t", "day", day)
+        assert as_rows(catalog.read("silver", "t"), "k", "v") == [("a", 1), ("b", 20), ("c", 30)]
+        catalog.replace_partition(None, "silver", "t", "day", day)
+        assert as_rows(catalog.read("silver", "t"), "k") == [("a",)]
+        assert {t.name for t in spark.catalog.listTables("test_parts_silver")} == stored
+    finally:
+        catalog.drop("silver")
+
+
+def test_released_steps_are_gone(spark, frame):
+    kept = materialize(frame(SCHEMA, *ROWS))
+    files = [f.removeprefix("file://") for f in kept.inputFiles()]
+    assert files and all(Path(f).exists() for f in files)
+    release(spark)
+    assert not any(Path(f).exists() for f in files)
