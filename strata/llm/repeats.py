@@ -174,6 +174,8 @@ def _flush(held: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[tuple[in
     shard = (gram % np.uint64(shards)).astype(np.int64)
     other = np.where(send, -1, (doc % shards + shards) % shards)
     for rows, where, asks in ((np.flatnonzero(send), shard, 1), (np.flatnonzero(other >= 0), other, 0)):
+        if not len(rows):
+            continue
         rows = rows[np.argsort(where[rows], kind="stable")]
         cuts = np.flatnonzero(np.diff(where[rows], prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):

@@ -203,3 +203,17 @@ def test_repeats_of_an_empty_table(edges):
 def test_digest_forms(codec):
     assert struct.unpack("<2I", bpe.packed([1, 70000])) == (1, 70000)
     assert hashlib.sha256(codec.encode("")).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_repeats_where_a_task_has_one_kind_of_stretch(documents):
+    texts = [f"document {i} holds words of its own, {i * 7919} of them, and shares none of the rest" for i in range(4)]
+    alone = documents(*enumerate(texts)).repartition(4, "doc_id")
+    assert {r["n_removed"] for r in repeats.remove_repeats(alone).collect()} == {0}
+    same = documents(*[(i, texts[0]) for i in range(4)]).coalesce(1)
+    found = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(same).collect()}
+    assert found == {0: 0, **{i: len(texts[0]) for i in (1, 2, 3)}}
+
+
+def test_flush_of_marked_or_sent_stretches_only():
+    one = tuple(np.array([v], t) for v, t in ((5, "i8"), (0, "i8"), (9, "u8"), (1, "u8"), (0, "i4"), (3, "u2")))
+    assert len(list(repeats._flush([one], 8))) == 1
