@@ -10,6 +10,7 @@ scanned, cannot change their labels.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -362,6 +363,37 @@ def crf_spans(texts: list[str], chain: Chain, batch: int = 2000) -> list[list[tu
     return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
+def beside(text: str, spans: list[tuple[str, int, int]], plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """What the plain spans leave of the CRF's: the pieces with a digit or at sign, edges cut off.
+
+    Neighbours of one label are one CRF span, so a value that only the CRF finds can share its span
+    with one that the rules find, and a rule can end before the value does.
+    """
+    taken: list[tuple[int, int]] = []
+    for _, start, end in sorted(plain, key=lambda s: s[1:]):
+        if taken and start <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
+        else:
+            taken.append((start, end))
+    ends = [end for _, end in taken]
+    out = []
+    for kind, past, stop in spans:
+        borders = []
+        for start, end in taken[bisect_right(ends, past) :]:
+            if start >= stop:
+                break
+            borders.append((past, start))
+            past = end
+        for a, b in (*borders, (past, stop)):
+            while a < b and (text[a].isspace() or text[a] in TRIM):
+                a += 1
+            while a < b and (text[b - 1].isspace() or text[b - 1] in TRIM):
+                b -= 1
+            if re.search("[0-9@]", text[a:b]):
+                out.append((kind, a, b))
+    return out
+
+
 def find_personal(
     df: DataFrame,
     text: str = "text",
@@ -371,7 +403,7 @@ def find_personal(
     """Append ``out``: an array of (kind, start, end) of each whole text, by kind, then start.
 
     The plain kinds email, ip, card and phone are found by rule. The CRF adds spans of the kinds
-    crf_email, crf_ip, crf_card and crf_phone wherever they overlap no plain span. ``labelled``
+    crf_email, crf_ip, crf_card and crf_phone; plain spans are cut out of them. ``labelled``
     holds (text, spans) rows to train from; the table in this module is the default. Places are
     code points, the end exclusive. Null and empty texts give an empty array; rows stay one to
     one, repeated or not; a column named as ``out`` is replaced.
@@ -387,7 +419,7 @@ def find_personal(
             all_spans = []
             for text_, added in zip(whole, crf_spans(whole, model), strict=True):
                 base = base_spans(text_)
-                extra = [s for s in added if not any(s[1] < e and b < s[2] for _, b, e in base)]
+                extra = beside(text_, added, base)
                 spans = base + sorted(extra, key=lambda s: (KINDS.index(s[0]), s[1]))
                 all_spans.append(
                     [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]

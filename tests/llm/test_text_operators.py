@@ -150,6 +150,29 @@ def test_personal_rows_and_redaction(edges, documents):
     assert text == "write [email] from [ip]"
 
 
+def test_values_beside_plain_spans(documents):
+    """Values that only the CRF finds, next to values of the rules, in one line and one a line."""
+    cases = (
+        ("a@b.com, root@server1", "email:0:7,crf_email:9:21", "[email], [email]"),
+        ("root@server1\na@b.com\nbob@intranet", "email:13:20,crf_email:0:12,crf_email:21:33", "[email]\n[email]\n[email]"),
+        ("+44 20 7946 0958, 030 5550 1234", "phone:0:16,crf_phone:18:31", "[phone], [phone]"),
+        ("+44 20 7946 0958\n030 5550 1234", "phone:0:16,crf_phone:17:30", "[phone]\n[phone]"),
+        ("+49 (30) 55501/1234", "phone:0:14,crf_phone:14:19", "[phone][phone]"),
+    )
+    found = pii.find_personal(documents(*[(i, text) for i, (text, _, _) in enumerate(cases)]))
+    rows = pii.redact(found).select("doc_id", "text", secrets.spans_text("personal")).collect()
+    assert sorted(map(tuple, rows)) == [(i, gone, spans) for i, (_, spans, gone) in enumerate(cases)]
+
+
+def test_pieces_of_cut_spans():
+    text = "x: 12 34, 56; ab 78"
+    spans = [("crf_phone", 3, 19)]
+    assert pii.beside(text, spans, []) == spans
+    assert pii.beside(text, spans, [("ip", 6, 8), ("card", 7, 12)]) == [("crf_phone", 3, 5), ("crf_phone", 14, 19)]
+    assert pii.beside(text, spans, [("ip", 0, 13), ("ip", 17, 19)]) == []
+    assert pii.beside(text, spans, [("ip", 0, 19)]) == []
+
+
 def plain_repeats(rows, length):
     first = {}
     for doc, text in rows:
