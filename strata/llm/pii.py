@@ -10,7 +10,9 @@ scanned, cannot change their labels.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -141,7 +143,8 @@ CUES = re.compile(
     r"^(?:call|phone|tel|tel[eé]fono|telefon|mobile|fax|ring|number|number:)[:.]?$", re.IGNORECASE
 )
 CARD_CUES = re.compile(r"^(?:card|visa|credit|pay|number|with)[:.]?$", re.IGNORECASE)
-LONGEST = 400
+STEP = 400  # tokens whose features and scores are held at once; scores go on to the next step
+CELLS = 80_000  # tokens of a batch, padding with them
 TRIM = ".,;:!?\"'"
 
 
@@ -260,27 +263,40 @@ class Chain:
             )
         return np.exp(ahead + back - whole), pair
 
-    def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of many token windows: one Viterbi pass over a padded numpy batch."""
+    def decode(self, windows: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        """Best labels of many token windows: one Viterbi pass over a padded numpy batch.
+
+        Tokens are taken up STEP at a time with the neighbours that features look at; the best
+        scores go on from step to step, so that windows of any length are decoded whole.
+        """
         if not windows:
             return []
         lengths = np.array([len(w) for w in windows])
         n, k = lengths.max(), len(LABELS)
-        scores = np.zeros((len(windows), n, k))
-        for w, tokens in enumerate(windows):
-            ids = [[self.names[f] for f in own if f in self.names] for own in features(tokens)]
-            scores[w, : len(tokens)] = self._scores(ids, triggers(tokens))
-        best, came = scores[:, 0], np.zeros((len(windows), n, k), np.int8)
-        last = [best]
-        for t in range(1, n):
-            step = best[:, :, None] + self.moves
-            came[:, t] = step.argmax(1)
-            best = step.max(1) + scores[:, t]
-            last.append(best)
-        ends = np.stack(last, 1)[np.arange(len(windows)), lengths - 1].argmax(1)
+        came = np.zeros((len(windows), n, k), np.int8)
+        ends = np.zeros(len(windows), int)
+        best = None
+        for at in range(0, n, STEP):
+            scores = np.zeros((len(windows), min(STEP, n - at), k))
+            for w in np.flatnonzero(lengths > at):
+                before = min(at, 3)
+                tokens = windows[w][at - before : at + STEP + 1]
+                own = features(tokens)[before : before + STEP]
+                ids = [[self.names[f] for f in names if f in self.names] for names in own]
+                scores[w, : len(ids)] = self._scores(ids, triggers(tokens[before : before + STEP]))
+            for t in range(at, at + scores.shape[1]):
+                if best is None:
+                    best = scores[:, 0]
+                else:
+                    step = best[:, :, None] + self.moves
+                    came[:, t] = step.argmax(1)
+                    best = step.max(1) + scores[:, t - at]
+                over = lengths == t + 1
+                if over.any():
+                    ends[over] = best[over].argmax(1)
         paths = []
         for w, length in enumerate(lengths):
-            path = np.zeros(length, int)
+            path = np.zeros(length, np.int8)
             path[-1] = ends[w]
             for t in range(length - 1, 0, -1):
                 path[t - 1] = came[w, t, path[t]]
@@ -293,13 +309,33 @@ def _trained(rows: tuple) -> Chain:
     return Chain(rows)
 
 
-def windows_of(text: str) -> list[list[re.Match]]:
+class Window(Sequence):
+    """Tokens of a text, known by their places only."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, array("i"), array("i")
+
+    def add(self, tokens: Iterable[re.Match]) -> None:
+        for m in tokens:
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [self.text[a:b] for a, b in zip(self.starts[at], self.ends[at], strict=True)]
+        return self.text[self.starts[at] : self.ends[at]]
+
+
+def stretches(text: str) -> list[Window]:
     """Stretches of tokens around those with a digit or at sign; what lies between is "other".
 
     A stretch begins three tokens before and ends one token after the last of them, which is all
-    that features look at. Beyond LONGEST tokens a new stretch begins.
+    that features look at. Stretches that would overlap are one, of any length.
     """
-    found: list[list[re.Match]] = []
+    found: list[Window] = []
     past = 0  # up to here, tokens are in a stretch already
     for m in TRIGGER.finditer(text):
         if m.start() < past:
@@ -308,21 +344,23 @@ def windows_of(text: str) -> list[list[re.Match]]:
         for _ in range(3):  # three tokens back
             start = _back(text, _back(text, start, str.isspace), lambda c: not c.isspace())
         if start >= past:
-            found.append(list(TOKEN.finditer(text, start, m.start())))
-        elif len(found[-1]) < LONGEST:
-            found[-1] += TOKEN.finditer(text, past, m.start())
-        else:
-            found.append(list(TOKEN.finditer(text, past, m.start())))
-        tokens = found[-1]
-        tokens.append(m)
+            found.append(Window(text))
+        window = found[-1]
+        window.add(TOKEN.finditer(text, max(start, past), m.start()))
+        window.add((m,))
         for after in TOKEN.finditer(text, m.end()):
-            tokens.append(after)
-            if len(tokens) >= LONGEST or not re.search("[0-9@]", after[0]):
+            window.add((after,))
+            if not re.search("[0-9@]", after[0]):
                 break
-        past = tokens[-1].end()
+        past = window.ends[-1]
     return found
 
 
+def windows_of(text: str) -> list[list[re.Match]]:
+    """The stretches as lists of matches."""
+    return [[TOKEN.match(text, start) for start in window.starts] for window in stretches(text)]
+
+
 def _back(text: str, at: int, holds) -> int:
     while at > 0 and holds(text[at - 1]):
         at -= 1
@@ -332,31 +370,29 @@ def _back(text: str, at: int, holds) -> int:
 def crf_spans(texts: list[str], chain: Chain, batch: int = 2000) -> list[list[tuple[str, int, int]]]:
     """Spans of the CRF by text: neighbouring tokens of one label, edge punctuation cut off."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    waiting: list[tuple[int, list[re.Match]]] = []
+    waiting: list[tuple[int, Window]] = []
 
     def flush():
         waiting.sort(key=lambda x: len(x[1]))
-        for at in range(0, len(waiting), 200):
+        at = 0
+        while at < len(waiting):
             part = waiting[at : at + 200]
-            for (k, window), path in zip(
-                part, chain.decode([[m[0] for m in w] for _, w in part]), strict=True
-            ):
-                i = 0
-                while i < len(path):
-                    j = i + 1
-                    while j < len(path) and path[j] == path[i]:
-                        j += 1
+            while len(part) > 1 and len(part) * len(part[-1][1]) > CELLS:
+                part.pop()
+            at += len(part)
+            for (k, window), path in zip(part, chain.decode([w for _, w in part]), strict=True):
+                changes = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+                for i, j in zip(changes, changes[1:], strict=False):
                     if path[i]:
-                        raw = texts[k][window[i].start() : window[j - 1].end()]
-                        start = window[i].start() + len(raw) - len(raw.lstrip(TRIM))
-                        end = window[j - 1].end() - (len(raw) - len(raw.rstrip(TRIM)))
+                        raw = texts[k][window.starts[i] : window.ends[j - 1]]
+                        start = window.starts[i] + len(raw) - len(raw.lstrip(TRIM))
+                        end = window.ends[j - 1] - (len(raw) - len(raw.rstrip(TRIM)))
                         if start < end:
                             out[k].append((CRF_KINDS[path[i] - 1], start, end))
-                    i = j
         waiting.clear()
 
     for k, text in enumerate(texts):
-        waiting += [(k, w) for w in windows_of(text)]
+        waiting += [(k, w) for w in stretches(text)]
         if len(waiting) >= batch:
             flush()
     flush()

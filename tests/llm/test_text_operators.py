@@ -142,6 +142,43 @@ def test_windows_decide_like_whole_texts():
         assert found == whole, text
 
 
+def whole_decoding(chain, tokens):
+    """Viterbi over all tokens of a text, in plain steps."""
+    ids = [[chain.names[f] for f in own if f in chain.names] for own in pii.features(tokens)]
+    scores = chain._scores(ids, pii.triggers(tokens))
+    best, came = scores[0], []
+    for row in scores[1:]:
+        step = best[:, None] + chain.moves
+        came.append(step.argmax(0))
+        best = step.max(0) + row
+    path = [int(best.argmax())]
+    for back in reversed(came):
+        path.append(int(back[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 400])
+def test_long_stretches_decide_like_whole_texts(monkeypatch, step):
+    """Thousands of numeric tokens are decoded as one, however they are taken up."""
+    monkeypatch.setattr(pii, "STEP", step)
+    chain = pii.Chain(pii.labelled_rows())
+    pieces = ["call 030 5550 1234", "visa 4111 1111 1111 1111", "0171 555 98765", "12", "4.5", "a@b", "of 555-123-4567", "10.0.0.1"]
+    rng = random.Random(17)
+    for n in (3000, 30, 1500, 1):
+        text = " ".join(rng.choice(pieces) for _ in range(n))
+        tokens = list(pii.TOKEN.finditer(text))
+        path = whole_decoding(chain, [m[0] for m in tokens])
+        spans, i = [], 0
+        while i < len(path):
+            j = i
+            while j < len(path) and path[j] == path[i]:
+                j += 1
+            if path[i]:
+                spans.append((pii.CRF_KINDS[path[i] - 1], tokens[i].start(), tokens[j - 1].end()))
+            i = j
+        assert pii.crf_spans([text, "", text], chain) == [spans, [], spans]
+
+
 def test_personal_rows_and_redaction(edges, documents):
     assert pii.find_personal(edges).count() == 10
     redacted = pii.redact(pii.find_personal(edges)).select("doc_id", "text")
