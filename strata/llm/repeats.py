@@ -15,8 +15,9 @@ no twin, so the construction is applied where it can matter:
    their windows each, last symbol first, and equal windows end up side by side. Sorted input and
    the order are read and written in sequence, a bounded batch of grams at a time.
 
-Grams with very many different stretches go to no single task: their windows are aggregated by
-hash with Spark's partial aggregation and joined back.
+Grams with very many different stretches, or with very many places of them (equal stretches in one
+document, such as padding), go to no single task: the windows of their different stretches are
+aggregated by hash with Spark's partial aggregation and joined back.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ BUFFER = 1 << 20  # bytes of text that are hashed together
 FLUSH = 1_000_000  # stretches that a task holds before it sends them
 LOCAL_STRETCHES = 64  # different stretches of a gram that a task sends to the gram's shard
 SHARD_STRETCHES = 2048  # and that a shard resolves as strings
+LOCAL_ROWS = 512  # places of a gram's stretches that a task sends to the gram's shard
+SHARD_ROWS = 8192  # and that a shard resolves as strings
 ROUND_WINDOWS = 200_000  # windows in one construction
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
@@ -154,7 +158,7 @@ def _flush(held: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[tuple[in
     """Payloads (shard, bytes) of a task's stretches.
 
     Stretches with an equal one in a smaller document of the same task are marked here; grams with
-    too many different stretches are sent on as hot, with one row to tell their shard.
+    too many different stretches or places are sent on as hot, with one row to tell their shard.
     """
     doc, tag, gram, content, start, count = (np.concatenate(c) for c in zip(*held, strict=True))
     order, new = _sorted_groups(gram, content, doc)
@@ -168,7 +172,8 @@ def _flush(held: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[tuple[in
     gram_new[1:] = gram[1:] != gram[:-1]
     at = np.flatnonzero(gram_new)
     different = np.add.reduceat((~same).astype(np.int64), at)
-    crowded = _spread(different > LOCAL_STRETCHES, gram_new)
+    rows = np.add.reduceat((~done).astype(np.int64), at)
+    crowded = _spread((different > LOCAL_STRETCHES) | (rows > LOCAL_ROWS), gram_new)
     state = np.where(done, MARKED, np.where(crowded, HOT, COLD)).astype(np.uint8)
     send = (state == COLD) | (crowded & gram_new)
     shard = (gram % np.uint64(shards)).astype(np.int64)
@@ -219,9 +224,10 @@ def _shard(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         different = _spread(np.add.reduceat(text.astype(np.int64), at), new)
         first = _spread(doc[text], text)
         own = state == COLD  # the rest only tells that the gram is crowded elsewhere
+        rows = _spread(np.add.reduceat((doc == first).astype(np.int64), at), new)
         kind = np.where(
             own & (doc > first), MARKED,
-            np.where(told | (different > SHARD_STRETCHES), HOT, COLD),
+            np.where(told | (different > SHARD_STRETCHES) | (rows > SHARD_ROWS), HOT, COLD),
         ).astype(np.uint8)
         need = own & ((kind == MARKED) | told | (shared & (different > 1)))
         out.append([c[need] for c in (doc, tag, start, count, kind, gram)])
@@ -378,7 +384,7 @@ def _compared(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    windows = data[((np.cumsum(sizes) - sizes)[owner] + nth)[:, None] + np.arange(length)]
+    windows = sliding_window_view(data, length)[(np.cumsum(sizes) - sizes)[owner] + nth]
     order, equal = column_order(windows)
     docs = doc[owner[order]]
     at = np.flatnonzero(~equal)
@@ -391,19 +397,43 @@ def _compared(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_marks(hot: DataFrame, length: int) -> DataFrame:
-    """Marks of the windows of crowded grams: least document per window, joined back."""
+    """Marks of the windows of crowded grams: least document per window, joined back.
 
-    windows = hot.select(
-        "doc", "tag", "start", "string",
+    Only different strings are cut into windows, however often they occur; the windows with a
+    smaller document come back as one array a string, and neighbours among them as one mark.
+    """
+    name = {"s": F.xxhash64("string"), "t": F.xxhash64(F.lit(1), "string")}
+    windows = hot.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).withColumns(name).select(
+        "s", "t", "low", "high", "string",
         F.explode(F.sequence(F.lit(0), F.octet_length("string") - length)).alias("nth"),
-    ).select(
-        "doc", "tag", (F.col("start") + F.col("nth")).alias("start"),
-        F.expr(f"substring(string, nth + 1, {length})").alias("window"),
-    ).select("doc", "tag", "start", F.xxhash64("window").alias("h"), F.xxhash64(F.lit(1), "window").alias("g"))
-    first = windows.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    return windows.join(first, ["h", "g"]).where("doc > low").select(
-        "doc", "tag", "start", (F.col("start") + length).alias("stop")
+    ).withColumn("window", F.expr(f"substring(string, nth + 1, {length})")).select(
+        "s", "t", "low", "high", "nth", F.xxhash64("window").alias("h"), F.xxhash64(F.lit(1), "window").alias("g")
+    )
+    first = (
+        windows.groupBy("h", "g").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .where("low < high").select("h", "g", "low")
     )
+    shared = (
+        windows.drop("low", "high").join(first, ["h", "g"])
+        .groupBy("s", "t").agg(F.collect_list(F.struct("nth", "low")).alias("shared"))
+    )
+    places = hot.withColumns(name).select("doc", "tag", "start", "s", "t").join(shared, ["s", "t"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = part.column("shared")
+                nth, low = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
+                count = found.value_lengths().to_numpy(zero_copy_only=False)
+                doc, tag, start = (
+                    np.repeat(part.column(c).to_numpy(zero_copy_only=False), count) for c in ("doc", "tag", "start")
+                )
+                hit = doc > low
+                if hit.any():
+                    d, t, a, b = _merged(doc[hit], tag[hit], start[hit] + nth[hit], length)
+                    yield _batch((d, t, a.astype(np.int32), b.astype(np.int32)), ["doc", "tag", "start", "stop"])
+
+    return places.select("doc", "tag", "start", "shared").mapInArrow(mark, PLACED)
 
 
 def tagged(df: DataFrame, key: str, text: str) -> DataFrame:

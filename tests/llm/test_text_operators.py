@@ -277,3 +277,31 @@ def test_repeats_where_a_task_has_one_kind_of_stretch(documents):
 def test_flush_of_marked_or_sent_stretches_only():
     one = tuple(np.array([v], t) for v, t in ((5, "i8"), (0, "i8"), (9, "u8"), (1, "u8"), (0, "i4"), (3, "u2")))
     assert len(list(repeats._flush([one], 8))) == 1
+
+
+def test_repeats_of_long_padding(documents):
+    """Equal stretches by the thousand in the smallest documents, with and without own surroundings."""
+    rows = [
+        (1, "before the padding of the first " + "-" * 40_000 + " and after it there are words"),
+        (2, "=" * 90 + "-" * 30_000 + "before the padding of the first " + "-" * 70),
+        (2, "another row of the same id " + "-" * 30_000),
+        (3, "a short one " + "-" * 75 + " and after it there are words"),
+        (0, "0" * 5 + "ab" * 15_000),
+        (4, "ab" * 12_000 + "x" + "ba" * 60),
+    ]
+    out = repeats.remove_repeats(documents(*rows)).collect()
+    found = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in out), key=repr)
+    assert found == sorted(plain_repeats(rows, 50), key=repr)
+
+
+@pytest.mark.parametrize("local", [400, 9000])
+def test_no_shard_compares_very_many_places(local):
+    """9,000 equal stretches of document 1, flushed in parts, and another one of document 2."""
+    def part(doc, content, n):
+        return tuple(np.full(n, v, t) for v, t in ((doc, "i8"), (0, "i8"), (9, "u8"), (content, "u8"), (0, "i4"), (3, "u2")))
+
+    held = [part(1, 1, min(local, 9000 - a)) for a in range(0, 9000, local)] + [part(2, 2, 1)]
+    payloads = [payload for one in held for _, payload in repeats._flush([one], 8)]
+    state = repeats._shard(payloads)[4]
+    assert len(state) == 9001
+    assert set(state.tolist()) == {repeats.HOT}
