@@ -32,9 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item, each row judged by its own text, with an id or not."""
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row")
+    return rows.join(found.select("_row").distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

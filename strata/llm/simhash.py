@@ -257,6 +257,7 @@ def near_duplicates(
     text: str = "text",
     radius: int = 2,
     carry: tuple[str, ...] = (),
+    root: str | None = None,
 ) -> DataFrame:
     """(key, carried columns, fingerprint, component_id) for every row.
 
@@ -264,14 +265,15 @@ def near_duplicates(
     fingerprints differ in at most ``radius`` bits. Null and empty texts have fingerprint zero and
     link like any other. Rows with a null key come back too; they connect others but are nobody's
     component, and a component of null keys only has a null id. Repeated rows come back as often as
-    they are there. An empty table gives an empty result.
+    they are there. A column named ``root``, if asked for, holds the component's smallest fingerprint,
+    which no other component has. An empty table gives an empty result.
     """
     carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *carried)
     rows = materialize(with_fingerprint(source, "text", "fp").drop("text"))
     prints = materialize(rows.groupBy("fp").agg(F.min("key").alias("low")))
     if prints.isEmpty():
-        joined = rows.withColumn("component_id", F.col("key"))
+        joined = rows.withColumns({"component_id": F.col("key"), "root": F.col("fp")})
     else:
         edges = links(prints.select("fp"), radius, plan(prints, radius))
         roots = components(edges)
@@ -286,6 +288,7 @@ def near_duplicates(
         *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
         F.col("fp").alias("fingerprint"),
         "component_id",
+        *([F.col("root").alias(root)] if root else []),
     )
 
 
@@ -294,15 +297,15 @@ def without_near_duplicates(
 ) -> DataFrame:
     """One row of each component: that with the smallest key, of several the smallest text hash.
 
-    Rows that agree in key and text are one row. A component whose keys are all null counts as one.
+    Rows that agree in key and text are one row. A component whose keys are all null counts as one,
+    and components that share a key count each.
     """
     mark = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text"))
     marked = df.withColumn("_mark", mark)
-    found = near_duplicates(marked, key, text, radius, ("_mark",))
+    found = near_duplicates(marked, key, text, radius, ("_mark",), "_root")
     low = F.struct(F.col(key).isNull(), "_mark")
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     chosen = (
-        found.groupBy("component_id", group.alias("alone"))
+        found.groupBy("_root")
         .agg(F.min(low).getField("_mark").alias("_mark"))
         .select("_mark")
         .distinct()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from strata.llm import simhash
 from strata.llm.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +49,24 @@ def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_contaminated_rows_without_an_id_or_with_a_shared_one(spark, documents, tmp_path):
+    words = [f"word{i}" for i in range(30)]
+    item, clean = " ".join(words), " ".join(reversed(words))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents((None, f"before {item} after"), (None, clean), (7, item), (7, clean), (8, None), (None, None))
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([(None, clean), (7, clean), (8, None), (None, None)], key=repr)
+
+
+def test_near_duplicates_without_ids_or_with_a_shared_one(documents, monkeypatch):
+    """Fingerprints set by hand: one component of null ids two bits apart, two that share an id."""
+    prints = {"a": 0b0, "b": 0b11, "c": 0b1111, "far": 0xFFFF << 20, "other": 0xFFFF << 40}
+    fp = F.coalesce(*[F.when(F.col("text") == t, F.lit(v)) for t, v in prints.items()]).cast("bigint")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda df, text, out: df.withColumn(out, fp))
+    docs = documents((None, "a"), (None, "b"), (None, "c"), (5, "far"), (5, "other"))
+    kept = simhash.without_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.text in "abc") for r in kept) == [("5", False), ("5", False), ("None", True)]
