@@ -1,13 +1,12 @@
-"""Operator 3: benchmark decontamination by MinHash containment search, in DataFrame functions.
+"""Operator 3: benchmark decontamination by a prefix filter on hashes, in DataFrame functions.
 
 A document contains an item if it has a share of ``threshold`` or more of the item's distinct
 word shingles. Documents are much longer than items, so their resemblance is near zero and a
-MinHash of the document would not find anything; the search is for containment. Items are
-partitioned by size. An item with n shingles may miss m = floor((1 - threshold) n) of them, so the
-m + 1 smallest shingle hashes, its bottom-k MinHash with k set by its size, hold one that every
-containing document has: candidates are complete. A size class needs only document hashes up to
-the largest hash of its sketches, and one such limit, that of the widest class, thins the document
-side before the join. Candidates are verified by their exact shingles.
+MinHash of the document would not find anything; the search is for containment. An item with n
+shingles may miss m = floor((1 - threshold) n) of them, so the m + 1 smallest shingle hashes, its
+bottom-k MinHash with k set by its size, hold one that every containing document has: candidates
+are complete. The largest hash of all sketches thins the document side before the join; nothing is
+partitioned by size. Candidates are verified by their exact shingles.
 """
 
 from __future__ import annotations
