@@ -33,8 +33,3 @@ def frame(spark):
         return df.select(*[F.col(n).cast(t).alias(n) for n, t in parts])
 
     return build
-
-
-def as_rows(df, *columns):
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=repr)

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import as_rows
+from rows import as_rows
 
 from strata.operators.dedup import dedup_latest
 from strata.operators.incremental import read_incremental, unprocessed_batches

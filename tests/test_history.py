@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import as_rows
+from rows import as_rows
 from pyspark.sql import functions as F
 
 from strata.functions.columns import row_hash

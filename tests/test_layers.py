@@ -2,7 +2,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
-from conftest import as_rows
+from rows import as_rows
 from pyspark.sql import functions as F
 
 from strata.operators.quality import FAILED

@@ -1,5 +1,5 @@
 import pytest
-from conftest import as_rows
+from rows import as_rows
 
 from strata.operators.merge import DuplicateKeys, merge_upsert
 

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_rows
+from rows import as_rows
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 

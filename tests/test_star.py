@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_rows
+from rows import as_rows
 
 from strata.functions.columns import interleave_bits
 from strata.plans import analytics, star
