@@ -90,7 +90,8 @@ def texts_of(array: pa.Array) -> list[str]:
 
 def fold(key: str | Column, folds: int) -> Column:
     """CRC-32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")) % folds
+    text = (F.col(key) if isinstance(key, str) else key).cast("string")
+    return F.crc32(F.coalesce(text, F.lit(""))) % folds
 
 
 def labelled_sample(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import (
-    bpe, decontaminate, embeddings, pii, quality, repeats, secrets, sharding, simhash,
-    toxicity,
+    bpe, decontaminate, divergence, embeddings, periodic, pii, quality, recompression, repeats,
+    secrets, sharding, simhash, toxicity,
 )
 from strata.llm.common import fold, table
 
@@ -124,7 +124,42 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = documents.withColumn("cycle", F.when(h % 10 == 0, F.floor(h / 10)).cast("bigint"))
+    found = periodic.periodic_runs(planted, cycle="cycle").drop("text")
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ended = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[best[name].alias(name) for name in ("start", "length", "period")],
+        F.sha2(ended, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "start", "length", "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
+@query
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    removed = recompression.remove_repeated_passages(documents).drop("text")
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLE: dict[str, str] = {
+    "op12_divergence": divergence.oracle(),
     "op3_decontamination": decontaminate.oracle(),
     "op7_sharding": sharding.oracle(SHARD_BYTES),
 }
