@@ -16,9 +16,9 @@ name) is its anchor. Neighbouring windows mostly share their anchor; the words t
 stretch.
 
 Spark then works on anchors, some for every hundred words: an anchor in one document only settles
-its windows. If all stretches of an anchor are equal, so are their windows, and the smallest
-document keeps them. Only where an anchor has different stretches are windows compared one by one,
-once for each different stretch. Stretches and windows are compared by 128 bits of SHA-256 over their
+its windows. A stretch that a smaller document holds as well is removed whole. The first document of
+a stretch keeps it if its anchor has no other stretch; only where an anchor has several are windows
+compared one by one, each stretch in its first document only. Stretches and windows are compared by 128 bits of SHA-256 over their
 words; the 64-bit names only bring together what may be equal.
 """
 
@@ -48,7 +48,7 @@ RUN_EVERY = 4
 LONG_SYMBOL = 4
 
 ANCHORS = "doc_id bigint, row bigint, anchor bigint, d1 bigint, d2 bigint, first int, many int"
-DIGESTS = "d1 bigint, d2 bigint, nth int, smallest bigint, w1 bigint, w2 bigint"
+DIGESTS = "doc_id bigint, row bigint, first int, w1 bigint, w2 bigint"
 
 _ONE = np.uint64(1)
 
@@ -200,20 +200,23 @@ def _window_digests(asked: DataFrame, window: int) -> DataFrame:
                 view = memoryview(data)
                 lists = part.column("asked")
                 flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
-                column = {n: flat.field(n).to_numpy() for n in ("d1", "d2", "smallest", "first", "many")}
-                many = column["many"].astype(np.int64)
-                begin = words.bounds[np.repeat(np.arange(len(sizes)), sizes)] + column["first"]
+                many = flat.field("many").to_numpy().astype(np.int64)
                 nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                start = np.repeat(begin, many) + nth
+                nth += np.repeat(flat.field("first").to_numpy(), many)
+                text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), many)
+                start = words.bounds[text] + nth
                 ends = at[start + window] - 1
                 packed = b"".join(
                     _digest(view, a, b) for a, b in zip(at[start].tolist(), ends.tolist(), strict=True)
                 )
                 found = np.frombuffer(packed, np.int64).reshape(-1, 2)
-                columns = [np.repeat(column[n], many) for n in ("d1", "d2", "smallest")]
-                columns = [*columns[:2], nth.astype(np.int32), columns[2], found[:, 0], found[:, 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], names=["d1", "d2", "nth", "smallest", "w1", "w2"]
+                    [
+                        part.column("doc_id").take(pa.array(text)),
+                        part.column("row").take(pa.array(text)),
+                        pa.array(nth.astype(np.int32)), pa.array(found[:, 0]), pa.array(found[:, 1]),
+                    ],
+                    names=["doc_id", "row", "first", "w1", "w2"],
                 )
 
     return asked.mapInArrow(run, DIGESTS)
@@ -222,40 +225,22 @@ def _window_digests(asked: DataFrame, window: int) -> DataFrame:
 def _marks(rows: DataFrame, window: int) -> DataFrame:
     """``(doc_id, row, first, many)``: windows that also start in a smaller document."""
     anchors = materialize(_anchors(rows.where("doc_id IS NOT NULL"), window))
-    shared = (
-        anchors.groupBy("anchor")
-        .agg(
-            F.min("doc_id").alias("smallest"), F.max("doc_id").alias("greatest"),
-            *[f(c).alias(f"{n}_{c}") for c in ("d1", "d2") for n, f in (("lo", F.min), ("hi", F.max))],
-        )
-        .where("smallest < greatest")
-        .select("anchor", "smallest", F.expr("lo_d1 = hi_d1 AND lo_d2 = hi_d2").alias("alike"))
-    )
-    live = materialize(anchors.join(shared, "anchor").drop("anchor"))
-    alike = live.where("alike AND doc_id > smallest").select("doc_id", "row", "first", "many")
-    mixed = live.where("NOT alike")
-    place = ("doc_id", "row", "first", "many")
-    kinds = mixed.groupBy("d1", "d2").agg(F.min(F.struct(*place)).alias("at"))
-    asked = (
-        kinds.select("at.doc_id", "at.row", F.struct("d1", "d2", F.col("at.doc_id").alias("smallest"),
-                                                     "at.first", "at.many").alias("one"))
-        .groupBy("doc_id", "row").agg(F.collect_list("one").alias("asked"))
-    )
+    ends = F.min("doc_id").alias("smallest"), F.max("doc_id").alias("greatest")
+    shared = anchors.groupBy("anchor").agg(*ends).where("smallest < greatest").select("anchor")
+    live = materialize(anchors.join(shared, "anchor"))
+    # A stretch that a smaller document holds as well goes as a whole.
+    first = live.groupBy("anchor", "d1", "d2").agg(F.min("doc_id").alias("smallest"))
+    placed = live.join(first, ["anchor", "d1", "d2"])
+    whole = placed.where("doc_id > smallest").select("doc_id", "row", "first", "many")
+    # The first document of a stretch keeps it, unless its anchor has other stretches too.
+    mixed = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    unsure = placed.where("doc_id = smallest").join(mixed, "anchor")
+    asked = unsure.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "many")).alias("asked"))
     one_each = rows.select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
     windows = materialize(_window_digests(one_each.join(asked, ["doc_id", "row"]), window))
-    least = windows.groupBy("w1", "w2").agg(F.min("smallest").alias("least"))
-    kinds = windows.join(least, ["w1", "w2"]).groupBy("d1", "d2").agg(
-        F.collect_list(F.struct("nth", "least")).alias("windows")
-    )
-    found = mixed.join(kinds, ["d1", "d2"]).select(
-        "doc_id", "row", "first", "many",
-        F.filter("windows", lambda w: w["least"] < F.col("doc_id")).alias("gone"),
-    )
-    every = F.size("gone") == F.col("many")
-    runs = F.when(every, F.array(F.struct("first", "many"))).otherwise(
-        F.transform("gone", lambda w: F.struct((F.col("first") + w["nth"]).alias("first"), F.lit(1).alias("many")))
-    )
-    return alike.unionByName(found.select("doc_id", "row", F.inline(runs)))
+    least = windows.groupBy("w1", "w2").agg(*ends).where("smallest < greatest").drop("greatest")
+    single = windows.join(least, ["w1", "w2"]).where("doc_id > smallest")
+    return whole.unionByName(single.select("doc_id", "row", "first", F.lit(1).alias("many")))
 
 
 def remove_repeated_passages(
@@ -277,7 +262,7 @@ def remove_repeated_passages(
     )
     marks = (
         _marks(rows, window).groupBy("doc_id", "row")
-        .agg(F.collect_list(F.struct("first", "many")).alias("__marks"))
+        .agg(F.collect_set(F.struct("first", "many")).alias("__marks"))
         .withColumnsRenamed({"doc_id": "__key", "row": "__row"})
     )
     same = (F.col(key).cast("bigint") == F.col("__key")) & (F.xxhash64(text) == F.col("__row"))
