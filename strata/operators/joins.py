@@ -130,6 +130,56 @@ def _asof_join(
     )
 
 
+def changed_intervals(
+    before: DataFrame,
+    after: DataFrame,
+    on: list[str],
+    sk: str,
+    closed: str = "left",
+    start: str = START,
+    end: str = END,
+) -> DataFrame:
+    """``(key, _from, _until)``: when a point-in-time join to ``after`` may differ from ``before``.
+
+    The symmetric difference of both sets of versions, day by day: the days on which only one of
+    them gives the key this surrogate key, ``_until`` exclusive. A version that merely ends earlier
+    than before gives the days after its new end; one that both sets have for the same days gives
+    none, whatever its other columns hold. A fact outside of the intervals of its key resolves as
+    before.
+
+    The ends of all versions are counted with a sign, and what both sets have cancels out before
+    anything is sorted. Versions with a NULL in the key are left out, since no fact meets them.
+    """
+    sides = [
+        _half_open(dim, on, sk, closed, start, end).where(~any_null(on)).withColumn("_side", F.lit(side))
+        for dim, side in ((before, -1), (after, 1))
+    ]
+    ends = F.array(
+        F.struct(F.col("_from").alias("_day"), F.col("_side")),
+        F.struct(F.col("_until").alias("_day"), (-F.col("_side")).alias("_side")),
+    )
+    steps = (
+        sides[0].unionByName(sides[1]).select(*on, sk, F.inline(ends))
+        .groupBy(*on, sk, "_day").agg(F.sum("_side").alias("_step")).where("_step <> 0")
+    )
+    so_far = Window.partitionBy(*on, sk).orderBy("_day")
+    return (
+        steps.withColumns({"_apart": F.sum("_step").over(so_far), "_until": F.lead("_day").over(so_far)})
+        .where("_apart <> 0").select(*on, F.col("_day").alias("_from"), "_until").distinct()
+    )
+
+
+def touched_days(fact: DataFrame, intervals: DataFrame, on: list[str], date_col: str) -> DataFrame:
+    """The distinct days on which facts lie within an interval of their key.
+
+    Facts are cut to distinct (key, day) pairs first, so that a hot key has one row a day.
+    """
+    asked = fact.select(*on, F.col(date_col).cast("date").alias("_day")).distinct()
+    matches = [F.col(f"a.{k}") == F.col(f"i.{k}") for k in on]
+    valid = (F.col("a._day") >= F.col("i._from")) & (F.col("a._day") < F.col("i._until"))
+    return asked.alias("a").join(intervals.alias("i"), [*matches, valid], "left_semi").select("_day").distinct()
+
+
 def lookup(fact: DataFrame, dim: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """Current-value left join to a dimension that is unique on ``on``."""
     return fact.join(dim.select(*on, *columns), on, "left").select(*fact.columns, *columns)

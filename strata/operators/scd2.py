@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import any_differs, row_hash
+from strata.functions.columns import any_differs, open_end, row_hash
 from strata.operators.dedup import dedup_latest
 from strata.operators.surrogate import dense_sk
+from strata.session import materialize
 
 # The columns that history adds to a table.
 HASH = "_row_hash"
@@ -104,7 +105,7 @@ def scd2_change(
     """What a batch changes, or ``None`` if it changes nothing.
 
     ``source`` is unique on the key; keys that are missing from it stay as they are. A batch dated
-    before the newest current version is refused: history is corrected with ``scd2_rebuild``.
+    before the newest current version is refused; ``scd2_splice`` puts it into its place.
     """
     newest = current.agg(F.max(START)).first()[0]
     if newest is not None and newest > as_of:
@@ -152,6 +153,66 @@ def scd2_merge(
     )
 
 
+def scd2_splice(
+    late: DataFrame,
+    versions: DataFrame,
+    later: DataFrame,
+    day: str,
+    key: list[str],
+    tracked: list[str],
+    sk: str,
+    as_of: dt.date,
+    next_sk: int,
+) -> DataFrame:
+    """The histories of the keys of a late batch, with the batch in its place.
+
+    ``late`` is unique on the key and holds what was reported on ``as_of``; ``versions`` are all
+    versions of its keys, and ``later`` names the days (column ``day``) after ``as_of`` on which a key was
+    reported. The result is what merging all batches in their order would have given: the late
+    values count until the key's next report, on which the version that was there comes back or, if
+    it has the same values, goes on. On a day that has a version already, the late batch counts as
+    the newer one. Versions that keep start and values keep their surrogate key; the others are
+    numbered from ``next_sk`` on.
+    """
+    own = [START, END, CURRENT, HASH, sk]
+    values = [c for c in versions.columns if c not in own]
+    points = versions.select(*values, F.col(START).alias("_day"), F.col(sk).alias("_old"), F.lit(1).alias("_rank"))
+    spliced = late.select(*values, F.lit(as_of).alias("_day"), F.lit(None).cast("bigint").alias("_old"),
+                          F.lit(2).alias("_rank"))
+    following = (
+        later.where(F.col(day) > F.lit(as_of)).join(late.select(*key), key, "left_semi")
+        .groupBy(*key).agg(F.min(day).alias("_next"))
+    )
+    on = [F.col(f"v.{k}") == F.col(f"n.{k}") for k in key]
+    live = (F.col(f"v.{START}") <= F.col("n._next")) & (F.col("n._next") < open_end(F.col(f"v.{END}")))
+    again = versions.alias("v").join(following.alias("n"), [*on, live]).select(
+        *[f"v.{c}" for c in values], F.col("n._next").alias("_day"),
+        F.lit(None).cast("bigint").alias("_old"), F.lit(0).alias("_rank"),
+    )
+    # On one day the late batch comes first, then what is there, then what comes back. If the late
+    # batch says what is there, what is there stays as it is.
+    same_day = Window.partitionBy(*key, "_day").orderBy(F.desc("_rank"))
+    said = row_hash(tracked)
+    chosen = (
+        points.unionByName(spliced).unionByName(again).withColumn(HASH, said)
+        .withColumns({"_nth": F.row_number().over(same_day), "_below": F.lead(F.struct("_old", HASH)).over(same_day)})
+        .where("_nth = 1")
+        .withColumn("_old", F.when(F.col("_old").isNull() & (F.col("_below")[HASH] == F.col(HASH)),
+                                   F.col("_below")["_old"]).otherwise(F.col("_old")))
+    )
+    by_day = Window.partitionBy(*key).orderBy("_day")
+    changes = chosen.withColumn("_was", F.lag(HASH).over(by_day)).where(
+        F.col("_was").isNull() | (F.col("_was") != F.col(HASH))
+    )
+    dated = changes.select(
+        *values, HASH, "_old", F.col("_day").alias(START), F.lead("_day").over(by_day).cast("date").alias(END)
+    ).withColumn(CURRENT, F.col(END).isNull())
+    dated = materialize(dated)
+    kept = dated.where("_old IS NOT NULL").withColumn(sk, F.col("_old"))
+    fresh = dense_sk(dated.where("_old IS NULL"), [START, *key], sk, next_sk)
+    return kept.unionByName(fresh).select(*versions.columns)
+
+
 def scd2_rebuild(
     feed: DataFrame,
     key: list[str],

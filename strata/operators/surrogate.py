@@ -48,15 +48,22 @@ def dense_sk(
 
 
 def stable_sk(
-    df: DataFrame, key: list[str], name: str, previous: DataFrame | None = None
+    df: DataFrame,
+    key: list[str],
+    name: str,
+    previous: DataFrame | None = None,
+    first: int | None = None,
 ) -> DataFrame:
     """Number the rows like ``dense_sk``, but let keys numbered in ``previous`` keep their number.
 
-    ``df`` and ``previous`` have one row per key; new keys are numbered above the greatest.
+    ``df`` and ``previous`` have one row per key; new keys are numbered from ``first`` on, by
+    default above the greatest of ``previous``. A caller that drops rows passes its own ``first``,
+    so that no number is given twice.
     """
     if previous is None:
-        return dense_sk(df, list(key), name)
+        return dense_sk(df, list(key), name, first or 0)
     known = previous.select(*key, name)
-    first = known.agg(F.coalesce(F.max(name) + 1, F.lit(0))).first()[0]
+    if first is None:
+        first = known.agg(F.coalesce(F.max(name) + 1, F.lit(0))).first()[0]
     fresh = dense_sk(df.join(known, key, "left_anti").select(*df.columns), list(key), name, first)
     return df.join(known, key).select(*df.columns, name).unionByName(fresh)

@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strata.functions import rules as R
+from strata.functions.columns import OPEN_END
 from strata.operators.dedup import dedup_latest
 from strata.operators.incremental import read_incremental
+from strata.operators.joins import changed_intervals, touched_days
 from strata.operators.layout import cluster
 from strata.operators.merge import merge_upsert
 from strata.operators.quality import FAILED, HEALTHY_PASS_RATE, rule_counts, validate
 from strata.operators.scd2 import (
     CURRENT,
     START,
-    next_surrogate,
     scd2_change,
     scd2_initial,
     scd2_rebuild,
+    scd2_splice,
 )
 from strata.plans import star
 from strata.sources.landing import (
@@ -37,11 +39,32 @@ from strata.sources.landing import (
     tag_metadata,
 )
 from strata.session import materialize, side_by_side, temporary_steps
-from strata.sources.tables import Tables, Written, generation_of, touched_directories
+from strata.sources.tables import (
+    DIRECTORY,
+    Tables,
+    Written,
+    generation_of,
+    touched_directories,
+)
 from strata.spec import TableSpec
 
 OK = "_dq_ok"
 
+#: Files of the landing ledger: the rows of an active file are in bronze, those of a superseded one
+#: were replaced by another delivery and are never read again.
+STATE, ACTIVE, SUPERSEDED = "state", "active", "superseded"
+
+
+def with_period(df: DataFrame, day: str, period: str) -> DataFrame:
+    """Add the first day of each row's period, e.g. ``_month``, as a partition column."""
+    return df if period == "day" else df.withColumn(f"_{period}", F.trunc(day, period))
+
+
+def layout_of(columns: Iterable[str], period: str) -> list[str]:
+    """Partition columns: the period's, if there is one, instead of the date column."""
+    columns = list(columns)
+    return columns if period == "day" or not columns else [f"_{period}"]
+
 
 # -- bronze -----------------------------------------------------------------------------
 
@@ -80,7 +103,7 @@ def store_bronze(
 def ingest_bronze(
     tables: Tables,
     spec: TableSpec,
-    landing: str,
+    landing: str | list[str],
     as_of: dt.date,
     batch_id: str | None = None,
     on_bad: str = "quarantine",
@@ -93,8 +116,8 @@ def ingest_bronze(
     Rows carry ``ingest_ts``, by default a moment after that of every batch stored before, so that
     the later of two runs is the newer one. ``paths_only`` restricts the run to some files.
 
-    Files already read, by path and modification time, are skipped; ``only_new_files=False``
-    reads the whole folder again. The file list is recorded after the data: should a run stop in
+    Files already read, by path and modification time, are skipped, whether their rows are still in
+    bronze or another delivery superseded them; ``only_new_files=False`` reads the whole folder again. The file list is recorded after the data: should a run stop in
     between, the files are read twice and the duplicates fall to the next layer's deduplication.
     """
     with temporary_steps(tables.spark):
@@ -117,7 +140,7 @@ def ingest_bronze(
         tagged = tag_metadata(raw, batch_id or str(uuid.uuid4()), moment, ingest_date=as_of)
         result = store_bronze(tables, spec, tagged, as_of)
         tables.append(
-            files.withColumn(INGEST_DATE, F.lit(as_of)),
+            files.withColumn(STATE, F.lit(ACTIVE)).withColumn(INGEST_DATE, F.lit(as_of)),
             "bronze",
             ledger,
             partition_by=[INGEST_DATE],
@@ -286,12 +309,13 @@ def refine_fact(
     batch = _batch(tables, spec, as_of, mode)
     if batch is None:
         return _nothing_new(spec)
-    key, layout = list(spec.business_key), list(spec.partition_by)
+    key, layout = list(spec.business_key), _layout(spec)
     if not tables.exists("silver", spec.name):
         return _first_load(tables, spec, batch)
     valid, counts = _stage(tables, spec, batch)
     if not counts["incremental_count"]:
         return _nothing_new(spec)
+    valid = _placed(valid, spec)
     rows = tables.read("silver", spec.name, with_directory=True)
     touched = touched_directories(rows, valid, key, layout)
     if touched:
@@ -308,6 +332,14 @@ def refine_fact(
     return counts
 
 
+def _layout(spec: TableSpec) -> list[str]:
+    return layout_of(spec.partition_by, spec.partition_period)
+
+
+def _placed(df: DataFrame, spec: TableSpec) -> DataFrame:
+    return with_period(df, spec.partition_by[0], spec.partition_period) if spec.partition_by else df
+
+
 def _first_load(tables: Tables, spec: TableSpec, batch: _Batch) -> dict[str, object]:
     """Write the good rows straight to silver, counting on the way.
 
@@ -316,9 +348,9 @@ def _first_load(tables: Tables, spec: TableSpec, batch: _Batch) -> dict[str, obj
     """
     checked = Observation()
     counted = batch.flagged.observe(checked, *rule_counts(batch.checks))
-    layout = list(spec.partition_by)
+    layout = _layout(spec)
     tables.write(
-        _sized(_good(counted), layout),
+        _sized(_placed(_good(counted), spec), layout),
         "silver",
         spec.name,
         partition_by=layout,
@@ -343,7 +375,9 @@ def refine_dimension(
     only the column of surrogate keys is read.
 
     Several pending ingest days are merged one after the other, as of their own days (the last one
-    as of ``as_of``), so that catching up gives the history that daily runs would have.
+    as of ``as_of``), so that catching up gives the history that daily runs would have. A batch dated
+    before versions that are already there is put into its place, see ``_splice``. Surrogate keys
+    are never given twice, not even after the version that had one is gone.
     """
     if not spec.keeps_history:
         raise ValueError(f"{spec.name} keeps no history; use refine_fact")
@@ -386,7 +420,7 @@ def _refine_dimension(
     if not counts["incremental_count"]:
         return _nothing_new(spec)
     key, tracked, sk = list(spec.business_key), list(spec.tracked_columns), spec.surrogate_key_col
-    options = {"partition_by": [CURRENT], "consumed": batch.pending}
+    options = {"partition_by": [CURRENT], "consumed": batch.pending, "numbered": sk}
     with temporary_steps(tables.spark):
         if not tables.exists("silver", spec.name):
             opened = scd2_initial(valid, key, tracked, sk, as_of, initial_start)
@@ -394,7 +428,11 @@ def _refine_dimension(
             return counts
         is_current = f"{CURRENT}=true"
         current = tables.read("silver", spec.name, only=lambda d: is_current in d.split("/"))
-        following = next_surrogate(tables.read("silver", spec.name), sk)
+        following = tables.next_number("silver", spec.name, sk)
+        newest = current.agg(F.max(START)).first()[0]
+        if newest is not None and newest > as_of:
+            _splice(tables, spec, valid, as_of, following, batch, options)
+            return counts
         change = scd2_change(valid, current, key, tracked, sk, as_of, following)
         if change is None:
             tables.mark_consumed("silver", spec.name, batch.pending)
@@ -409,6 +447,41 @@ def _refine_dimension(
         return counts
 
 
+def _splice(
+    tables: Tables,
+    spec: TableSpec,
+    late: DataFrame,
+    as_of: dt.date,
+    following: int,
+    batch: _Batch,
+    options: dict,
+) -> None:
+    """Put a late batch into the histories of its keys; only directories that hold one are rewritten.
+
+    A history does not show on which later days a key was reported unchanged. The next such day, on
+    which an old value comes back, is taken from the bronze generations that silver has seen.
+    """
+    key = list(spec.business_key)
+    rows = tables.read("silver", spec.name, with_directory=True)
+    touched = touched_directories(rows, late, key)
+    affected = tables.read("silver", spec.name, only=lambda d: d in touched)
+    own, others = (affected.join(late.select(*key), key, how) for how in ("left_semi", "left_anti"))
+    seen = set(tables.published("silver", spec.name).consumed)
+    reported = tables.read("bronze", spec.name, only=lambda d: generation_of(d) in seen)
+    reported = validate(reported.where(F.col(INGEST_DATE) > F.lit(as_of)), batch.checks).valid
+    spliced = scd2_splice(
+        late, own, reported.select(*key, INGEST_DATE), INGEST_DATE, key, list(spec.tracked_columns),
+        spec.surrogate_key_col, as_of, following,
+    )
+    tables.write(
+        others.select(*rows.drop(DIRECTORY).columns).unionByName(spliced.select(*rows.drop(DIRECTORY).columns)),
+        "silver",
+        spec.name,
+        keep=lambda d: d not in touched,
+        **options,
+    )
+
+
 def run_silver(
     tables: Tables,
     specs: Iterable[TableSpec],
@@ -464,11 +537,16 @@ GOLD_CLUSTERS = {"fact_sales": ["customer_sk", "product_sk"]}
 #: Gold dimensions that show a silver history as it is.
 GOLD_SHOWN = ("dim_customer", "dim_product")
 
-#: Gold dimensions whose surrogate keys survive a rebuild.
-GOLD_NUMBERED = ("dim_store", "dim_supplier")
+#: Gold dimensions whose surrogate keys, named here, survive a rebuild.
+GOLD_NUMBERED = {"dim_store": "store_sk", "dim_supplier": "supplier_sk"}
 
-#: Surrogate key of each dimension that facts refer to.
-GOLD_KEYS = {"dim_customer": "customer_sk", "dim_product": "product_sk", "dim_store": "store_sk"}
+#: Business key and surrogate key of each dimension that facts refer to, and whether a fact meets
+#: the version of its own day.
+GOLD_KEYS = {
+    "dim_customer": ("customer_id", "customer_sk", True),
+    "dim_product": ("stock_code", "product_sk", True),
+    "dim_store": ("store_id", "store_sk", False),
+}
 
 
 def build_gold(
@@ -477,14 +555,16 @@ def build_gold(
     partitions: dict[str, list[str]] = GOLD_PARTITIONS,
     incremental: bool = False,
     calendar: tuple[dt.date, dt.date] | None = None,
+    period: str = "day",
 ) -> dict[str, object]:
     """Build and publish one gold table; without its inputs it is skipped with zero rows.
 
     ``calendar`` is the first and last day of ``dim_date``; by default the whole years of the facts.
 
-    ``partitions`` may name another layout, e.g. none for facts with few rows per day. With
-    ``incremental`` a fact partitioned by day rebuilds only the days that can have changed, see
-    ``days_to_rebuild``; the result is the same.
+    ``partitions`` may name another layout, e.g. none for facts with few rows per day, and ``period``
+    may be ``"month"`` or ``"year"`` to put a period instead of a day into a directory. With
+    ``incremental`` a fact partitioned by its date rebuilds only the directories that can have
+    changed, see ``stale_directories``; the result is the same.
     """
     missing = [f"{layer}.{t}" for layer, t in GOLD_INPUTS[name] if not tables.exists(layer, t)]
     if missing:
@@ -492,34 +572,41 @@ def build_gold(
     if name in GOLD_SHOWN:
         tables.publish_as(GOLD_INPUTS[name][0], "gold", name)
         return _built(name, tables.read("gold", name).count())
-    layout = partitions.get(name, [])
-    stale = days_to_rebuild(tables, name, layout) if incremental else None
+    days = partitions.get(name, [])
+    layout = layout_of(days, period)
+    stale = stale_directories(tables, name, days, period) if incremental else None
     keep = None
     with temporary_steps(tables.spark):
         inputs = [tables.read(layer, table) for layer, table in GOLD_INPUTS[name]]
         if stale is not None:
             facts = GOLD_INPUTS[name][0]
             if not any(stale(d) for d in _day_directories(tables, name)):
+                tables.note_inputs("gold", name, _input_marks(tables, name))
                 return _built(name, tables.read("gold", name).count(), "unchanged")
             inputs[0] = tables.read(*facts, only=stale)
             keep = lambda d: not stale(d)
+        numbered = GOLD_NUMBERED.get(name)
         if name == "dim_date":
             built = star.dim_date(tables.spark, *(calendar or calendar_range(tables)))
-        elif name in GOLD_NUMBERED and tables.exists("gold", name):
-            built = getattr(star, name)(*inputs, previous=tables.read("gold", name))
+        elif numbered and tables.exists("gold", name):
+            first = tables.next_number("gold", name, numbered)
+            built = getattr(star, name)(*inputs, tables.read("gold", name), first)
         else:
             built = getattr(star, name)(*inputs)
+        if days:
+            built = with_period(built, days[0], period)
         options = {
             "keep": keep,
             "partition_by": layout,
             "metrics": [F.count(F.lit(1)).alias("row_count")],
             "inputs": _input_marks(tables, name),
+            "numbered": numbered,
         }
         if name in GOLD_CLUSTERS:
             written = write_clustered(tables, built, "gold", name, GOLD_CLUSTERS[name], **options)
         else:
             written = tables.write(_sized(built, layout), "gold", name, **options)
-    if stale is not None:  # the write counted the rebuilt days only
+    if stale is not None:  # the write counted the rebuilt directories only
         return _built(name, tables.read("gold", name).count())
     return _built(name, written.metrics["row_count"])
 
@@ -548,14 +635,8 @@ def _built(name: str, rows: int, skipped: str | None = None) -> dict[str, object
 
 
 def _input_marks(tables: Tables, name: str) -> dict[str, int]:
-    """The version of each input, and the greatest key of each dimension among them."""
-    marks = {}
-    for layer, table in GOLD_INPUTS[name]:
-        marks[f"{layer}.{table}"] = tables.published(layer, table).version
-        if table in GOLD_KEYS:
-            greatest = tables.read(layer, table).agg(F.max(GOLD_KEYS[table])).first()[0]
-            marks[GOLD_KEYS[table]] = -1 if greatest is None else greatest
-    return marks
+    """The version of each input."""
+    return {f"{layer}.{t}": tables.published(layer, t).version for layer, t in GOLD_INPUTS[name]}
 
 
 def _day_directories(tables: Tables, name: str) -> set[str]:
@@ -564,45 +645,84 @@ def _day_directories(tables: Tables, name: str) -> set[str]:
     return {d for state in shown for d in state.dirs}
 
 
-def days_to_rebuild(
-    tables: Tables, name: str, layout: list[str]
+def stale_directories(
+    tables: Tables, name: str, days: list[str], period: str
 ) -> Callable[[str], bool] | None:
     """Which partition directories of a fact are stale; ``None`` if it has to be built in full.
 
-    Days are stale if the silver directories of the day are not those of the last build, or if
-    they are not before the first day on which a version opened since then became valid: a new
-    version, and the end of the one it replaces, only matter from that day on. Versions opened
-    since the last build are those with greater surrogate keys. A new store can only be looked
-    up by a full build, since it may resolve facts of any day.
+    A directory is stale if the silver directories of its days are not those of the last build, or
+    if it holds a fact whose key may resolve to another version than in that build. The latter
+    comes from the difference of each dimension's versions then and now (``changed_intervals``):
+    corrected, removed, renumbered, late and new versions are all the same to it. Only the facts of
+    changed keys, in the days for which they changed, count.
     """
-    state = tables.published("gold", name)
-    if state is None or not state.inputs or state.partition_by != tuple(layout) or len(layout) != 1:
+    state, layout = tables.published("gold", name), tuple(layout_of(days, period))
+    if state is None or not state.inputs or state.partition_by != layout or len(layout) != 1:
         return None
     silver = GOLD_INPUTS[name][0]
     now = tables.published(*silver)
     before = tables.published(*silver, version=state.inputs.get(".".join(silver), 0))
-    if before is None or now.partition_by != tuple(layout) or before.partition_by != tuple(layout):
+    if before is None or now.partition_by != layout or before.partition_by != layout:
         return None
-    marks, first_day = _input_marks(tables, name), None
-    for dim, sk in GOLD_KEYS.items():
-        if marks.get(sk, -1) == state.inputs.get(sk, -1):
+    changed = {_value(d) for d in set(before.dirs) ^ set(now.dirs)}
+    for layer, table in GOLD_INPUTS[name][1:]:
+        then, current = state.inputs[f"{layer}.{table}"], tables.published(layer, table).version
+        if then == current:
             continue
-        if dim == "dim_store":
+        if table not in GOLD_KEYS or not tables.readable(layer, table, then):
             return None
-        opened = tables.read("gold", dim).where(F.col(sk) > state.inputs[sk])
-        start = opened.agg(F.min(START)).first()[0]
-        first_day = start if first_day is None else min(first_day, start)
-    changed = {d.rsplit("/", 1)[-1] for d in set(before.dirs) ^ set(now.dirs)}
+        intervals = _changed(tables, layer, table, then)
+        facts = tables.read(*silver)
+        found = touched_days(_dated(facts, days[0]), intervals, [GOLD_KEYS[table][0]], "_event")
+        if not GOLD_KEYS[table][2]:  # facts without a day have such a key, too
+            found = found.withColumn("_day", F.when(F.col("_day") != F.expr(NO_DAY), F.col("_day")))
+        # One row per directory at most.
+        first = F.col("_day") if period == "day" else F.trunc("_day", period)
+        changed |= {_directory_value(row[0]) for row in found.select(first).distinct().collect()}
+    return lambda directory: _value(directory) in changed
+
+
+#: Stands for the day of facts without one where they are to be found, too.
+NO_DAY = "DATE'0001-01-01'"
+
+
+def _dated(facts: DataFrame, day: str) -> DataFrame:
+    return facts.withColumn("_event", F.coalesce(F.col(day).cast("date"), F.expr(NO_DAY)))
+
+
+def _changed(tables: Tables, layer: str, table: str, then: int) -> DataFrame:
+    """``changed_intervals`` of a dimension since a publication of it."""
+    key, sk, by_day = GOLD_KEYS[table]
+    sides = [tables.read(layer, table, version=then), tables.read(layer, table)]
+    if not by_day:
+        always = {"_start": F.expr(NO_DAY), "_end": F.lit(OPEN_END)}
+        sides = [side.select(key, sk).withColumns(always) for side in sides]
+        return changed_intervals(*sides, [key], sk, start="_start", end="_end")
+    return changed_intervals(*sides, [key], sk)
+
+
+def _value(directory: str) -> str:
+    return directory.rsplit("/", 1)[-1].split("=", 1)[1]
 
-    def stale(directory: str) -> bool:
-        value = directory.rsplit("/", 1)[-1]
-        if value in changed:
-            return True
-        day = value.split("=", 1)[1]
-        # The partition of NULL days is not a date, and no version is valid on it.
-        return first_day is not None and day[:1].isdigit() and day >= first_day.isoformat()
 
-    return stale
+def _directory_value(day: dt.date | None) -> str:
+    return NO_PARTITION if day is None else day.isoformat()
+
+
+#: Fixed value: what Spark names the directory of NULLs.
+NO_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def waves(names: Iterable[str]) -> list[list[str]]:
+    """Gold tables in groups that do not depend on each other, in an order in which they can be built."""
+    names, depth = list(names), {}
+
+    def of(name: str) -> int:
+        if name not in depth:
+            depth[name] = 1 + max((of(t) for layer, t in GOLD_INPUTS[name] if layer == "gold"), default=-1)
+        return depth[name]
+
+    return [[n for n in names if of(n) == level] for level in sorted({of(n) for n in names})]
 
 
 def run_gold(
@@ -611,9 +731,15 @@ def run_gold(
     partitions: dict[str, list[str]] = GOLD_PARTITIONS,
     incremental: bool = False,
     calendar: tuple[dt.date, dt.date] | None = None,
+    period: str = "day",
+    at_once: int = 1,
 ) -> dict[str, dict]:
-    """All gold tables in dependency order."""
-    return {name: build_gold(tables, name, partitions, incremental, calendar) for name in names}
+    """All gold tables in dependency order; of those that do not depend on each other several at once."""
+    names, results = list(names), {}
+    for wave in waves(names):
+        builds = [partial(build_gold, tables, n, partitions, incremental, calendar, period) for n in wave]
+        results.update(zip(wave, side_by_side(tables.spark, builds, at_once), strict=True))
+    return {name: results[name] for name in names}
 
 
 def write_clustered(
@@ -654,8 +780,9 @@ def reprocess(
 ) -> list[dict]:
     """Read the files of past ingest days again and bring silver to what the corrected days give.
 
-    Bronze and quarantine rows of the days are dropped and their own files, no others, are read
-    again; ``relanded`` names another landing root for a day whose files were delivered anew. Every business key that the days held before or hold now is then recomputed from all its
+    Bronze and quarantine rows of the days are dropped and their own active files, no others, are
+    read again, wherever they lie; ``relanded`` names another landing root for a day whose files were
+    delivered anew, and supersedes those it had. Every business key that the days held before or hold now is then recomputed from all its
     bronze rows: facts keep the row of the latest day, histories are rebuilt day by day, and keys
     that are gone from bronze leave silver. Later days are thus never reverted. Versions whose key
     and start survive keep their surrogate key. Rules see ``as_of``, by default the last of the days.
@@ -669,33 +796,45 @@ def reprocess(
             key = list(spec.business_key)
             held = tables.read("bronze", spec.name).where(F.col(INGEST_DATE).isin(days))
             before = materialize(held.select(*key).distinct())
-            files = tables.read("bronze", f"{spec.name}_files")
+            ledger = f"{spec.name}_files"
+            files = tables.read("bronze", ledger)
             files = materialize(files.where(F.col(INGEST_DATE).isin(days)))
-            landing = f"{landing_root}/{spec.source_path or spec.name}"
             for day in days:
-                for table in (spec.name, f"{spec.name}_files"):
-                    tables.replace_partition(None, "bronze", table, INGEST_DATE, day)
+                anew = (relanded or {}).get(day)
+                tables.replace_partition(None, "bronze", spec.name, INGEST_DATE, day)
                 if tables.exists("quarantine", spec.name):
                     tables.replace_partition(None, "quarantine", spec.name, INGEST_DATE, day)
-                if day in (relanded or {}):
-                    anew = f"{relanded[day]}/{spec.source_path or spec.name}"
-                    results.append(ingest_bronze(tables, spec, anew, day, only_new_files=False))
-                    continue
                 own = files.where(F.col(INGEST_DATE) == F.lit(day))
-                results.append(ingest_bronze(tables, spec, landing, day, paths_only=own))
+                retired = own if anew else own.where(F.col(STATE) == SUPERSEDED)
+                tables.replace_partition(
+                    retired.withColumn(STATE, F.lit(SUPERSEDED)), "bronze", ledger, INGEST_DATE, day
+                )
+                active = own.where(F.col(STATE) == ACTIVE)
+                where = [f"{anew}/{spec.source_path or spec.name}"] if anew else _folders(tables, active)
+                if where:
+                    only = None if anew else active
+                    results.append(
+                        ingest_bronze(tables, spec, where, day, only_new_files=False, paths_only=only)
+                    )
             held = tables.read("bronze", spec.name).where(F.col(INGEST_DATE).isin(days))
             touched = materialize(before.union(held.select(*key)).distinct().dropna(subset=key))
             results.append(_recompute(tables, spec, touched, as_of or days[-1]))
     return results
 
 
+def _folders(tables: Tables, files: DataFrame) -> list[str]:
+    """The folders of landing files that still exist; a scan needs their names on the driver."""
+    folder = F.regexp_extract(SOURCE_FILE, "^(.*)/[^/]*$", 1)
+    return [row[0] for row in files.select(folder).distinct().collect() if tables.there(row[0])]
+
+
 def _recompute(tables: Tables, spec: TableSpec, touched: DataFrame, as_of: dt.date) -> dict:
     """Silver rows of the touched keys anew from all of bronze; all other rows stay.
 
     Bronze generations that silver has not seen are not marked as seen, except for those that hold
     nothing but touched keys' days: refining them later changes nothing that is already there.
     """
-    key, layout = list(spec.business_key), list(spec.partition_by)
+    key, layout = list(spec.business_key), _layout(spec)
     rows = tables.read("bronze", spec.name).join(touched, key, "left_semi")
     names = [c["name"] for c in spec.columns]
     values = [c for c in names if c not in key]
@@ -716,7 +855,7 @@ def _recompute(tables: Tables, spec: TableSpec, touched: DataFrame, as_of: dt.da
         kept = tables.read("quarantine", rejected).join(touched, key, "left_anti")
         tables.write(materialize(kept), "quarantine", rejected)
     _quarantine(tables, spec, flagged, counts)
-    good = _good(flagged)
+    good = _placed(_good(flagged), spec)
     seen = tables.generations("bronze", spec.name)
     if not tables.exists("silver", spec.name):
         step = refine_dimension if spec.keeps_history else refine_fact
@@ -725,22 +864,32 @@ def _recompute(tables: Tables, spec: TableSpec, touched: DataFrame, as_of: dt.da
     untouched = silver.join(touched, key, "left_anti").select(*silver.columns)
     options = {"partition_by": [CURRENT] if spec.keeps_history else layout}
     if spec.keeps_history:
-        good = _rebuilt(spec, silver.join(touched, key, "left_semi"), silver, good)
+        following = tables.next_number("silver", spec.name, spec.surrogate_key_col)
+        good = _rebuilt(spec, silver.join(touched, key, "left_semi"), silver, good, following)
     fresh = untouched.unionByName(good.select(*silver.columns))
     done = tables.published("silver", spec.name).consumed
     pending = {g for own in pending_generations(tables, spec).values() for g in own}
-    whole = [g for g in seen if g not in done and g in pending and _only_touched(tables, spec, g, touched)]
+    mixed = _with_other_keys(tables, spec, pending, touched)
+    whole = [g for g in seen if g not in done and g in pending and g not in mixed]
+    if spec.keeps_history:
+        options["numbered"] = spec.surrogate_key_col
     tables.write(_sized(fresh, options["partition_by"]), "silver", spec.name, consumed=whole, **options)
     return counts
 
 
-def _only_touched(tables: Tables, spec: TableSpec, generation: str, touched: DataFrame) -> bool:
-    rows = tables.read("bronze", spec.name, only=lambda d: generation_of(d) == generation)
-    return rows.join(touched, list(spec.business_key), "left_anti").isEmpty()
+def _with_other_keys(
+    tables: Tables, spec: TableSpec, generations: set[str], touched: DataFrame
+) -> set[str]:
+    """Which of the generations hold rows of keys that are not touched."""
+    rows = tables.read(
+        "bronze", spec.name, only=lambda d: generation_of(d) in generations, with_directory=True
+    )
+    others = rows.join(touched, list(spec.business_key), "left_anti").select(DIRECTORY).distinct()
+    return {generation_of(row[0]) for row in others.collect()}
 
 
 def _rebuilt(
-    spec: TableSpec, old: DataFrame, silver: DataFrame, good: DataFrame
+    spec: TableSpec, old: DataFrame, silver: DataFrame, good: DataFrame, following: int
 ) -> DataFrame:
     """The touched keys' history from their daily rows, surviving versions with their old key."""
     key, tracked, sk = list(spec.business_key), list(spec.tracked_columns), spec.surrogate_key_col
@@ -755,7 +904,6 @@ def _rebuilt(
         start = F.when(F.col("_back") & (F.col(START) == F.col("_first")), F.lit(first))
         versions = dated.withColumn(START, F.coalesce(start, F.col(START))).drop("_first", "_back")
     known = old.select(*key, START, F.col(sk).alias("_old_sk"))
-    following = next_surrogate(silver, sk)
     return (
         versions.join(known, [*key, START], "left")
         .withColumn(sk, F.coalesce("_old_sk", F.col("_new_sk") + F.lit(following)))

@@ -44,13 +44,17 @@ def dim_product(product: DataFrame) -> DataFrame:
     return product
 
 
-def dim_store(store: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+def dim_store(
+    store: DataFrame, previous: DataFrame | None = None, first: int | None = None
+) -> DataFrame:
     """Current stores with surrogate keys, which stores of a previous build keep."""
-    return stable_sk(store, ["store_id"], "store_sk", previous)
+    return stable_sk(store, ["store_id"], "store_sk", previous, first)
 
 
-def dim_supplier(supplier: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    return stable_sk(supplier, ["supplier_id"], "supplier_sk", previous)
+def dim_supplier(
+    supplier: DataFrame, previous: DataFrame | None = None, first: int | None = None
+) -> DataFrame:
+    return stable_sk(supplier, ["supplier_id"], "supplier_sk", previous, first)
 
 
 def _store_key(store: DataFrame) -> str:

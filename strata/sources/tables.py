@@ -32,7 +32,8 @@ class Published:
 
     ``dirs`` are the partition directories, relative to ``base``; ``sizes`` says how many of them
     each generation has on disk. ``consumed`` is the ledger of source generations this state
-    already includes; ``inputs`` notes what it was built from.
+    already includes; ``inputs`` notes what it was built from; ``high`` is the greatest value that a
+    column of numbers ever had, in rows long gone too.
     """
 
     version: int
@@ -45,6 +46,7 @@ class Published:
     inputs: dict[str, int] = field(default_factory=dict)
     #: The greatest generation number ever published, dropped generations included.
     last: int = field(default=0, compare=False)
+    high: dict[str, int] = field(default_factory=dict)
 
     def paths(self, dirs: list[str]) -> list[str]:
         """Paths to scan for ``dirs``: a generation that is needed whole is named once."""
@@ -116,12 +118,16 @@ class Tables:
             sizes=state["sizes"],
             inputs=state["inputs"],
             last=state.get("last", 0),
+            high=state.get("high", {}),
         )
 
     def _publish(self, layer: str, table: str, state: Published) -> None:
         folder = f"{self.base(layer, table)}/_published"
         before = self.published(layer, table)
         numbers = [int(g.split("=")[1]) for g in state.sizes]
+        high = dict(before.high) if before else {}
+        for column, value in state.high.items():
+            high[column] = max(value, high.get(column, value))
         body = json.dumps(
             {
                 "version": state.version,
@@ -133,6 +139,7 @@ class Tables:
                 "sizes": {g: state.sizes[g] for g in {generation_of(d) for d in state.dirs}},
                 "inputs": state.inputs,
                 "last": max([state.last, before.last if before else 0, *numbers]),
+                "high": high,
             }
         )
         fs = self._fs()
@@ -160,18 +167,28 @@ class Tables:
         state = self.published(layer, table)
         return list(dict.fromkeys(generation_of(d) for d in state.dirs)) if state else []
 
+    def readable(self, layer: str, table: str, version: int) -> bool:
+        """Whether an earlier publication is still there with all its generations."""
+        state = self.published(layer, table, version)
+        if state is None:
+            return False
+        there = set(self._children(state.base))
+        return all(generation_of(d) in there for d in state.dirs)
+
     def read(
         self,
         layer: str,
         table: str,
         only: Callable[[str], bool] | None = None,
         with_directory: bool = False,
+        version: int | None = None,
     ) -> DataFrame:
         """The published table, or the directories of it that ``only`` accepts.
 
-        ``with_directory`` adds the published directory of each row as ``_directory``.
+        ``with_directory`` adds the published directory of each row as ``_directory``; ``version``
+        asks for an earlier publication.
         """
-        state = self.published(layer, table)
+        state = self.published(layer, table, version)
         if state is None:
             raise FileNotFoundError(f"table {layer}.{table} has not been published in {self.root}")
         dirs = [d for d in state.dirs if only is None or only(d)]
@@ -201,16 +218,22 @@ class Tables:
         consumed: Iterable[str] = (),
         metrics: Iterable[Column] = (),
         inputs: dict[str, int] | None = None,
+        numbered: str | None = None,
     ) -> Written:
         """Write ``df`` as a new generation and publish it next to the directories ``keep`` keeps.
 
         By default nothing is kept, which replaces the table. ``consumed`` extends the ledger in
         the same publication. ``metrics`` are aggregates observed during the write itself.
+        ``numbered`` names a column of numbers whose greatest value ever is to be remembered.
         """
         state = self.published(layer, table)
         base, partition_by = self.base(layer, table), tuple(partition_by)
         generation = self._next_generation(layer, table)
-        observed = self._store(df, f"{base}/{generation}", partition_by, tuple(metrics))
+        metrics = tuple(metrics)
+        if numbered:
+            metrics = (*metrics, F.max(numbered).alias("_greatest"))
+        observed = self._store(df, f"{base}/{generation}", partition_by, metrics)
+        greatest = observed.pop("_greatest", None)
         kept = [d for d in state.dirs if keep(d)] if state and keep else []
         if kept and state.base != base:
             raise ValueError(f"{layer}.{table} publishes the files of {state.base}")
@@ -229,6 +252,7 @@ class Tables:
                 consumed=tuple(dict.fromkeys([*(state.consumed if state else ()), *consumed])),
                 sizes={**(state.sizes if state else {}), generation: len(written)},
                 inputs=inputs or {},
+                high={} if greatest is None else {numbered: greatest},
             ),
         )
         return Written(generation, observed)
@@ -296,6 +320,25 @@ class Tables:
             self.read(layer, table).createOrReplaceTempView(f"{layer}_{table}")
         return names
 
+    def next_number(self, layer: str, table: str, column: str) -> int:
+        """One more than the greatest value the column ever had: numbers are not given twice."""
+        state = self.published(layer, table)
+        if state is None:
+            return 0
+        if column in state.high:
+            return state.high[column] + 1
+        return self.read(layer, table).agg(F.coalesce(F.max(column) + 1, F.lit(0))).first()[0]
+
+    def there(self, path: str) -> bool:
+        where = self._path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def note_inputs(self, layer: str, table: str, inputs: dict[str, int]) -> None:
+        """Publish that the table, as it is, is what these inputs give."""
+        state = self.published(layer, table)
+        if state.inputs != inputs:
+            self._publish(layer, table, replace(state, version=state.version + 1, inputs=inputs))
+
     def mark_consumed(self, layer: str, table: str, consumed: Iterable[str]) -> None:
         """Extend the ledger without changing the data."""
         self._republish(layer, table, lambda d: True, consumed)
@@ -380,7 +423,7 @@ class Tables:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        return observation.get if observation is not None else {}
+        return dict(observation.get) if observation is not None else {}
 
     def _leaves(self, path: str, depth: int) -> list[str]:
         """Partition directories ``depth`` levels below ``path``; ``[""]`` for depth 0."""

@@ -18,6 +18,9 @@ SPEC_TYPES = {
 }
 
 
+PERIODS = ("day", "month", "year")
+
+
 class SpecError(ValueError):
     """A table specification cannot be used."""
 
@@ -40,6 +43,8 @@ class TableSpec:
     """What one table looks like and how its layers are maintained.
 
     ``scd_type`` 2 keeps history; anything else is maintained as an upsert by business key.
+    ``partition_period`` may be ``"month"`` or ``"year"`` where ``partition_by`` names one date column:
+    a directory then holds that period, for tables with few rows a day.
     """
 
     name: str
@@ -51,6 +56,7 @@ class TableSpec:
     surrogate_key_col: str | None = None
     partition_by: tuple[str, ...] = ()
     dq_rules: tuple[dict[str, Any], ...] = ()
+    partition_period: str = "day"
 
     def __post_init__(self) -> None:
         declared = {column["name"] for column in self.columns}
@@ -58,6 +64,12 @@ class TableSpec:
             unknown = [c for c in getattr(self, role) if c not in declared]
             if unknown:
                 raise SpecError(f"{self.name}: {role} names undeclared columns {unknown}")
+        if self.partition_period not in PERIODS:
+            raise SpecError(f"{self.name}: partition_period must be one of {', '.join(PERIODS)}")
+        if self.partition_period != "day":
+            kinds = {c["name"]: c["type"] for c in self.columns}
+            if [kinds[c] for c in self.partition_by] != ["date"]:
+                raise SpecError(f"{self.name}: a partition_period needs one date in partition_by")
         if not self.business_key:
             raise SpecError(f"{self.name}: a business key is required")
         if self.scd_type == 2 and not (self.tracked_columns and self.surrogate_key_col):
@@ -83,6 +95,7 @@ class TableSpec:
             surrogate_key_col=entry.get("surrogate_key_col"),
             partition_by=tuple(entry.get("partition_by") or ()),
             dq_rules=tuple(entry.get("dq_rules") or ()),
+            partition_period=entry.get("partition_period", "day"),
         )
 
 
