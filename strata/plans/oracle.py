@@ -657,6 +657,16 @@ FROM merged""",
     + """, good AS (SELECT * FROM online_orders WHERE order_status IN ('F', 'O'))
 SELECT *, 'silver' AS layer FROM good UNION ALL SELECT *, 'bronze' FROM good""",
     "reprocessed_history": with_(*THREE_DAYS, folded(CORRECTED)) + "SELECT * FROM folded",
+    "gold_after_correction": with_(SALES, *THREE_DAYS, folded(CORRECTED), KEPT_SALES)
+    + f"""SELECT s.invoice_id, s.stock_code, s.sale_date, f.customer_id, f.country, f.segment,
+                f.effective_start_date
+          FROM kept_sales s LEFT JOIN folded f
+            ON s.customer_id = f.customer_id AND {valid_on('f', 's.sale_date')}""",
+    "removed_version_then_new": with_(*THREE_DAYS, folded(CORRECTED))
+    + "SELECT *, CAST(1 AS BIGINT) AS owners FROM folded",
+    "relanded_then_next_day": with_(*THREE_DAYS)
+    + f"SELECT customer_id, country, segment, day AS _ingest_date FROM ({CORRECTED}) c",
+    "late_batches": with_(*THREE_DAYS, folded("SELECT * FROM reported")) + "SELECT * FROM folded",
     "silver_catch_up": with_(*THREE_DAYS, folded("SELECT * FROM reported")) + "SELECT * FROM folded",
     "clustered_sales": with_(SALES)
     + """SELECT CAST(customer_id AS BIGINT) AS customer_key, CAST(stock_code AS BIGINT) AS part_key,

@@ -847,14 +847,112 @@ def reprocessed_history(spark: SparkSession, folder: str) -> DataFrame:
         export_landing(part, f"{landing}/customer/{day}")
         layers.run_bronze(tables, [CUSTOMER], landing, day)
         layers.run_silver(tables, [CUSTOMER], day)
+    _correct_middle_day(spark, folder, tables, [CUSTOMER])
+    return tables.read("silver", "customer").select(*KEY, *TRACKED, START, END, "is_current")
+
+
+def _correct_middle_day(spark: SparkSession, folder: str, tables: Tables, specs: list[TableSpec]) -> None:
+    """The middle day of the customers lands again: every third is missing, every fifth has moved."""
     middle, part = _three_days(spark, folder)[1]
     number = F.col("customer_id").cast("bigint")
     moved = F.when(number % 5 == 0, F.lit("MOVED")).otherwise(F.col("segment"))
     corrected = part.where(number % 3 != 0).withColumn("segment", moved)
     export_landing(corrected, f"{tables.root}/corrected/customer")
     layers.reprocess(
-        tables, [CUSTOMER], landing, [middle], relanded={middle: f"{tables.root}/corrected"}
+        tables, specs, f"{tables.root}/landing", [middle],
+        relanded={middle: f"{tables.root}/corrected"},
     )
+
+
+@query
+def gold_after_correction(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales by month, brought up to date after a middle day of the customers was corrected.
+
+    Each sale with the customer version it holds, by the version's own columns. Bronze and silver
+    run once more after the correction and must find nothing new.
+    """
+    tables = Tables(spark, _folder(spark))
+    specs, landing = retail_specs(), f"{tables.root}/landing"
+    sales = replace(specs["sales"], partition_period="month")
+    landed = _retail_landing(spark, folder)
+    for name in ("sales", "product", "store"):
+        export_landing(landed[name], f"{landing}/{name}")
+    others, customer = [sales, specs["product"], specs["store"]], [specs["customer"]]
+    layers.run_bronze(tables, others, landing, SECOND_CUT, at_once=4)
+    layers.run_silver(tables, others, SECOND_CUT, at_once=4)
+    for day, part in _three_days(spark, folder):
+        export_landing(part, f"{landing}/customer/{day}")
+        layers.run_bronze(tables, customer, landing, day)
+        layers.run_silver(tables, customer, day)
+    names = ["dim_customer", "dim_product", "dim_store", "fact_sales"]
+    layers.run_gold(tables, names, period="month", at_once=4)
+    _correct_middle_day(spark, folder, tables, customer)
+    layers.run_bronze(tables, customer, landing, LAST_CUT)
+    layers.run_silver(tables, customer, LAST_CUT)
+    layers.run_gold(tables, names, incremental=True, period="month", at_once=4)
+    sold = tables.read("gold", "fact_sales").select("invoice_id", "stock_code", "sale_date", SK)
+    versions = tables.read("gold", "dim_customer").select(SK, *KEY, *TRACKED, START)
+    return sold.join(versions, SK, "left").drop(SK)
+
+
+@query
+def removed_version_then_new(spark: SparkSession, folder: str) -> DataFrame:
+    """A corrected day removes versions, the next day opens others; no number is given twice.
+
+    Each version of the customers with how many versions ever had its surrogate key.
+    """
+    tables = Tables(spark, _folder(spark))
+    landing, days = f"{tables.root}/landing", _three_days(spark, folder)
+    given_out = []
+
+    def note() -> None:
+        given_out.append(tables.read("silver", "customer").select(SK, *KEY, START))
+
+    for day, part in days[:2]:
+        export_landing(part, f"{landing}/customer/{day}")
+        layers.run_bronze(tables, [CUSTOMER], landing, day)
+        layers.run_silver(tables, [CUSTOMER], day)
+    note()
+    _correct_middle_day(spark, folder, tables, [CUSTOMER])
+    note()
+    day, part = days[2]
+    export_landing(part, f"{landing}/customer/{day}")
+    layers.run_bronze(tables, [CUSTOMER], landing, day)
+    layers.run_silver(tables, [CUSTOMER], day)
+    note()
+    ever = reduce(DataFrame.unionByName, given_out).distinct()
+    owners = ever.groupBy(SK).agg(F.count("*").alias("owners"))
+    now = tables.read("silver", "customer").select(SK, *KEY, *TRACKED, START, END, "is_current")
+    return now.join(owners, SK).drop(SK)
+
+
+@query
+def relanded_then_next_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Bronze after a day was delivered anew and the next day arrived: superseded files stay out."""
+    tables = Tables(spark, _folder(spark))
+    landing, days = f"{tables.root}/landing", _three_days(spark, folder)
+    for day, part in days[:2]:
+        export_landing(part, f"{landing}/customer/{day}")
+        layers.run_bronze(tables, [CUSTOMER], landing, day)
+    layers.run_silver(tables, [CUSTOMER], days[1][0])
+    _correct_middle_day(spark, folder, tables, [CUSTOMER])
+    # Reprocessed once more, the day has the files of its second delivery.
+    layers.reprocess(tables, [CUSTOMER], landing, [days[1][0]])
+    day, part = days[2]
+    export_landing(part, f"{landing}/customer/{day}")
+    layers.run_bronze(tables, [CUSTOMER], landing, day)
+    return tables.read("bronze", "customer").select(*KEY, *TRACKED, "_ingest_date")
+
+
+@query
+def late_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Three daily batches of customers that arrive in the order third, first, second."""
+    tables = Tables(spark, _folder(spark))
+    days = _three_days(spark, folder)
+    for day, part in (days[2], days[0], days[1]):
+        export_landing(part, f"{tables.root}/landing/customer/{day}")
+        layers.run_bronze(tables, [CUSTOMER], f"{tables.root}/landing", day)
+        layers.run_silver(tables, [CUSTOMER], day)
     return tables.read("silver", "customer").select(*KEY, *TRACKED, START, END, "is_current")
 
 
