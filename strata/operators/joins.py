@@ -139,13 +139,13 @@ def changed_intervals(
     start: str = START,
     end: str = END,
 ) -> DataFrame:
-    """``(key, _from, _until)``: when a point-in-time join to ``after`` may differ from ``before``.
+    """``(key, _from, _until, _lost)``: when a join to ``after`` may differ from one to ``before``.
 
     The symmetric difference of both sets of versions, day by day: the days on which only one of
     them gives the key this surrogate key, ``_until`` exclusive. A version that merely ends earlier
     than before gives the days after its new end; one that both sets have for the same days gives
     none, whatever its other columns hold. A fact outside of the intervals of its key resolves as
-    before.
+    before. ``_lost`` tells whether the key lost any day: if not, only facts without a version change.
 
     The ends of all versions are counted with a sign, and what both sets have cancels out before
     anything is sorted. Versions with a NULL in the key are left out, since no fact meets them.
@@ -165,7 +165,9 @@ def changed_intervals(
     so_far = Window.partitionBy(*on, sk).orderBy("_day")
     return (
         steps.withColumns({"_apart": F.sum("_step").over(so_far), "_until": F.lead("_day").over(so_far)})
-        .where("_apart <> 0").select(*on, F.col("_day").alias("_from"), "_until").distinct()
+        .where("_apart <> 0")
+        .withColumn("_lost", F.min("_apart").over(Window.partitionBy(*on)) < 0)
+        .select(*on, F.col("_day").alias("_from"), "_until", "_lost").distinct()
     )
 
 

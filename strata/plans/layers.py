@@ -574,9 +574,9 @@ def build_gold(
         return _built(name, tables.read("gold", name).count())
     days = partitions.get(name, [])
     layout = layout_of(days, period)
-    stale = stale_directories(tables, name, days, period) if incremental else None
     keep = None
     with temporary_steps(tables.spark):
+        stale = stale_directories(tables, name, days, period) if incremental else None
         inputs = [tables.read(layer, table) for layer, table in GOLD_INPUTS[name]]
         if stale is not None:
             facts = GOLD_INPUTS[name][0]
@@ -606,6 +606,8 @@ def build_gold(
             written = write_clustered(tables, built, "gold", name, GOLD_CLUSTERS[name], **options)
         else:
             written = tables.write(_sized(built, layout), "gold", name, **options)
+    if len(layout) == 1:
+        _note_unresolved(tables, name, layout, written.generation)
     if stale is not None:  # the write counted the rebuilt directories only
         return _built(name, tables.read("gold", name).count())
     return _built(name, written.metrics["row_count"])
@@ -654,7 +656,8 @@ def stale_directories(
     if it holds a fact whose key may resolve to another version than in that build. The latter
     comes from the difference of each dimension's versions then and now (``changed_intervals``):
     corrected, removed, renumbered, late and new versions are all the same to it. Only the facts of
-    changed keys, in the days for which they changed, count.
+    changed keys, in the days for which they changed, count. Where a key only gained days, as one
+    does that arrives after its facts, only directories with unresolved facts are looked through.
     """
     state, layout = tables.published("gold", name), tuple(layout_of(days, period))
     if state is None or not state.inputs or state.partition_by != layout or len(layout) != 1:
@@ -671,10 +674,14 @@ def stale_directories(
             continue
         if table not in GOLD_KEYS or not tables.readable(layer, table, then):
             return None
-        intervals = _changed(tables, layer, table, then)
-        facts = tables.read(*silver)
-        found = touched_days(_dated(facts, days[0]), intervals, [GOLD_KEYS[table][0]], "_event")
-        if not GOLD_KEYS[table][2]:  # facts without a day have such a key, too
+        intervals = materialize(_changed(tables, layer, table, then))
+        key, sk, by_day = GOLD_KEYS[table]
+        gaps = _unresolved(tables, name, sk)
+        found = touched_days(_dated(tables.read(*silver), days[0]), intervals.where("_lost"), [key], "_event")
+        unresolved = tables.read(*silver, only=lambda d: gaps is None or _value(d) in gaps)
+        gained = touched_days(_dated(unresolved, days[0]), intervals.where("NOT _lost"), [key], "_event")
+        found = found.union(gained)
+        if not by_day:  # facts without a day have such a key, too
             found = found.withColumn("_day", F.when(F.col("_day") != F.expr(NO_DAY), F.col("_day")))
         # One row per directory at most.
         first = F.col("_day") if period == "day" else F.trunc("_day", period)
@@ -682,6 +689,29 @@ def stale_directories(
     return lambda directory: _value(directory) in changed
 
 
+def _note_unresolved(tables: Tables, name: str, layout: list[str], generation: str) -> None:
+    """Count the facts without each key by directory, from the key columns of what was just written."""
+    fresh = tables.read("gold", name, only=lambda d: generation_of(d) == generation)
+    keys = [sk for _, sk, _ in GOLD_KEYS.values() if sk in fresh.columns]
+    value = F.coalesce(F.col(layout[0]).cast("string"), F.lit(NO_PARTITION)).alias("value")
+    counted = fresh.groupBy(value).agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in keys])
+    state, address = tables.published("gold", name), ("stage", f"{name}_unresolved")
+    kept = [_value(d) for d in state.dirs if generation_of(d) != generation]
+    if kept and tables.exists(*address):
+        counted = counted.unionByName(tables.read(*address).where(F.col("value").isin(kept)))
+    tables.write(counted, *address, inputs={f"gold.{name}": state.version})
+    tables.prune(*address)
+
+
+def _unresolved(tables: Tables, name: str, sk: str) -> set[str] | None:
+    """Directories that hold facts without the key; ``None`` if that is not known."""
+    noted = tables.published("stage", f"{name}_unresolved")
+    if noted is None or noted.inputs != {f"gold.{name}": tables.published("gold", name).version}:
+        return None
+    rows = tables.read("stage", f"{name}_unresolved").where(F.col(sk) > 0).select("value")
+    return {row[0] for row in rows.collect()}
+
+
 #: Stands for the day of facts without one where they are to be found, too.
 NO_DAY = "DATE'0001-01-01'"
 

@@ -662,6 +662,15 @@ SELECT *, 'silver' AS layer FROM good UNION ALL SELECT *, 'bronze' FROM good""",
                 f.effective_start_date
           FROM kept_sales s LEFT JOIN folded f
             ON s.customer_id = f.customer_id AND {valid_on('f', 's.sale_date')}""",
+    "repaired_keys": with_(SALES, CUSTOMER_FEED, customer_state("last_report", None, "9999-12-31"), KEPT_SALES)
+    + """, known AS (
+  SELECT s.*, r.customer_id AS known_id, country, segment FROM kept_sales s
+  LEFT JOIN last_report r ON s.customer_id = r.customer_id AND s.sale_date >= DATE '1995-01-01')
+SELECT invoice_id, stock_code, sale_date, known_id AS customer_id, country, segment,
+       CASE WHEN known_id IS NOT NULL THEN DATE '1995-01-01' END AS effective_start_date,
+       coalesce(bool_or(known_id::BIGINT % 500 = 7) OVER (PARTITION BY date_trunc('month', sale_date)), FALSE)
+         AS rewritten
+FROM known""",
     "removed_version_then_new": with_(*THREE_DAYS, folded(CORRECTED))
     + "SELECT *, CAST(1 AS BIGINT) AS owners FROM folded",
     "relanded_then_next_day": with_(*THREE_DAYS)

@@ -22,7 +22,11 @@ def day(number):
 def test_an_earlier_end_changes_only_the_days_after_it(frame):
     before = frame(VERSIONS, ("a", 1, day(0), None), ("b", 2, day(0), day(9)), (None, 3, day(0), None))
     after = frame(VERSIONS, ("a", 1, day(0), day(5)), ("a", 4, day(5), None), ("b", 2, day(0), day(9)))
-    assert as_rows(changed_intervals(before, after, ["k"], "sk")) == [("a", day(5), dt.date(9999, 12, 31))]
+    assert as_rows(changed_intervals(before, after, ["k"], "sk")) == [
+        ("a", day(5), dt.date(9999, 12, 31), True)
+    ]
+    gained = frame(VERSIONS, *[tuple(r) for r in after.collect()], ("c", 9, day(2), day(4)))
+    assert as_rows(changed_intervals(after, gained, ["k"], "sk")) == [("c", day(2), day(4), False)]
     assert changed_intervals(after, after, ["k"], "sk").isEmpty()
     assert changed_intervals(after.limit(0), after.limit(0), ["k"], "sk").isEmpty()
 
