@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,51 @@ def null_profile(
     )
 
 
+@dataclass(frozen=True)
+class Gate:
+    """What a batch has to satisfy as a whole before anybody sees a row of it.
+
+    At most ``max_null_percent`` of each column may be NULL, of ``columns`` or else of all that are
+    declared, and with ``fail_on_schema_mismatch`` no row may be malformed.
+    """
+
+    max_null_percent: float = MAX_NULL_PERCENT
+    fail_on_schema_mismatch: bool = True
+    columns: tuple[str, ...] | None = None
+
+    @classmethod
+    def from_yaml(cls, text: str) -> Gate:
+        """From the ``data_quality`` part of a configuration; what it leaves out has its default."""
+        entry = (yaml.safe_load(text) or {}).get("data_quality") or {}
+        return cls(
+            float(entry.get("max_null_percentage_allowed", MAX_NULL_PERCENT)),
+            bool(entry.get("fail_on_schema_mismatch", True)),
+        )
+
+    def metrics(self, declared: list[str], malformed: str) -> list[Column]:
+        """Aggregates for the write of the batch; NULLs of malformed rows count as such only."""
+        well_formed = F.col(malformed).isNull()
+        return [
+            F.count(F.lit(1)).alias("gate_rows"),
+            F.count_if(~well_formed).alias("gate_malformed"),
+            *[
+                F.count_if(well_formed & F.col(c).isNull()).alias(f"gate_{i}")
+                for i, c in enumerate(self.columns or declared)
+            ],
+        ]
+
+    def faults(self, observed: dict, declared: list[str]) -> list[str]:
+        """Why the batch has to be held; empty if it may be published."""
+        rows, found = observed["gate_rows"] or 0, []
+        if self.fail_on_schema_mismatch and observed["gate_malformed"]:
+            found.append(f"{observed['gate_malformed']} malformed rows")
+        for i, column in enumerate(self.columns or declared):
+            share = 100.0 * observed[f"gate_{i}"] / rows if rows else 0.0
+            if share > self.max_null_percent:
+                found.append(f"{column}: {share:.2f} % NULL, at most {self.max_null_percent:.2f} %")
+        return found
+
+
 def quarantine_report(quarantined: DataFrame, table: str) -> DataFrame:
     """Rejected rows per rule of one quarantine table."""
     return (

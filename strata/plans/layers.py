@@ -18,7 +18,7 @@ from strata.operators.incremental import read_incremental
 from strata.operators.joins import changed_intervals, touched_days
 from strata.operators.layout import cluster
 from strata.operators.merge import merge_upsert
-from strata.operators.quality import FAILED, HEALTHY_PASS_RATE, rule_counts, validate
+from strata.operators.quality import FAILED, HEALTHY_PASS_RATE, Gate, rule_counts, validate
 from strata.operators.scd2 import (
     CURRENT,
     START,
@@ -69,23 +69,32 @@ def layout_of(columns: Iterable[str], period: str) -> list[str]:
 # -- bronze -----------------------------------------------------------------------------
 
 
+def _bronze_checks(spec: TableSpec, as_of: dt.date) -> list[R.Rule]:
+    return [
+        R.well_formed(CORRUPT),
+        *R.build_all(spec.dq_rules, as_of),
+        R.key_present(spec.business_key),
+    ]
+
+
 def store_bronze(
     tables: Tables,
     spec: TableSpec,
     tagged: DataFrame,
     as_of: dt.date,
     consumed: Iterable[str] = (),
+    gate: Gate | None = None,
 ) -> dict[str, object]:
     """Validate a tagged batch and append it to bronze and quarantine in one pass.
 
     The landing files are parsed once: both sides and all counts come from the same write.
     ``consumed`` marks the batch in the bronze ledger, in the same publication.
+
+    With a ``gate`` the batch is written, audited by what was counted on the way, and only then
+    published; a batch with faults is held whole and named in the result's ``skipped``, until
+    ``release_held`` or ``discard_held``.
     """
-    checks = [
-        R.well_formed(CORRUPT),
-        *R.build_all(spec.dq_rules, as_of),
-        R.key_present(spec.business_key),
-    ]
+    checks, declared = _bronze_checks(spec, as_of), spec.schema.names
     flagged = validate(tagged, checks).flagged.withColumn(OK, F.size(FAILED) == 0)
     written = tables.write_split(
         flagged,
@@ -93,9 +102,67 @@ def store_bronze(
         accepted=("bronze", spec.name),
         rejected=("quarantine", spec.name),
         partition_by=[INGEST_DATE],
-        metrics=rule_counts(checks),
+        metrics=[*rule_counts(checks), *(gate.metrics(declared, CORRUPT) if gate else [])],
         drop_accepted=[FAILED, CORRUPT],
         consumed=consumed,
+        accept=(lambda observed: not gate.faults(observed, declared)) if gate else None,
+        held=("held", spec.name),
+    )
+    counts = _counts(spec.name, "bronze", checks, written.metrics)
+    if not written.published:
+        counts["generation"] = written.generation
+        counts["skipped"] = "; ".join(gate.faults(written.metrics, declared))
+    return counts
+
+
+def held_batches(tables: Tables, spec: TableSpec) -> list[str]:
+    """Generations that a gate holds back."""
+    return tables.generations("held", spec.name)
+
+
+def release_held(tables: Tables, spec: TableSpec, generation: str) -> None:
+    """Publish a held batch after all: good rows to bronze, rejects to quarantine."""
+    tables.publish_held(
+        ("held", spec.name), generation, OK, ("bronze", spec.name), ("quarantine", spec.name), [FAILED, CORRUPT]
+    )
+
+
+def discard_held(tables: Tables, spec: TableSpec, generation: str) -> None:
+    """Forget a held batch; its files are not read again, corrected ones are new files."""
+    tables.drop_directories("held", spec.name, lambda d: generation_of(d) == generation)
+
+
+def replay_quarantine(tables: Tables, spec: TableSpec, as_of: dt.date) -> dict[str, object]:
+    """Bring rejected rows that pass the rules as they are now into bronze, each exactly once.
+
+    Rows keep their ingest day, so that silver does not take them for newer than what came after.
+    The others stay in quarantine with the rules they fail now. Bronze is marked with the
+    publication of the quarantine table whose rows it took: if the run stops before quarantine is
+    published without them, the next one does only that. Without a row that passes, nothing is
+    written.
+    """
+    checks, state = _bronze_checks(spec, as_of), tables.published("quarantine", spec.name)
+    if state is None:
+        return _counts(spec.name, "bronze", checks, {})
+    rows = tables.read("quarantine", spec.name).drop(FAILED)
+    flagged = validate(rows, checks).flagged.withColumn(OK, F.size(FAILED) == 0)
+    mark = f"replay-{state.version}"
+    bronze = tables.published("bronze", spec.name)
+    taken = bronze is not None and mark in bronze.consumed
+    if taken:
+        flagged = flagged.where(~F.col(OK))
+    elif flagged.where(OK).isEmpty():
+        return _counts(spec.name, "bronze", checks, flagged.agg(*rule_counts(checks)).first().asDict())
+    written = tables.write_split(
+        flagged.select(*state.schema.names, OK),
+        OK,
+        accepted=("bronze", spec.name),
+        rejected=("quarantine", spec.name),
+        partition_by=[INGEST_DATE],
+        metrics=rule_counts(checks),
+        drop_accepted=[FAILED, CORRUPT],
+        consumed=[mark],
+        replace_rejected=True,
     )
     return _counts(spec.name, "bronze", checks, written.metrics)
 
@@ -110,9 +177,12 @@ def ingest_bronze(
     only_new_files: bool = True,
     ingest_ts: dt.datetime | None = None,
     paths_only: DataFrame | None = None,
+    gate: Gate | None = None,
 ) -> dict[str, object]:
     """Read the landing files of a table into bronze.
 
+    With a ``gate`` the files of the run are published or held as one batch, see ``store_bronze``.
+
     Rows carry ``ingest_ts``, by default a moment after that of every batch stored before, so that
     the later of two runs is the newer one. ``paths_only`` restricts the run to some files.
 
@@ -138,7 +208,7 @@ def ingest_bronze(
             raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
         moment = ingest_ts or next_ingest_ts(tables, spec, as_of)
         tagged = tag_metadata(raw, batch_id or str(uuid.uuid4()), moment, ingest_date=as_of)
-        result = store_bronze(tables, spec, tagged, as_of)
+        result = store_bronze(tables, spec, tagged, as_of, gate=gate)
         tables.append(
             files.withColumn(STATE, F.lit(ACTIVE)).withColumn(INGEST_DATE, F.lit(as_of)),
             "bronze",
@@ -220,6 +290,15 @@ def pending_generations(tables: Tables, spec: TableSpec) -> dict[str, list[str]]
     return dict(sorted(days.items()))
 
 
+def _newest_seen(tables: Tables, spec: TableSpec) -> str:
+    """The latest ingest day of the bronze generations that silver has seen, or an empty text."""
+    state, bronze = tables.published("silver", spec.name), tables.published("bronze", spec.name)
+    done = set(state.consumed) if state else set()
+    seen = [d for d in bronze.dirs if generation_of(d) in done] if bronze else []
+    mark = f"{INGEST_DATE}="
+    return max((p.removeprefix(mark) for d in seen for p in d.split("/") if p.startswith(mark)), default="")
+
+
 def _batch(
     tables: Tables,
     spec: TableSpec,
@@ -302,10 +381,14 @@ def refine_fact(
     """Upsert the unprocessed bronze rows into silver.
 
     Only silver directories that hold a key of the batch are rewritten; the others stay in place
-    and new keys go to new files.
+    and new keys go to new files. Rows of a late ingest day, before one that silver has seen, do not
+    replace rows of a later day.
     """
     if spec.keeps_history:
         raise ValueError(f"{spec.name} keeps history; use refine_dimension")
+    pending = pending_generations(tables, spec)
+    if newer_than is None and pending and min(pending) < _newest_seen(tables, spec):
+        newer_than = INGEST_DATE
     batch = _batch(tables, spec, as_of, mode)
     if batch is None:
         return _nothing_new(spec)
@@ -382,10 +465,12 @@ def refine_dimension(
     if not spec.keeps_history:
         raise ValueError(f"{spec.name} keeps no history; use refine_fact")
     days = list(pending_generations(tables, spec).items()) if mode == "batch" else []
-    if len(days) > 1:
+    seen = _newest_seen(tables, spec)
+    if len(days) > 1 or (days and days[0][0] < seen):
         steps = []
         for day, own in days:
-            moment = as_of if day == days[-1][0] or not day else dt.date.fromisoformat(day)
+            own_day = day and (day != days[-1][0] or day < seen)
+            moment = dt.date.fromisoformat(day) if own_day else as_of
             steps.append(_refine_dimension(tables, spec, moment, mode, initial_start, own))
             initial_start = None
         return _added(steps)

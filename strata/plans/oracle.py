@@ -662,6 +662,23 @@ SELECT *, 'silver' AS layer FROM good UNION ALL SELECT *, 'bronze' FROM good""",
                 f.effective_start_date
           FROM kept_sales s LEFT JOIN folded f
             ON s.customer_id = f.customer_id AND {valid_on('f', 's.sale_date')}""",
+    "held_batch": with_(*THREE_DAYS)
+    + """, gated AS (
+  SELECT customer_id, country, nullif(segment, '1-URGENT') AS segment, day AS _ingest_date
+  FROM reported WHERE day = DATE '2000-07-01')
+SELECT customer_id, country, segment, day AS _ingest_date, 'bronze' AS layer, '' AS fault
+FROM reported WHERE day = DATE '1998-07-01'
+UNION ALL SELECT *, 'held', (SELECT 'segment: ' ||
+  printf('%.2f', 100.0::DOUBLE * count(*) FILTER (WHERE segment IS NULL) / count(*))
+  || ' % NULL, at most 5.00 %' FROM gated) FROM gated""",
+    "replayed_quarantine": with_(ORDERS)
+    + """, placed AS (
+  SELECT order_id, order_status, order_date,
+         order_status IN ('F', 'O') OR order_date <= DATE '2000-06-30' AS good FROM online_orders)
+SELECT order_id, order_status, order_date, 'bronze' AS layer, '' AS failed_rules FROM placed WHERE good
+UNION ALL SELECT order_id, order_status, order_date, 'silver', '' FROM placed WHERE good
+UNION ALL SELECT order_id, order_status, order_date, 'quarantine', 'no_future_date(order_date)'
+FROM placed WHERE NOT good""",
     "repaired_keys": with_(SALES, CUSTOMER_FEED, customer_state("last_report", None, "9999-12-31"), KEPT_SALES)
     + """, known AS (
   SELECT s.*, r.customer_id AS known_id, country, segment FROM kept_sales s

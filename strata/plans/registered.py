@@ -20,6 +20,7 @@ from strata.operators.layout import cluster
 from strata.operators.merge import merge_upsert
 from strata.operators.quality import (
     FAILED,
+    Gate,
     dq_summary,
     dq_violations,
     null_profile,
@@ -962,6 +963,49 @@ def late_batches(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("silver", "customer").select(*KEY, *TRACKED, START, END, "is_current")
 
 
+@query
+def held_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A second batch of customers with too many NULLs is written, audited and held back whole."""
+    tables = Tables(spark, _folder(spark))
+    landing, days = f"{tables.root}/landing", _three_days(spark, folder)[:2]
+    for number, (day, part) in enumerate(days):
+        if number:
+            part = part.withColumn("segment", F.nullif("segment", F.lit("1-URGENT")))
+        export_landing(part, f"{landing}/customer/{day}")
+        result = layers.run_bronze(tables, [CUSTOMER], landing, day, gate=Gate())["customer"]
+    columns = [*KEY, *TRACKED, "_ingest_date"]
+    stored = tables.read("bronze", "customer").select(*columns, F.lit("bronze").alias("layer"), F.lit("").alias("fault"))
+    held = tables.read("held", "customer").select(
+        *columns, F.lit("held").alias("layer"), F.lit(result["skipped"]).alias("fault")
+    )
+    return stored.unionByName(held)
+
+
+@query
+def replayed_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected orders come back under changed rules, in two replays of which the second finds none."""
+    tables = Tables(spark, _folder(spark))
+    export_landing(domain.online_orders(spark, folder), f"{tables.root}/landing/online_orders")
+    layers.run_bronze(tables, [ORDERS], f"{tables.root}/landing", RULES_AS_OF)
+    layers.run_silver(tables, [replace(ORDERS, dq_rules=())], RULES_AS_OF)
+    changed = replace(
+        ORDERS,
+        dq_rules=({"type": "allowed_values", "column": "order_status", "allowed": ["F", "O", "P"]},
+                  {"type": "no_future_date", "column": "order_date"}),
+    )
+    for _ in range(2):
+        layers.replay_quarantine(tables, changed, RULES_AS_OF)
+    layers.run_silver(tables, [replace(ORDERS, dq_rules=())], RULES_AS_OF)
+    columns = ["order_id", "order_status", "order_date"]
+    sides = [
+        tables.read(layer, ORDERS.name).select(*columns, F.lit(layer).alias("layer"), F.lit("").alias("failed_rules"))
+        for layer in ("bronze", "silver")
+    ]
+    left = _readable(tables.read("quarantine", ORDERS.name))
+    left = left.select(*columns, F.lit("quarantine").alias("layer"), "failed_rules")
+    return sides[0].unionByName(sides[1]).unionByName(left)
+
+
 @query
 def repaired_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Sales of customers that arrive after them, dated back: their keys, and which months changed."""

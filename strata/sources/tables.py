@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LAYERS = ("bronze", "silver", "gold", "quarantine", "stage")
+LAYERS = ("bronze", "silver", "gold", "quarantine", "stage", "held")
 GEN = "_gen"
 DIRECTORY = "_directory"
 
@@ -62,6 +62,7 @@ class Written:
 
     generation: str
     metrics: dict = field(default_factory=dict)
+    published: bool = True
 
 
 def generation_of(directory: str) -> str:
@@ -270,40 +271,82 @@ class Tables:
         metrics: Iterable[Column] = (),
         drop_accepted: Iterable[str] = (),
         consumed: Iterable[str] = (),
+        replace_rejected: bool = False,
+        accept: Callable[[dict], bool] | None = None,
+        held: tuple[str, str] | None = None,
     ) -> Written:
         """Append one frame to two tables in a single pass, split by the boolean column ``flag``.
 
-        Both sides are partitions of one generation; each table publishes its own side.
+        Both sides are partitions of one generation; each table publishes its own side, and
+        ``replace_rejected`` lets the new rejects take the place of the old ones. ``accept`` is asked
+        about the metrics observed during the write; what it refuses is published in neither table
+        but whole in the table ``held``, until ``publish_held`` or ``drop_directories`` decides.
         """
         base, partition_by = self.base(*accepted), tuple(partition_by)
         generation = self._next_generation(*accepted)
         observed = self._store(df, f"{base}/{generation}", (flag, *partition_by), tuple(metrics))
         leaves = self._leaves(f"{base}/{generation}", 1 + len(partition_by))
         schema = _nullable(df.drop(flag).schema)
+        dirs = [f"{generation}/{leaf}" for leaf in leaves]
+        if accept is not None and not accept(observed):
+            self._show(held, base, dirs, schema, partition_by, len(leaves))
+            return Written(generation, observed, published=False)
+        self._split(
+            flag, base, dirs, schema, partition_by, accepted, rejected, drop_accepted, consumed,
+            replace_rejected,
+        )
+        return Written(generation, observed)
+
+    def _split(
+        self, flag, base, dirs, schema, partition_by, accepted, rejected, drop_accepted, consumed=(),
+        replace_rejected=False,
+    ) -> None:
         narrow = T.StructType([f for f in schema.fields if f.name not in set(drop_accepted)])
-        for side, address, columns in (
-            ("true", accepted, narrow),
-            ("false", rejected, schema),
-        ):
-            mine = [f"{generation}/{leaf}" for leaf in leaves if leaf.split("/")[0] == f"{flag}={side}"]
-            state = self.published(*address)
-            if side == "false" and not mine:
+        for side, address, columns in (("true", accepted, narrow), ("false", rejected, schema)):
+            mine = [d for d in dirs if d.split("/")[1] == f"{flag}={side}"]
+            renewed = replace_rejected and side == "false"
+            if side == "false" and not mine and not renewed:
                 continue
-            if state and state.base != base:
-                raise ValueError(f"{'.'.join(address)} is kept elsewhere: {state.base}")
-            self._publish(
-                *address,
-                Published(
-                    version=state.version + 1 if state else 1,
-                    base=base,
-                    dirs=(*(state.dirs if state else ()), *mine),
-                    schema=columns,
-                    partition_by=partition_by,
-                    consumed=(*(state.consumed if state else ()), *consumed),
-                    sizes={**(state.sizes if state else {}), generation: len(leaves)},
-                ),
-            )
-        return Written(generation, observed)
+            self._show(address, base, mine, columns, partition_by, len(dirs), consumed, renewed)
+
+    def _show(
+        self, address, base, dirs, schema, partition_by, size, consumed=(), instead=False
+    ) -> None:
+        """Publish directories of one generation in a table, next to or instead of what it shows."""
+        state = self.published(*address)
+        if state and state.base != base:
+            raise ValueError(f"{'.'.join(address)} is kept elsewhere: {state.base}")
+        before = state.dirs if state and not instead else ()
+        generations = {generation_of(d): size for d in dirs}
+        self._publish(
+            *address,
+            Published(
+                version=state.version + 1 if state else 1,
+                base=base,
+                dirs=(*before, *[d for d in dirs if d not in before]),
+                schema=schema,
+                partition_by=partition_by,
+                consumed=(*(state.consumed if state else ()), *consumed),
+                sizes={**(state.sizes if state else {}), **generations},
+            ),
+        )
+
+    def publish_held(
+        self,
+        held: tuple[str, str],
+        generation: str,
+        flag: str,
+        accepted: tuple[str, str],
+        rejected: tuple[str, str],
+        drop_accepted: Iterable[str] = (),
+    ) -> None:
+        """Give a held generation to the tables it was meant for. Repeated after a failure, it goes on."""
+        state = self.published(*held)
+        dirs = [d for d in state.dirs if generation_of(d) == generation]
+        if not dirs:
+            raise ValueError(f"{'.'.join(held)} holds no {generation}")
+        self._split(flag, state.base, dirs, state.schema, state.partition_by, accepted, rejected, drop_accepted)
+        self.drop_directories(*held, lambda d: generation_of(d) == generation)
 
     def publish_as(self, source: tuple[str, str], layer: str, table: str) -> None:
         """Publish the files of one table under another name, without copying them."""
@@ -369,13 +412,13 @@ class Tables:
     def prune(self, layer: str, table: str) -> list[str]:
         """Delete publications before the last and generations that it does not name.
 
-        Quarantine publishes the rejects inside bronze generations, and gold dimensions may
-        publish silver files; both count as use.
+        Quarantine and held batches publish directories of bronze generations, and gold dimensions
+        may publish silver files; all count as use.
 
         Call it only when no reader is still using an earlier publication.
         """
         base = self.base(layer, table)
-        sharing = [(layer, table), ("quarantine", table), ("gold", f"dim_{table}")]
+        sharing = [(layer, table), ("quarantine", table), ("held", table), ("gold", f"dim_{table}")]
         states = [state for address in sharing if (state := self.published(*address))]
         used = {generation_of(d) for state in states if state.base == base for d in state.dirs}
         stale = [n for n in self._children(base) if n.startswith(f"{GEN}=") and n not in used]
