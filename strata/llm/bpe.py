@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,8 +22,13 @@ from pyspark.sql.types import BinaryType, StructField
 
 from strata.llm.common import with_columns
 
-CACHED_PIECES = 300_000
+KNOWN_PAIRS = 300_000
 CACHED_LENGTH = 48
+#: Estimated bytes of one of the two generations of the cache of pre-tokens that a worker keeps.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 180
+#: From so many bytes on the linked list of a pre-token is kept in flat arrays.
+LONG_PIECE = 4096
 SHIFT = 8  # a node of the bitmap has 256 children
 NODE, MASK = 1 << SHIFT, (1 << SHIFT) - 1
 
@@ -41,17 +47,20 @@ class Codec:
         self.tokens: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.token_array = pa.array(self.tokens, pa.large_binary())
         self.find = regex.compile(pattern).findall
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         self.merges: dict[int, int] = {}
         self.words = [0] * (size // NODE + 1)
         self.bits = [1 << i for i in range(max(NODE, size // NODE + 1))]
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.spent = 0
 
     def merge_rank(self, pair: int) -> int:
         """Rank of the token that two tokens (ids, packed) make together, or -1."""
         rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
-        if len(self.merges) < CACHED_PIECES:
+        if len(self.merges) < KNOWN_PAIRS:
             self.merges[pair] = rank
         return rank
 
@@ -66,6 +75,8 @@ class Codec:
         n = len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         due = []  # the rank at which the pair that starts here waits
+        if n >= LONG_PIECE:
+            token, after, before, due = (array("q", values) for values in (token, after, before, due))
         buckets: dict[int, list[int]] = {}
         top = 0  # upper level of the bitmap: which words have a bit
         for i in range(n - 1):
@@ -122,28 +133,50 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        cache, out = self.cache, []
+        """Ids as little-endian unsigned 32-bit integers.
+
+        Each pre-token is merged once while it is in the cache. When its young generation is full, it
+        becomes the old one; what is used again moves back, the rest is forgotten with the next turn.
+        """
+        young, old, out = self.young, self.old, []
         for piece in self.find(text):
-            ids = cache.get(piece)
+            ids = young.get(piece)
             if ids is None:
-                ids = packed(self.merge(piece.encode()))
+                ids = old.get(piece)
+                if ids is None:
+                    ids = packed(self.merge(piece.encode()))
                 if len(piece) <= CACHED_LENGTH:
-                    if len(cache) >= CACHED_PIECES:
-                        cache.clear()
-                    cache[piece] = ids
+                    young[piece] = ids
+                    self.spent += ENTRY_BYTES + len(piece) + len(ids)
+                    if self.spent > CACHE_BYTES:
+                        self.old = old = young
+                        self.young = young = {}
+                        self.spent = 0
             out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_all(self, packed_ids: pa.Array) -> pa.Array:
+        """The bytes of each list of packed ids; a null list has none."""
+        packed_ids = packed_ids.fill_null(b"").cast(pa.large_binary())
+        _, offsets, data = packed_ids.buffers()
+        cuts = np.frombuffer(offsets, np.int64, len(packed_ids) + 1, packed_ids.offset * 8)
+        ids = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].view("<u4") if cuts[-1] > cuts[0] else ()
+        # The tokens, taken in the order of the ids, lie one after the other in one buffer.
+        taken = self.token_array.take(pa.array(np.asarray(ids, np.int64)))
+        _, ends, whole = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(taken) + 1)
+        at = ends[(cuts - cuts[0]) // 4].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(packed_ids), [None, pa.py_buffer(at), whole])
+
 
 _codecs: dict[str, Codec] = {}
 
 
 def codec(ranks: bytes, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary; ``forget`` empties its caches after a task."""
+    """One codec per Python worker and vocabulary, with a cache of bounded size across its tasks."""
     key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
@@ -151,12 +184,6 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def forget() -> None:
-    for known in _codecs.values():
-        known.cache.clear()
-        known.merges.clear()
-
-
 def _vocabulary(df: DataFrame, path: str):
     with open(path, "rb") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())
@@ -180,7 +207,30 @@ def encode(
             pa.array([worker.encode(t.as_py() or "") for t in texts], pa.binary())
         ]
 
-    return with_columns(df, [text], [StructField(out, BinaryType())], start, forget)
+    return with_columns(df, [text], [StructField(out, BinaryType())], start)
+
+
+def encode_and_decode(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "token_ids",
+    out: str = "decoded",
+) -> DataFrame:
+    """``encode``, then ``decode`` of its result, in one Python worker instead of two."""
+    vocabulary = _vocabulary(df, ranks_path)
+
+    def start():
+        worker = codec(vocabulary.value, pattern)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            encoded = pa.array([worker.encode(t.as_py() or "") for t in texts], pa.binary())
+            return [encoded, worker.decode_all(encoded)]
+
+        return work
+
+    return with_columns(df, [text], [StructField(ids, BinaryType()), StructField(out, BinaryType())], start)
 
 
 def decode(
@@ -194,6 +244,6 @@ def decode(
 
     def start():
         worker = codec(vocabulary.value, "")
-        return lambda packed: [pa.array([worker.decode(p.as_py() or b"") for p in packed], pa.binary())]
+        return lambda packed: [worker.decode_all(packed)]
 
     return with_columns(df, [ids], [StructField(out, BinaryType())], start)

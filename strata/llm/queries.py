@@ -28,8 +28,7 @@ def query(run: Query) -> Query:
 @query
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, RANKS, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, RANKS).select(
+    return bpe.encode_and_decode(documents, RANKS, public_tokenizers.PATTERN).drop("text").select(
         "doc_id",
         (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

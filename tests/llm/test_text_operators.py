@@ -37,6 +37,24 @@ def test_bpe_equals_tiktoken(codec):
         assert codec.decode(ids).decode() == text
 
 
+def test_bpe_cache_of_two_generations(codec, monkeypatch):
+    """A cache that turns over all the time changes nothing, nor do flat arrays."""
+    texts = [" ".join(f"word{i * j % 97}x" for i in range(60)) + "ab" * 40 for j in range(20)]
+    expected = [codec.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    monkeypatch.setattr(bpe, "LONG_PIECE", 4)
+    codec.young, codec.old, codec.spent = {}, {}, 0
+    assert [codec.encode(t) for t in texts] == expected
+
+
+def test_bpe_in_one_pass(edges):
+    rows = bpe.encode_and_decode(edges, RANKS, public_tokenizers.PATTERN).collect()
+    two = bpe.decode(bpe.encode(edges, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, two))
+    null = edges.limit(2).withColumn("token_ids", F.lit(None).cast("binary"))
+    assert [bytes(r.decoded) for r in bpe.decode(null, RANKS).collect()] == [b"", b""]
+
+
 def test_bpe_rows(edges):
     out = bpe.decode(bpe.encode(edges, RANKS, public_tokenizers.PATTERN), RANKS)
     rows = out.select("doc_id", "text", "score", "token_ids", "decoded").collect()
