@@ -137,7 +137,7 @@ mail 24 parcels by 5 pm
 """.strip()
 
 TOKEN = re.compile(r"\S+")
-TRIGGER = re.compile(r"\S*[0-9@]\S*")
+TRIGGER = re.compile("[0-9@]")
 MARK = re.compile(r"\[(\w+)\|([^\]]*)\]")
 CUES = re.compile(
     r"^(?:call|phone|tel|tel[eé]fono|telefon|mobile|fax|ring|number|number:)[:.]?$", re.IGNORECASE
@@ -159,7 +159,7 @@ def shape(token: str) -> str:
             out.append("a" if piece.islower() else "A")
         else:
             out.append(piece)
-    return "".join(out)[:40]
+    return "".join(out)
 
 
 def features(tokens: list[str]) -> list[list[str]]:
@@ -337,9 +337,11 @@ def stretches(text: str) -> list[Window]:
     """
     found: list[Window] = []
     past = 0  # up to here, tokens are in a stretch already
-    for m in TRIGGER.finditer(text):
-        if m.start() < past:
+    for trigger in TRIGGER.finditer(text):
+        if trigger.start() < past:
             continue
+        # From the digit or sign outwards: a text without white space is walked through once.
+        m = TOKEN.match(text, _back(text, trigger.start(), lambda c: not c.isspace()))
         start = m.start()
         for _ in range(3):  # three tokens back
             start = _back(text, _back(text, start, str.isspace), lambda c: not c.isspace())
@@ -350,7 +352,7 @@ def stretches(text: str) -> list[Window]:
         window.add((m,))
         for after in TOKEN.finditer(text, m.end()):
             window.add((after,))
-            if not re.search("[0-9@]", after[0]):
+            if not TRIGGER.search(after[0]):
                 break
         past = window.ends[-1]
     return found

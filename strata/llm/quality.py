@@ -130,7 +130,9 @@ def score_quality(
 
     Only rows of ``labels`` with ``train`` (a condition on ``doc_id``) are learned from: at most
     ``per_class`` per class, chosen by hash, their latent vectors of ``width`` numbers broadcast.
-    Null and empty texts are scored by their shape alone; rows stay one to one, repeated or not.
+    An id with several texts is learned from with the least of them, an id labelled twice with the
+    greater label. Null and empty texts are scored by their shape alone; rows stay one to one,
+    repeated or not; an empty table stays empty.
     Without a usable label every score is 0.5; with one class, that class. A column named as
     ``out`` is replaced.
     """
@@ -144,12 +146,11 @@ def score_quality(
     sample = (
         documents.select("doc_id", text)
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "label", text)
+        .groupBy("doc_id").agg(F.max("label").alias("label"), F.min(text).alias(text))
     )
     rows = (
         with_columns(sample, [text], [StructField("terms", BinaryType())], describe)
         .select("doc_id", "label", "terms")
-        .dropDuplicates(["doc_id"])
         .collect()
     )
     rows.sort(key=lambda r: r["doc_id"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from strata.llm.common import components, with_columns
+from strata.llm.common import components, unused, with_columns
 from strata.session import materialize
 
 BITS = 64
@@ -300,17 +300,12 @@ def without_near_duplicates(
     Rows that agree in key and text are one row. A component whose keys are all null counts as one,
     and components that share a key count each.
     """
-    mark = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text"))
-    marked = df.withColumn("_mark", mark)
-    found = near_duplicates(marked, key, text, radius, ("_mark",), "_root")
-    low = F.struct(F.col(key).isNull(), "_mark")
-    chosen = (
-        found.groupBy("_root")
-        .agg(F.min(low).getField("_mark").alias("_mark"))
-        .select("_mark")
-        .distinct()
-    )
-    return marked.join(chosen, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    mark, root = unused(df, "_mark"), unused(df, "_root")
+    marked = df.withColumn(mark, F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text")))
+    found = near_duplicates(marked, key, text, radius, (mark,), root)
+    low = F.struct(F.col(key).isNull(), mark)
+    chosen = found.groupBy(root).agg(F.min(low).getField(mark).alias(mark)).select(mark).distinct()
+    return marked.join(chosen, mark, "left_semi").dropDuplicates([mark]).drop(mark)
 
 
 def hex_digits(fingerprint_: str = "fingerprint"):

@@ -222,9 +222,13 @@ def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     return at, value[first]
 
 
-def learn_stems(sample: DataFrame, text: str, least_share: float, purity: float) -> dict[str, float]:
+def learn_stems(
+    sample: DataFrame, text: str, least_share: float, purity: float, most: int
+) -> dict[str, float]:
     """Word beginnings that a share of ``least_share`` of the toxic documents has, clean ones hardly ever.
 
+    The model keeps the ``most`` that are in the most toxic documents of the bounded sample.
+
     ``sample`` has columns ``label`` and ``text``. Document counts come from the whole sample; the
     worth of a stem is its logarithmic odds. Of nested stems with the same counts the shortest stays.
     """
@@ -262,7 +266,7 @@ def learn_stems(sample: DataFrame, text: str, least_share: float, purity: float)
         .where((F.col("toxic") >= least) & (odds >= purity))
         .select("stem", "toxic", "clean", F.log(odds).alias("worth"))
         .orderBy(F.desc("toxic"), F.length("stem"), "stem")
-        .limit(2000)
+        .limit(most)
         .collect()
     )
     stems: dict[str, float] = {}
@@ -288,24 +292,27 @@ def train_toxicity(
     trees: int = 60,
     least_share: float = 0.01,
     purity: float = 20.0,
+    most_stems: int = 2000,
 ) -> Model | None:
     """Model from at most ``per_class`` clean and toxic labelled rows for which ``train`` holds.
 
     One half of the sample (by a hash of the id) yields the learned stems, the other half the
     trees, so that a stem's count never includes the row it is used on; then the halves swap for
-    the calibration, and the final stems come from the whole sample. None without both classes.
+    the calibration, and the final stems come from the whole sample, ``most_stems`` at most. None
+    without both classes. An id with several texts is learned from with the least of them, an id
+    labelled twice counts as toxic if any label says so.
     """
     chosen, sizes = labelled_sample(labels, label, train, {0: per_class[0], 1: per_class[1]})
     sample = (
         documents.select("doc_id", text)
         .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(F.min(text).alias(text), F.max("label").alias("label"))
         .withColumn("half", fold("doc_id", 2).cast("int"))
         .persist()
     )
     try:
-        halves = [learn_stems(sample.where(F.col("half") == k), text, least_share, purity) for k in (0, 1)]
-        stems = learn_stems(sample, text, least_share, purity)
+        halves = [learn_stems(sample.where(F.col("half") == k), text, least_share, purity, most_stems) for k in (0, 1)]
+        stems = learn_stems(sample, text, least_share, purity, most_stems)
 
         def start():
             sides = [automaton(halves[1]), automaton(halves[0])]

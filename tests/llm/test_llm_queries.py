@@ -70,3 +70,43 @@ def test_near_duplicates_without_ids_or_with_a_shared_one(documents, monkeypatch
     docs = documents((None, "a"), (None, "b"), (None, "c"), (5, "far"), (5, "other"))
     kept = simhash.without_near_duplicates(docs).collect()
     assert sorted((str(r.doc_id), r.text in "abc") for r in kept) == [("5", False), ("5", False), ("None", True)]
+
+
+HELPERS = ("_toxicity", "_mark", "_root", "_row", "_personal", "_ids", "_decoded", "__marks")
+
+
+def test_stages_keep_columns_named_like_their_helpers(spark, tmp_path):
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(30)
+    docs = given.withColumns({name: F.lit(name) for name in HELPERS})
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, FOLDER).select(*HELPERS).distinct().collect()
+        assert [tuple(r) for r in rows] == [HELPERS], name
+
+
+@pytest.fixture
+def odd_folder(spark, tmp_path):
+    """Tables with null and repeated ids, odd texts, and hardly any label."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    texts = [(None, "a text without an id"), (None, None), (1, "one text"), (1, "another text"), (2, None)]
+    texts += [(3, ""), (4, "漢" * 200_000), (5, "eyJ" * 50_000), (6, "\x00   😀"), (7, "7" * 50_000)]
+    rows = [(i, t, None, None, None) for i, t in texts]
+    odd = spark.createDataFrame(rows, docs.schema).unionByName(docs)
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet").limit(50)
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path), odd.count(), docs
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op3_decontamination", "op12_divergence")])
+def test_queries_on_odd_rows(spark, odd_folder, name):
+    folder, many, _ = odd_folder
+    assert QUERIES[name](spark, folder).count() == (50 if name.startswith("op10") else many)
+
+
+def test_pipeline_and_pairs_on_odd_rows(spark, odd_folder):
+    folder, many, _ = odd_folder
+    assert 0 < corpus_pipeline.run(spark, folder).where("round_trip").count() <= many
+    assert QUERIES["op3_decontamination"](spark, folder).count() >= 0
+    assert {r.lang for r in QUERIES["op12_divergence"](spark, folder).select("lang").distinct().collect()} >= {"en"}

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -323,3 +324,17 @@ def test_no_shard_compares_very_many_places(local):
     state = repeats._shard(payloads)[4]
     assert len(state) == 9001
     assert set(state.tolist()) == {repeats.HOT}
+
+
+def test_scans_of_long_texts_are_linear():
+    """A million characters without white space, and a run of token beginnings, in a few seconds."""
+    began = time.perf_counter()
+    text = "漢" * 1_000_000 + "a@b.com" + "字" * 200_000
+    (window,) = pii.stretches(text)
+    assert (window.starts[0], window.ends[0]) == (0, len(text)) and pii.stretches("漢" * 1_000_000) == []
+    words = secrets.automaton()
+    assert secrets.find_spans("eyJ" * 300_000, words) == []
+    head = base64.urlsafe_b64encode(b'{"alg": "none"}').decode().rstrip("=")
+    whole = f"{head}.eyJh.b"
+    assert secrets.find_spans(f"eyJ eyJa.eyJb EYJ{whole} {whole}", words)[-1] == ("web_token", 18 + len(whole), 18 + 2 * len(whole))
+    assert time.perf_counter() - began < 30
