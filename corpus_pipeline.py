@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import bpe, decontaminate, pii, simhash, toxicity
-from strata.llm.common import fold, table
+from strata.llm.common import fold, table, unused
 from strata.session import materialize
 
 TOXIC_FROM = 0.3
@@ -22,8 +22,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a toxicity below TOXIC_FROM; trained on the labelled ones among them."""
     train = fold("doc_id", 4) != 2
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), train)
-    scored = toxicity.score_toxicity(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    out = unused(docs, "_toxicity")
+    scored = toxicity.score_toxicity(docs, model, out=out)
+    return scored.where(F.col(out) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +34,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item, each row judged by its own text, with an id or not."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row")
-    return rows.join(found.select("_row").distinct(), "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "_row")
+    both_ways = F.concat_ws(" ", F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit(1), "doc_id"))
+    rows = docs.withColumn(row, both_ways)
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), key=row)
+    return rows.join(found.select(row).distinct(), row, "left_anti").select(*docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    redacted = pii.redact(pii.find_personal(docs, out="_personal"), spans="_personal")
-    out = redacted.drop("_personal")
+    spans = unused(docs, "_personal")
+    out = pii.redact(pii.find_personal(docs, out=spans), spans=spans).drop(spans)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.col("text").isNotNull(), F.length("text").cast(kind))
@@ -51,14 +54,14 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document, their number, and whether they decode to its text."""
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, RANKS, out="_decoded")
+    ids, text = unused(docs, "_ids"), unused(docs, "_decoded")
+    decoded = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN, ids=ids, out=text)
     whole = F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select(
         *[c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "round_trip")],
-        "token_ids",
-        (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
-        (F.col("_decoded") == whole).alias("round_trip"),
+        F.col(ids).alias("token_ids"),
+        (F.length(ids) / 4).cast("long").alias("n_tokens"),
+        (F.col(text) == whole).alias("round_trip"),
     )
 
 
