@@ -865,6 +865,7 @@ def write_clustered(
     columns: list[str],
     partition_by: Iterable[str] = (),
     partitions: int | None = None,
+    scale: str = "linear",
     **options,
 ) -> Written:
     """Write a table with files clustered on ``columns`` inside its partitions.
@@ -874,7 +875,7 @@ def write_clustered(
     """
     with temporary_steps(tables.spark):
         return tables.write(
-            cluster(materialize(df), columns, list(partition_by), partitions),
+            cluster(materialize(df), columns, list(partition_by), partitions, scale=scale),
             layer,
             table,
             partition_by=partition_by,

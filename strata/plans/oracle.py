@@ -645,6 +645,7 @@ FROM kept_sales s
 LEFT JOIN merged m ON s.customer_id = m.customer_id AND {valid_on('m', 's.sale_date')}
 LEFT JOIN parts p ON s.stock_code = p.stock_code AND s.sale_date >= DATE '1995-01-01'
 LEFT JOIN store_dim t ON s.store_id = t.store_id""",
+    "clustered_skewed": "SELECT count(*) AS n_rows, TRUE AS tighter FROM orders",
     "silver_upsert": with_(EARLY_LINES, LATE_LINES)
     + """, merged AS (
   SELECT * FROM late UNION ALL
@@ -708,3 +709,5 @@ FROM known""",
     "stream_two_sources": with_(ORDERS)
     + "SELECT * FROM online_orders WHERE order_status IN ('F', 'O')",
 }
+#: A stream that brings the fact up to date gives what the batches give.
+ORACLE["stream_gold"] = ORACLE["gold_incremental"]

@@ -1082,6 +1082,44 @@ def clustered_order(spark: SparkSession, folder: str) -> DataFrame:
     return cluster(orders, ["o_custkey", "o_totalprice"])
 
 
+@query
+def clustered_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders clustered on two skewed columns, by quantiles and linearly: do files cover less then?
+
+    Each layout is written and read back, and the share of the rows that lie between a file's least
+    and greatest value is averaged over its files, per column.
+    """
+    tables = Tables(spark, _folder(spark))
+    skewed = given(spark, folder, "orders").select(
+        "o_orderkey",
+        F.pow(F.col("o_custkey").cast("double"), 6).alias("a"),
+        F.exp(F.col("o_totalprice") / 20000).alias("b"),
+    )
+    covered = []
+    for scale in ("linear", "rank"):
+        layers.write_clustered(tables, skewed, "gold", scale, ["a", "b"], partitions=16, scale=scale)
+        rows = tables.read("gold", scale)
+        cuts = rows.agg(*[F.percentile_approx(c, [i / 100 for i in range(101)], 10_000).alias(c) for c in "ab"]).first()
+        files = tables.spark.read.parquet(*_paths(tables, scale)).groupBy(F.col("_metadata.file_path")).agg(
+            *[f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))]
+        )
+        share = _between(cuts["a"], "a") + _between(cuts["b"], "b")
+        covered.append(files.agg(F.avg(share)).first()[0])
+    tighter = F.lit(covered[1] < covered[0])
+    return tables.read("gold", "rank").agg(F.count("*").alias("n_rows")).withColumn("tighter", tighter)
+
+
+def _between(cuts: list[float], column: str):
+    """How many of the cuts lie within a file's values."""
+    low, high = F.col(f"lo_{column}"), F.col(f"hi_{column}")
+    return F.size(F.filter(F.lit(cuts), lambda v: (v >= low) & (v <= high)))
+
+
+def _paths(tables: Tables, name: str) -> list[str]:
+    state = tables.published("gold", name)
+    return state.paths(list(state.dirs))
+
+
 @query
 def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Tables by name: published, appended to, one date replaced, published again."""
@@ -1113,6 +1151,36 @@ def stream_bronze(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("silver", ORDERS.name).select([c["name"] for c in ORDERS.columns])
 
 
+@query
+def stream_gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales and later reports of the customers streamed from landing files to fact_sales."""
+    tables = Tables(spark, _folder(spark))
+    specs, landing = retail_specs(), f"{tables.root}/landing"
+    sales = replace(specs["sales"], partition_period="month")
+    landed = _retail_landing(spark, folder)
+    landed["customer"] = domain.customer_state(spark, folder, SECOND_CUT, None)
+    others = [specs["customer"], specs["product"], specs["store"]]
+    for spec in others:
+        export_landing(landed[spec.name], f"{landing}/{spec.name}/1")
+    layers.run_bronze(tables, others, landing, SECOND_CUT, at_once=4)
+    layers.run_silver(tables, others, SECOND_CUT, initial_start=FIRST_CUT, at_once=4)
+    names = ["dim_customer", "dim_product", "dim_store", "fact_sales"]
+    export_landing(landed["sales"].coalesce(2), f"{landing}/sales")
+    export_landing(_second_batch(spark, folder), f"{landing}/customer/2")
+    following = SECOND_CUT + dt.timedelta(days=1)
+    # Half of the sales in each micro-batch; then a stream of the customers; then nothing new.
+    for spec, source, day, most in (
+        (sales, "sales", SECOND_CUT, 1),
+        (specs["customer"], "customer/2", following, None),
+        (sales, "sales", following, 1),
+    ):
+        stream_ingest(
+            tables, spec, f"{landing}/{source}", f"{tables.root}/stream/{spec.name}", day,
+            gold=names, period="month", files_at_once=most,
+        ).awaitTermination()
+    return tables.read("gold", "fact_sales").drop("_month")
+
+
 @query
 def stream_two_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Two landing folders streamed into one table, each with a checkpoint of its own."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.quality import FAILED
 from strata.plans import layers, star
+from strata.operators.layout import _ranked, cluster
 from strata.plans.retail import retail_specs
 from strata.operators.scd2 import END, START
 from strata.sources.landing import CORRUPT, read_landing, tag_metadata
@@ -428,3 +429,15 @@ def test_everything_rejected(tables, landing):
     assert layers.ingest_bronze(tables, INVOICE, path, DAY1)["invalid_count"] == 1
     assert layers.refine_fact(tables, INVOICE, DAY1)["incremental_count"] == 0
     assert not tables.exists("silver", "invoice") or tables.read("silver", "invoice").isEmpty()
+
+
+def test_ranks_spread_a_skewed_column(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 2 = 0, 0, pow(id, 5)) AS a", "id AS b", "CAST(NULL AS INT) AS c")
+    for scale, columns in (("rank", ["a", "b"]), ("linear", ["a", "b"]), ("rank", ["c"])):
+        assert cluster(rows, columns, scale=scale).exceptAll(rows).isEmpty()
+    cell = _ranked(rows, ["a"], 3)[0]
+    counts = {r[0]: r[1] for r in rows.groupBy(cell).count().collect()}
+    assert counts[0] == 2000 and len(counts) == 5 and max(n for k, n in counts.items() if k) < 600
+    assert cluster(rows.limit(0), ["a"], scale="rank").isEmpty()
+    with pytest.raises(ValueError, match="scale"):
+        cluster(rows, ["a"], scale="other")
