@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +16,9 @@ from strata.session import materialize
 
 SLICE_BYTES = 8 << 20
 
+#: The C library's function for it, where there is one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,6 +32,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the machine.
+
+    Python workers live on from one stage to the next, and what a stage has freed stays theirs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a slice holds about ``limit`` bytes, one row at least."""
     rows = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
@@ -50,12 +66,14 @@ def with_columns(
     kept_names, inputs = [f.name for f in kept], list(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         work = start()
         for batch in batches:
             for part in slices(batch):
                 made = list(work(*[part.column(c) for c in inputs]))
                 columns = [part.column(c) for c in kept_names] + made
                 yield pa.RecordBatch.from_arrays(columns, names=kept_names + names)
+        give_back()
 
     return df.mapInArrow(run, StructType([*kept, *fields]))
 
