@@ -25,7 +25,7 @@ from strata.llm.common import with_columns
 KNOWN_PAIRS = 100_000
 CACHED_LENGTH = 48
 #: Estimated bytes of one of the two generations of the cache of pre-tokens that a worker keeps.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 32 << 20
 ENTRY_BYTES = 180
 #: From so many bytes on the linked list of a pre-token is kept in flat arrays.
 LONG_PIECE = 4096
