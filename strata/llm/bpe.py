@@ -22,11 +22,11 @@ from pyspark.sql.types import BinaryType, StructField
 
 from strata.llm.common import with_columns
 
-KNOWN_PAIRS = 100_000
 CACHED_LENGTH = 48
 #: Estimated bytes of one of the two generations of the cache of pre-tokens that a worker keeps.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 180
+PAIR_BYTES = 168
 #: From so many bytes on the linked list of a pre-token is kept in flat arrays.
 LONG_PIECE = 4096
 SHIFT = 8  # a node of the bitmap has 256 children
@@ -40,7 +40,8 @@ def packed(ids: list[int]) -> bytes:
 class Codec:
     """Ranks, token bytes and the queue. ``ranks`` is the text of a rank file."""
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, cache_bytes: int = CACHE_BYTES):
+        self.cache_bytes, self.known_pairs = cache_bytes, cache_bytes // PAIR_BYTES
         pairs = [line.split() for line in ranks.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         size = max(self.ranks.values()) + 1
@@ -60,7 +61,7 @@ class Codec:
     def merge_rank(self, pair: int) -> int:
         """Rank of the token that two tokens (ids, packed) make together, or -1."""
         rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
-        if len(self.merges) < KNOWN_PAIRS:
+        if len(self.merges) < self.known_pairs:
             self.merges[pair] = rank
         return rank
 
@@ -148,7 +149,7 @@ class Codec:
                 if len(piece) <= CACHED_LENGTH:
                     young[piece] = ids
                     self.spent += ENTRY_BYTES + len(piece) + len(ids)
-                    if self.spent > CACHE_BYTES:
+                    if self.spent > self.cache_bytes:
                         self.old = old = young
                         self.young = young = {}
                         self.spent = 0
@@ -175,12 +176,12 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
+def codec(ranks: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Codec:
     """One codec per Python worker and vocabulary, with a cache of bounded size across its tasks."""
-    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+    key = f"{hashlib.sha256(ranks + pattern.encode()).hexdigest()} {cache_bytes}"
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(ranks, pattern, cache_bytes)
     return _codecs[key]
 
 
@@ -217,12 +218,16 @@ def encode_and_decode(
     text: str = "text",
     ids: str = "token_ids",
     out: str = "decoded",
+    cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
-    """``encode``, then ``decode`` of its result, in one Python worker instead of two."""
+    """``encode``, then ``decode`` of its result, in one Python worker instead of two.
+
+    ``cache_bytes`` bounds each generation of a worker's cache; it changes speed and memory only.
+    """
     vocabulary = _vocabulary(df, ranks_path)
 
     def start():
-        worker = codec(vocabulary.value, pattern)
+        worker = codec(vocabulary.value, pattern, cache_bytes)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             encoded = pa.array([worker.encode(t.as_py() or "") for t in texts], pa.binary())

@@ -42,7 +42,7 @@ def test_bpe_cache_of_two_generations(codec, monkeypatch):
     """A cache that turns over all the time changes nothing, nor do flat arrays."""
     texts = [" ".join(f"word{i * j % 97}x" for i in range(60)) + "ab" * 40 for j in range(20)]
     expected = [codec.encode(t) for t in texts]
-    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    monkeypatch.setattr(codec, "cache_bytes", 1000)
     monkeypatch.setattr(bpe, "LONG_PIECE", 4)
     codec.young, codec.old, codec.spent = {}, {}, 0
     assert [codec.encode(t) for t in texts] == expected
