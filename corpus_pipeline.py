@@ -16,6 +16,8 @@ from strata.session import materialize
 
 TOXIC_FROM = 0.3
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Workers of the stages before have grown already.
+BPE_CACHE_BYTES = 28 << 20
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,9 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document, their number, and whether they decode to its text."""
     ids, text = unused(docs, "_ids"), unused(docs, "_decoded")
-    decoded = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN, ids=ids, out=text)
+    decoded = bpe.encode_and_decode(
+        docs, RANKS, public_tokenizers.PATTERN, ids=ids, out=text, cache_bytes=BPE_CACHE_BYTES
+    )
     whole = F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select(
         *[c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "round_trip")],
