@@ -288,6 +288,102 @@ FACT_COLUMNS = (
 )
 HISTORY_COLUMNS = "effective_start_date, effective_end_date, is_current"
 
+#: What all gold tables of the retail specifications are made of, after one batch.
+GOLD_PARTS = (with_(SALES, CUSTOMER_FEED, customer_state("last_report", None, "9999-12-31"), STORES,
+    ORDERS, SHIPPING, RETURNS.removeprefix(LINES + ","), INVENTORY, KEPT_SALES)
++ """, customers AS (
+  SELECT customer_id, country, segment,
+         CAST(row_number() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS customer_sk
+  FROM last_report),
+products AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS stock_code, p_size, p_name, p_retailprice, p_brand,
+         CAST(row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS BIGINT) AS product_sk
+  FROM part),
+sold AS (
+  SELECT s.*, c.customer_sk, p.product_sk, t.store_sk FROM kept_sales s
+  LEFT JOIN customers c ON s.customer_id = c.customer_id AND s.sale_date >= DATE '1995-01-01'
+  LEFT JOIN products p ON s.stock_code = p.stock_code AND s.sale_date >= DATE '1995-01-01'
+  LEFT JOIN store_dim t ON s.store_id = t.store_id),
+ordered AS (
+  SELECT o.order_id, o.order_status, o.order_date, c.customer_sk, p.product_sk FROM online_orders o
+  LEFT JOIN customers c ON o.customer_id = c.customer_id AND o.order_date >= DATE '1995-01-01'
+  LEFT JOIN products p ON o.stock_code = p.stock_code AND o.order_date >= DATE '1995-01-01'),
+stock AS (
+  SELECT i.*, p.product_sk, t.store_sk FROM inventory i
+  LEFT JOIN products p ON i.stock_code = p.stock_code AND i.snapshot_date >= DATE '1995-01-01'
+  LEFT JOIN store_dim t ON i.store_id = t.store_id),
+days AS (
+  SELECT sale_date AS day FROM kept_sales UNION ALL SELECT order_date FROM online_orders
+  UNION ALL SELECT snapshot_date FROM inventory UNION ALL SELECT ship_date FROM shipping)"""
+)
+
+DATED = {
+    "effective_start_date": "DATE '1995-01-01'", "effective_end_date": "NULL", "is_current": "TRUE",
+}
+#: Every gold table with all its columns and where they come from. Prices are compared in thousandths.
+GOLD_COLUMNS = {
+    "dim_customer": (dict(customer_id="", country="", segment="", customer_sk="", **DATED), "customers"),
+    "dim_product": (
+        dict(stock_code="", description="p_name", unit_price="1000*p_retailprice", supplier_id="p_brand",
+             product_sk="", **DATED),
+        "products",
+    ),
+    "dim_store": (dict(store_id="", region="", country="", store_name="", store_sk=""), "store_dim"),
+    "dim_supplier": (
+        dict(supplier_id="", supplier_name="", supplier_sk="row_number() OVER (ORDER BY supplier_id) - 1"),
+        "(SELECT CAST(s_suppkey AS VARCHAR) AS supplier_id, s_name AS supplier_name FROM supplier)",
+    ),
+    "dim_date": (
+        dict(date_sk="strftime(full_date, '%Y%m%d')", full_date="", year="year(full_date)",
+             month="month(full_date)", day="day(full_date)", quarter="quarter(full_date)",
+             day_name="dayname(full_date)", month_name="monthname(full_date)",
+             is_weekend="isodow(full_date) >= 6"),
+        "(SELECT CAST(unnest(range(make_date(min(year(day)), 1, 1)::TIMESTAMP, "
+        "make_date(max(year(day)) + 1, 1, 1)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS full_date FROM days)",
+    ),
+    "fact_sales": (
+        dict(invoice_id="", stock_code="", customer_sk="", product_sk="", store_sk="",
+             date_sk="strftime(sale_date, '%Y%m%d')", sale_date="", quantity="",
+             unit_price="1000*unit_price", line_total="1000*(quantity * unit_price)"),
+        "sold",
+    ),
+    "fact_returns": (
+        dict(return_invoice_id="", original_invoice_id="", customer_sk="", product_sk="",
+             quantity="r.quantity"),
+        "returns r LEFT JOIN sold s ON r.original_invoice_id = s.invoice_id AND r.stock_code = s.stock_code",
+    ),
+    "fact_online_orders": (
+        dict(order_id="", customer_sk="", product_sk="", order_status="", order_date=""), "ordered",
+    ),
+    "fact_shipping": (
+        dict(shipment_id="", order_id="", customer_sk="", carrier="", ship_date=""),
+        "shipping LEFT JOIN ordered USING (order_id)",
+    ),
+    "fact_inventory_snapshot": (
+        dict(store_sk="", product_sk="", snapshot_date="", stock_on_hand=""), "stock",
+    ),
+    "bridge_promotions": (
+        dict(promo_id="'P' || stock_code", product_sk="", start_date="starts",
+             end_date="starts + CAST(p_size AS INTEGER)", discount_pct="1000*(p_size / 100.0::DOUBLE)"),
+        "(SELECT *, CAST(DATE '1995-01-01' + to_months(CAST(p_size AS INTEGER)) AS DATE) AS starts FROM products)",
+    ),
+}
+
+
+def checksum(name: str, columns: dict[str, str], source: str) -> str:
+    """Rows of a table and the sum of a 60-bit hash of each, over all columns in order of their names."""
+    texts = []
+    for column, found in sorted(columns.items()):
+        value = found or column
+        if value.startswith("1000*"):
+            value = f"CAST(floor({value[5:]} * 1000) AS BIGINT)"
+        texts.append(f"coalesce(CAST({value} AS VARCHAR), '~') AS t_{column}")
+    row = " || '|' || ".join(f"t_{column}" for column in sorted(columns))
+    return f"""SELECT '{name}' AS table_name, '{",".join(sorted(columns))}' AS columns, count(*) AS n_rows,
+      CAST(sum(('0x' || substr(md5({row}), 1, 15))::BIGINT) AS VARCHAR) AS checksum
+      FROM (SELECT {", ".join(texts)} FROM {source})"""
+
+
 ORACLE: dict[str, str] = {
     "read_landing_csv": with_(CHECKED_ORDERS)
     + "SELECT order_id, order_status, order_date FROM checked",
@@ -588,31 +684,7 @@ FROM orders""",
 SELECT *, 'silver' AS layer FROM good
 UNION ALL SELECT *, 'bronze' FROM good WHERE order_date < DATE '1998-07-01'
   OR order_date >= DATE '2000-07-01' OR order_date IS NULL""",
-    "gold_star": with_(SALES, CUSTOMER_FEED, customer_state("last_report", None, "9999-12-31"), STORES,
-                       ORDERS, SHIPPING, RETURNS.removeprefix(LINES + ","), INVENTORY, KEPT_SALES)
-    + f""", customers AS (
-  SELECT customer_id, CAST(row_number() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS customer_sk
-  FROM last_report),
-products AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS stock_code, p_size,
-         CAST(row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS BIGINT) AS product_sk
-  FROM part),
-sold AS (
-  SELECT s.*, c.customer_sk, p.product_sk, t.store_sk FROM kept_sales s
-  LEFT JOIN customers c ON s.customer_id = c.customer_id AND s.sale_date >= DATE '1995-01-01'
-  LEFT JOIN products p ON s.stock_code = p.stock_code AND s.sale_date >= DATE '1995-01-01'
-  LEFT JOIN store_dim t ON s.store_id = t.store_id),
-ordered AS (
-  SELECT o.order_id, c.customer_sk, p.product_sk FROM online_orders o
-  LEFT JOIN customers c ON o.customer_id = c.customer_id AND o.order_date >= DATE '1995-01-01'
-  LEFT JOIN products p ON o.stock_code = p.stock_code AND o.order_date >= DATE '1995-01-01'),
-stock AS (
-  SELECT i.*, p.product_sk, t.store_sk FROM inventory i
-  LEFT JOIN products p ON i.stock_code = p.stock_code AND i.snapshot_date >= DATE '1995-01-01'
-  LEFT JOIN store_dim t ON i.store_id = t.store_id),
-days AS (
-  SELECT sale_date AS day FROM kept_sales UNION ALL SELECT order_date FROM online_orders
-  UNION ALL SELECT snapshot_date FROM inventory UNION ALL SELECT ship_date FROM shipping),
+    "gold_star": GOLD_PARTS + """,
 digest(table_name, n_rows, customer_keys, product_keys, store_keys, amount) AS (
   SELECT 'dim_customer', count(*), sum(customer_sk), 0, 0, 0 FROM customers
   UNION ALL SELECT 'dim_product', count(*), 0, sum(product_sk), 0, 0 FROM products
@@ -709,5 +781,8 @@ FROM known""",
     "stream_two_sources": with_(ORDERS)
     + "SELECT * FROM online_orders WHERE order_status IN ('F', 'O')",
 }
+ORACLE["catalog_pipeline"] = GOLD_PARTS + "\n" + " UNION ALL ".join(
+    checksum(name, *found) for name, found in GOLD_COLUMNS.items()
+)
 #: A stream that brings the fact up to date gives what the batches give.
 ORACLE["stream_gold"] = ORACLE["gold_incremental"]

@@ -10,6 +10,7 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions import rules as R
 from strata.functions.columns import date_key, row_hash
@@ -44,6 +45,7 @@ from strata.plans.retail import retail_specs
 from strata.session import materialize, session_folder, side_by_side
 from strata.sources.catalog import CatalogTables
 from strata.sources.landing import CORRUPT, export_landing, read_landing, tag_metadata
+from strata.sources.named import NamedTables
 from strata.sources.tables import Tables
 from strata.spec import TableSpec, to_struct
 from strata.streaming.ingest import stream_ingest
@@ -1138,6 +1140,43 @@ def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+def _checksum(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a table and the sum of a 60-bit hash of each, over all columns but helpers."""
+    columns = sorted(c for c in rows.columns if not c.startswith("_"))
+
+    def text(column: str):
+        value = F.col(column)
+        if rows.schema[column].dataType == T.DoubleType():
+            value = F.floor(value * 1000)
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *map(text, columns))), 1, 15), 16, 10)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(digest.cast("decimal(20,0)")).cast("string").alias("checksum"),
+    ).select(F.lit(name).alias("table_name"), F.lit(",".join(columns)).alias("columns"), "*")
+
+
+@query
+def catalog_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Bronze, silver and all gold tables by catalog name: every row and column of gold, by checksum."""
+    tables = NamedTables(spark, _folder(spark), f"strata_{uuid.uuid4().hex[:12]}_")
+    tables.init()
+    specs = [
+        replace(spec, partition_period="month") if spec.partition_by else spec
+        for spec in retail_specs().values()
+    ]
+    for name, df in _retail_landing(spark, folder).items():
+        export_landing(df, f"{tables.root}/landing/{name}")
+    layers.run_bronze(tables, specs, f"{tables.root}/landing", LAST_CUT, at_once=4)
+    layers.run_silver(tables, specs, LAST_CUT, initial_start=FIRST_CUT, at_once=4)
+    layers.run_gold(tables, period="month", at_once=4)
+    found = [_checksum(tables.by_name("gold", name), name) for name in layers.GOLD_INPUTS]
+    sums = materialize(reduce(DataFrame.unionByName, found))
+    tables.detach()
+    return sums
+
+
 @query
 def stream_bronze(spark: SparkSession, folder: str) -> DataFrame:
     """The landing folder read as a stream into bronze and silver."""
