@@ -1,12 +1,13 @@
-"""Operator 3: benchmark decontamination by a prefix filter on hashes, in DataFrame functions.
+"""Operator 3: benchmark decontamination by size-partitioned MinHash, in DataFrame functions.
 
 A document contains an item if it has a share of ``threshold`` or more of the item's distinct
 word shingles. Documents are much longer than items, so their resemblance is near zero and a
-MinHash of the document would not find anything; the search is for containment. An item with n
-shingles may miss m = floor((1 - threshold) n) of them, so the m + 1 smallest shingle hashes, its
-bottom-k MinHash with k set by its size, hold one that every containing document has: candidates
-are complete. The largest hash of all sketches thins the document side before the join; nothing is
-partitioned by size. Candidates are verified by their exact shingles.
+MinHash of the document would not find anything; the search is for containment. Items are
+partitioned by size: a class holds those of 2^c up to 2^(c+1) - 1 shingles. An item with n of them
+may miss m = floor((1 - threshold) n), so of the m + r smallest hashes, its bottom-k MinHash, every
+containing document has r at least: candidates are complete. The class sets r, and its largest
+sketch hash is its limit: a shingle of a document is looked up in the classes whose limit it does
+not exceed, by (class, hash). Candidates are verified by their exact shingles.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import Window as W
 
 from strata.session import materialize
 
-#: Sketches up to this many rows (16 bytes each) are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A containing document has to hit one sketch hash, and one more for every so many shingles of the class.
+HIT_EVERY = 16
 
 
 def words_of(text: Column) -> Column:
@@ -40,6 +41,16 @@ def shingled(df: DataFrame, keep: list[str], text: str, size: int) -> DataFrame:
     return words.select(*keep, F.inline(F.arrays_zip(*columns)))
 
 
+def places(df: DataFrame, keep: list[str], text: str, widths: list[int], size: int) -> DataFrame:
+    """Shingles of each of the given widths (``size`` at most), the narrower ones followed by nulls."""
+    out = df.select(*keep, *[F.lit(None).cast("string").alias(w) for w in names(size)]).limit(0)
+    for width in widths:
+        found = shingled(df, keep, text, width).where(f"w{width} is not null")
+        empty = [F.lit(None).cast("string").alias(w) for w in names(size)[width:]]
+        out = out.unionByName(found.select("*", *empty))
+    return out
+
+
 def names(size: int) -> list[str]:
     return [f"w{k + 1}" for k in range(size)]
 
@@ -57,10 +68,11 @@ def contaminated(
     """(key, item, n_shingles, n_found, containment) of every item that a document contains.
 
     Words are lower-cased runs of letters and digits, shingles have ``size`` words. An item of
-    fewer words is one shorter shingle, which only a document of just these words has. Items and
-    documents without words, null texts among them, contain nothing and are in nothing. Rows of one
-    key are one document, rows of one item id one item, with the shingles of all of them; rows with
-    a null key or id are left out. Empty tables give an empty result.
+    fewer words is one shingle of its own length, which is sought at every place of a document.
+    Items and documents without words, null texts among them, contain nothing and are in nothing.
+    Rows of one key are one document, rows of one item id one item, with the shingles of all of
+    them; rows with a null key or id are left out. Other columns of both tables, whatever their
+    names, are not looked at. Empty tables give an empty result.
     """
     w = names(size)
     source = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null")
@@ -70,29 +82,42 @@ def contaminated(
         .distinct()
         .withColumn("h", F.xxhash64(*w))
     )
+    # One number for each width that there is, 1 to ``size``.
+    length = sum((F.col(c).isNotNull().cast("int") for c in w), F.lit(0))
+    widths = sorted(row[0] for row in wanted.select(length.alias("n")).distinct().collect())
     by_hash = W.partitionBy("_item").orderBy("h", *w)
     ranked = wanted.select(
         "_item", "h", F.row_number().over(by_hash).alias("rank"),
         F.count("*").over(W.partitionBy("_item")).alias("n"),
     )
+    least = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
+    sized = ranked.withColumn("size_class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
+    sized = sized.withColumn(
+        "need", F.least(F.expr(f"1 + shiftleft(1L, size_class) div {HIT_EVERY}"), least)
+    )
+    # Equal hashes of different shingles count as often as they are there: no candidate is lost.
     sketches = materialize(
-        ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-        .select("h", "_item", F.floor(F.log2(F.col("n").cast("double"))).alias("size_class"))
+        sized.where(F.col("rank") <= F.col("n") - least + F.col("need"))
+        .groupBy("size_class", "h", "_item", "need")
+        .agg(F.count("*").alias("copies"))
     )
-    limits = sketches.groupBy("size_class").agg(F.max("h").alias("limit"))
-    bounds = limits.agg(F.max("limit").alias("limit"), F.lit(1)).first()
-    rows = sketches.count()
-    small = rows <= BROADCAST_ROWS
-    sketch = sketches.select("h", "_item")
-    hashed = shingled(source, ["_key"], "_text", size).select("_key", F.xxhash64(*w).alias("h"))
-    if bounds["limit"] is not None:
-        hashed = hashed.where(F.col("h") <= bounds["limit"])
+    # A row a class, of which there are as many as an item's number of shingles has bits.
+    limits = sketches.groupBy("size_class").agg(F.max("h").alias("top")).collect()
+    reached = F.array(*[F.when(F.col("h") <= F.lit(r["top"]), F.lit(r["size_class"])) for r in limits])
+    hashed = places(source, ["_key"], "_text", widths, size).select("_key", F.xxhash64(*w).alias("h"))
+    hashed = hashed.select("_key", "h", F.explode(F.array_compact(reached.cast("array<int>"))).alias("size_class"))
     candidates = materialize(
-        hashed.join(F.broadcast(sketch) if small else sketch, "h").select("_key", "_item").distinct()
+        hashed.join(sketches, ["size_class", "h"])
+        .select("_key", "_item", "h", "need", "copies")
+        .distinct()
+        .groupBy("_key", "_item", "need")
+        .agg(F.sum("copies").alias("hits"))
+        .where("hits >= need")
+        .select("_key", "_item")
     )
     # Exact shingles of the documents that have a candidate, against those of its items.
     there = candidates.select("_key").distinct()
-    own = shingled(source.join(there, "_key", "left_semi"), ["_key"], "_text", size)
+    own = places(source.join(there, "_key", "left_semi"), ["_key"], "_text", widths, size)
     same = [F.col(f"own.{c}").eqNullSafe(F.col(f"wanted.{c}")) for c in w]
     pairs = candidates.alias("pair").join(wanted.alias("wanted"), "_item")
     pairs = pairs.select("pair._key", "_item", "h", *[F.col(f"wanted.{c}") for c in w])
@@ -123,17 +148,22 @@ def contaminated(
 
 def oracle(size: int = 5, threshold: float = 0.8) -> str:
     """The same search in SQL, by comparing all shingles."""
-    def shingles(table: str, key: str) -> str:
+    def words(table: str, key: str) -> str:
         return f"""
-          SELECT DISTINCT {key}, array_to_string(ws[i:i+{size - 1}], ' ') AS shingle
-          FROM (SELECT {key}, ws, unnest(range(1, greatest(len(ws) - {size - 2}, 2))) AS i
-                FROM (SELECT {key}, string_split(t, ' ') AS ws
-                      FROM (SELECT {key}, trim(regexp_replace(lower(coalesce(text, '')),
-                              '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t
-                            FROM {table} WHERE {key} IS NOT NULL) WHERE t <> ''))"""
+          SELECT {key}, string_split(t, ' ') AS ws
+          FROM (SELECT {key}, trim(regexp_replace(lower(coalesce(text, '')),
+                  '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t
+                FROM {table} WHERE {key} IS NOT NULL) WHERE t <> ''"""
 
     return f"""
-      WITH items AS ({shingles("benchmark", "item_id")}), docs AS ({shingles("documents", "doc_id")}),
+      WITH item_words AS ({words("benchmark", "item_id")}), doc_words AS ({words("documents", "doc_id")}),
+      widths AS (SELECT DISTINCT least(len(ws), {size}) AS n FROM item_words),
+      items AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+n-1], ' ') AS shingle
+        FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+              FROM (SELECT *, least(len(ws), {size}) AS n FROM item_words))),
+      docs AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+n-1], ' ') AS shingle
+        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+              FROM doc_words JOIN widths ON len(ws) >= n)),
       sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
       hits AS (SELECT doc_id, item_id, count(*) AS n_found FROM docs JOIN items USING (shingle) GROUP BY ALL)
       SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment

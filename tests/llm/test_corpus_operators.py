@@ -96,16 +96,16 @@ def test_embedding_links_equal_brute_force(spark):
 
 
 def plain_containment(docs, items, size=5, threshold=0.8):
-    def shingles(text):
+    def runs(text, widths):
         words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
-        many = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
-        return set(many or ([tuple(words)] if words else []))
+        lengths = widths or [min(size, len(words))]
+        return {tuple(words[i : i + n]) for n in lengths for i in range(len(words) - n + 1) if n}
 
     by_item, by_doc = {}, {}
-    for into, rows in ((by_item, items), (by_doc, docs)):
+    for into, rows, widths in ((by_item, items, None), (by_doc, docs, range(1, size + 1))):
         for key, text in rows:
             if key is not None:
-                into.setdefault(key, set()).update(shingles(text))
+                into.setdefault(key, set()).update(runs(text, widths))
     return sorted(
         (d, i, len(own), len(own & there))
         for i, own in by_item.items() for d, there in by_doc.items()
@@ -113,9 +113,20 @@ def plain_containment(docs, items, size=5, threshold=0.8):
     )
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_contaminated_equals_plain_search(spark, documents, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+@pytest.fixture
+def broadcast_bytes(spark, request):
+    """The largest side that Spark broadcasts by its own choice."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("broadcast_bytes", ["10m", "-1"], indirect=True)
+@pytest.mark.parametrize("every", [16, 4])
+def test_contaminated_equals_plain_search(spark, documents, monkeypatch, broadcast_bytes, every):
+    monkeypatch.setattr(decontaminate, "HIT_EVERY", every)
     rng = random.Random(6)
     words = [f"w{k}" for k in range(40)]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for k in range(30)]
@@ -131,10 +142,20 @@ def test_contaminated_equals_plain_search(spark, documents, monkeypatch, broadca
     out = decontaminate.contaminated(documents(*docs), asked)
     found = sorted((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in out.collect())
     assert found == plain_containment(docs, items)
+    assert any(n == 1 and len(items[i][1].split()) < 5 for _, i, n, _ in found)
     assert decontaminate.contaminated(documents(*docs), asked.limit(0)).count() == 0
     assert decontaminate.contaminated(documents(*docs).limit(0), asked).count() == 0
 
 
+def test_short_items_inside_long_documents(spark, documents):
+    docs = [(1, "start " * 300 + "Alpha, beta! gamma" + " end" * 300), (2, "alpha beta end"), (3, "gamma"), (4, None)]
+    items = [(1, "alpha BETA gamma"), (2, "gamma"), (3, "beta gamma delta epsilon"), (4, "one two three four five six")]
+    asked = spark.createDataFrame(items, "item_id bigint, text string").withColumn("h", F.lit(1)).withColumn("w1", F.lit(2))
+    out = decontaminate.contaminated(documents(*docs).withColumn("size_class", F.lit("x")), asked)
+    found = sorted((r.doc_id, r.item_id, r.containment) for r in out.collect())
+    assert found == [(1, 1, 1.0), (1, 2, 1.0), (3, 2, 1.0)]
+
+
 def test_shards_fit_and_are_as_shallow_as_can_be(documents):
     rng = random.Random(8)
     rows = [(k, "x" * rng.randint(0, 400)) for k in range(500)] + [(900, "y" * 5000), (901, None)]
