@@ -80,21 +80,32 @@ def assign_shards(
             F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")
         )
         levels = F.sequence(F.lit(shallow), F.lit(deep))
-        sums = (
+        sums = materialize(
             leaves.withColumn("depth", F.explode(levels))
             .groupBy("depth", F.expr("left(leaf, depth)").alias("shard"))
             .agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("rows"))
         )
         last = deep == width
-        fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("rows") == 1) | F.lit(last) & (F.col("depth") == deep))
-        # The shallowest depth that fits is the bucket: all its ancestors do not.
+        fits = (F.col("shard_bytes") <= limit) | (F.col("rows") == 1)
+        # A prefix that does not fit is split on its next bit. A bucket is a child that fits, so no
+        # prefix meets more than two others here. What the round began with has no parent in it.
+        split = sums.where(~fits).select("depth", "shard")
+        children = split.select(
+            (F.col("depth") + 1).alias("depth"), F.expr("explode(array(shard || '0', shard || '1'))").alias("shard")
+        )
+        begun = F.col("depth") == shallow
+        ends = fits | (F.col("depth") == deep) if last else fits
+        buckets = materialize(
+            sums.where(begun & ends).unionByName(sums.where(~begun & ends).join(children, ["depth", "shard"], "left_semi"))
+            .select("depth", "shard", "shard_bytes")
+        )
+        # Leaves look for their bucket at those depths only that buckets have: at most one a bit.
+        depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())
         directory = (
-            leaves.select("leaf", F.explode(levels).alias("depth"))
+            leaves.select("leaf", F.explode(F.lit(depths).cast("array<int>")).alias("depth"))
             .withColumn("shard", F.expr("left(leaf, depth)"))
-            .join(fits, ["depth", "shard"])
-            .groupBy("leaf")
-            .agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("bucket"))
-            .select("leaf", "bucket.*")
+            .join(buckets, ["depth", "shard"])
+            .select("leaf", "depth", "shard", "shard_bytes")
         )
         directory = materialize(directory)
         placed = open_.withColumn("leaf", bits(deep)).join(directory, "leaf", "left")
