@@ -1,20 +1,23 @@
 """Operator 10: embedding near-duplicates with randomised-rotation binary codes.
 
-Distinct directions are rotated at random. The signs of the rotated components are a vector's
-binary code; with the stored correction factor the code gives an unbiased estimate of its inner
-product with any other unit vector, and a bound on the error. Vectors meet in buckets of equal
-code bits. In a bucket, pairs whose upper confidence bound stays below the threshold are passed
-over; all others are computed again in double precision, and only that decides.
+Distinct directions are rotated at random. The signs of the rotated components, packed into bytes,
+are a vector's binary code. It is stored once with a correction factor and a coarse form of the
+rotated vector in a few bit planes; code and planes of two vectors, by counts of common bits, give
+an unbiased estimate of their inner product and a bound on its error. Vectors meet in buckets of
+equal code bits. Only codes travel there: pairs whose upper confidence bound stays below the
+threshold are passed over, and vectors are fetched only for places in buckets that have other
+pairs. Those are computed again in double precision, and only that decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -23,10 +26,11 @@ from strata.llm.common import components, runs, union_find
 from strata.session import materialize
 
 BLOCK = 1024
+#: Bits a component of the coarse rotated vector has.
+PLANES = 3
 
 
 @lru_cache(maxsize=16)
-
 def rotations(width: int, bits: int, seed: int) -> list[np.ndarray]:
     """Random orthogonal matrices that give at least ``bits`` sign bits together."""
     out = []
@@ -48,55 +52,112 @@ def banding(n: int, threshold: float, recall: float, bucket: int) -> tuple[int,
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    """Vectors of length 1; scaled by a power of two first, so that no square over- or underflows."""
+    _, exponent = np.frexp(np.abs(vectors).max(1, keepdims=True))
+    # In two steps: a power of two that brings the smallest doubles to 1 is none itself.
+    scaled = np.ldexp(np.ldexp(vectors, -(exponent // 2)), -(exponent - exponent // 2))
+    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def band_codes(vectors: np.ndarray, width: int, bands: int, seed: int) -> np.ndarray:
-    """One integer per vector and band: the sign bits of the rotated vector, ``width`` at a time."""
-    signs = np.concatenate(
-        [vectors @ q > 0 for q in rotations(vectors.shape[1], width * bands, seed)], axis=1
-    )[:, : width * bands]
-    powers = 1 << np.arange(width, dtype=np.int64)
-    return signs.reshape(len(vectors), bands, width).astype(np.int64) @ powers
+def words(packed: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, with zeros at the end."""
+    spare = -packed.shape[1] % 8
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, spare)))).view(np.uint64)
 
 
 class Codes:
-    """Codes of unit vectors under one rotation, with their correction factors."""
-
-    def __init__(self, vectors: np.ndarray, seed: int):
-        self.dims = vectors.shape[1]
-        self.rotated = vectors @ rotations(self.dims, self.dims, seed)[0]
-        self.code = np.where(self.rotated > 0, 1.0, -1.0).astype(np.float32) / np.float32(sqrt(self.dims))
-        self.factor = np.abs(self.rotated).sum(1) / sqrt(self.dims)  # <code, vector>, for unbiasedness
-
-    def upper(self, other: Codes, sigmas: float) -> np.ndarray:
-        """Upper confidence bounds of the inner products of these vectors with the others."""
-        estimate = (self.code @ other.rotated.astype(np.float32).T) / self.factor[:, None]
-        error = np.sqrt(np.maximum(0.0, 1 - self.factor**2)) / self.factor / sqrt(max(1, self.dims - 1))
-        return estimate + (sigmas * error)[:, None]
+    """Stored codes of vectors of one length: sign bits, bit planes and correction factors.
 
+    ``signs`` are packed bits of at least ``dims`` rotated components, more where the bands need
+    them. ``planes`` hold the first ``dims`` rotated components in steps of ``step`` from ``low``,
+    rounded by a random dither, so that they are right on average. ``factor`` is the inner product
+    of a vector with its code as a unit vector.
+    """
 
-def pairs_within(
-    one: np.ndarray, other: np.ndarray, threshold: float, sigmas: float, seed: int, same: bool
+    def __init__(self, dims: int, signs: np.ndarray, planes: np.ndarray, numbers: np.ndarray):
+        self.dims, self.signs, self.planes, self.numbers = dims, signs, planes, numbers
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, bits: int, seed: int) -> Codes:
+        """Codes of unit vectors, of ``bits`` sign bits or as many as there are components."""
+        dims = vectors.shape[1]
+        bits = max(bits, dims)
+        rotated = [vectors @ q for q in rotations(dims, bits, seed)]
+        signs = np.packbits(np.concatenate([r > 0 for r in rotated], axis=1)[:, :bits], axis=1, bitorder="little")
+        first = rotated[0]
+        low = first.min(1, keepdims=True)
+        step = np.maximum((first.max(1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-30)
+        dither = np.random.default_rng([seed, dims, 1 << 20]).random(dims)
+        coarse = np.clip(np.floor((first - low) / step + dither), 0, (1 << PLANES) - 1).astype(np.uint8)
+        planes = [np.packbits(coarse >> p & 1, axis=1, bitorder="little") for p in range(PLANES)]
+        factor = np.abs(first).sum(1, keepdims=True) / np.sqrt(dims)
+        numbers = np.concatenate([factor, low, step], axis=1).astype(np.float32)
+        return cls(dims, signs, np.concatenate(planes, axis=1), numbers)
+
+    def packed(self) -> pa.Array:
+        """One binary value per vector, all of one length."""
+        rows = np.concatenate([self.signs, self.planes, self.numbers.view(np.uint8)], axis=1)
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        data = np.ascontiguousarray(rows)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    @classmethod
+    def unpacked(cls, column: pa.Array, dims: int) -> Codes:
+        rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        own = PLANES * ceil(dims / 8)
+        signs, planes, numbers = np.split(rows, [rows.shape[1] - own - 12, rows.shape[1] - 12], axis=1)
+        return cls(dims, signs, planes, np.ascontiguousarray(numbers).view(np.float32))
+
+    def at(self, places: np.ndarray) -> Codes:
+        return Codes(self.dims, self.signs[places], self.planes[places], self.numbers[places])
+
+    def bands(self, width: int, bands: int) -> np.ndarray:
+        """One integer per vector and band: its sign bits, ``width`` at a time."""
+        bits = np.unpackbits(self.signs, axis=1, count=width * bands, bitorder="little")
+        return bits.reshape(len(bits), bands, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+    def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the inner products with the others, and their standard errors."""
+        size = ceil(self.dims / 8)
+        own = self.signs[:, :size]
+        if self.dims % 8:  # sign bits of further rotations begin within the last byte
+            own = own.copy()
+            own[:, -1] &= (1 << self.dims % 8) - 1
+        own, dims = words(own), self.dims
+        common = np.zeros((len(own), len(other.planes)))
+        total = np.zeros(len(other.planes))
+        for p in range(PLANES):
+            plane = words(other.planes[:, p * size : (p + 1) * size])
+            for w in range(own.shape[1]):
+                common += np.bitwise_count(own[:, None, w] & plane[None, :, w]) * float(1 << p)
+            total += np.bitwise_count(plane).sum(1) * float(1 << p)
+        ones = np.bitwise_count(own).sum(1).astype(float)
+        _, low, step = other.numbers.T.astype(float)
+        factor = self.numbers[:, :1].astype(float)
+        product = 2 * (ones[:, None] * low + common * step) - (low * dims + total * step)
+        spread = np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, dims - 1)
+        return product / np.sqrt(dims) / factor, np.sqrt(spread + (step / 2 / factor) ** 2)
+
+
+def candidates(
+    one: Codes, other: Codes, threshold: float, sigmas: float, same: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of unit vectors with a cosine of ``threshold`` or more.
+    """Places (i, j) of pairs whose upper confidence bound reaches ``threshold``.
 
-    With ``same`` the two sides are one block, and only i < j is looked at. Codes and bounds choose
-    the pairs; each chosen pair is computed in double precision.
+    With ``same`` the two sides are one block, and only i < j is looked at.
     """
-    a = Codes(one, seed)
-    b = a if same else Codes(other, seed)
-    i, j = np.nonzero(a.upper(b, sigmas) >= threshold)
-    if same:
-        keep = i < j
-        i, j = i[keep], j[keep]
-    exact = np.empty(len(i))
+    estimate, error = one.estimates(other)
+    i, j = np.nonzero(estimate + sigmas * error >= threshold)
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def exactly(one: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs in double precision, in pieces of bounded size."""
+    out = np.empty(len(i))
     for at in range(0, len(i), 1 << 16):
-        exact[at : at + (1 << 16)] = np.einsum(
-            "ij,ij->i", one[i[at : at + (1 << 16)]], other[j[at : at + (1 << 16)]]
-        )
-    keep = exact >= threshold
-    return i[keep], j[keep]
+        piece = slice(at, at + (1 << 16))
+        out[piece] = np.einsum("ij,ij->i", one[i[piece]], other[j[piece]])
+    return out
 
 
 def usable(column: str):
@@ -127,7 +188,8 @@ def near_duplicates(
     """(key, n_links, component_id, kept) for every row, by cosine links of at least ``threshold``.
 
     ``recall`` is the chance that a pair just at the threshold shares a bucket; closer pairs have a
-    better one. ``sigmas`` widens the confidence bound. Equal vectors are compared once and count
+    better one. ``sigmas`` widens the confidence bound. Very large and very small finite components
+    are as good as others: vectors are scaled first. Equal vectors are compared once and count
     as often as they are there. Vectors of different lengths do not link. Vectors that are null,
     zero, or hold null or non-finite components have no links and are their own component. Rows
     with a null key count as links and connect, but are nobody's component; they come back too, as
@@ -136,7 +198,6 @@ def near_duplicates(
     narrow = df.schema[vector].dataType == ArrayType(FloatType(), True)
     values = F.col(vector) if narrow else F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).alias("key"), values.alias("v"))
-    kind = "float" if narrow else "double"
     good = rows.where(usable("v"))
     nodes = materialize(
         good.groupBy("v")
@@ -146,86 +207,107 @@ def near_duplicates(
     n = nodes.count()
     width, bands = banding(n, threshold, recall, bucket)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column("v")])
+            lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
             for dims in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == dims))
-                codes = band_codes(unit(matrix(part.column("v"), dims)), width, bands, seed)
-                for band in range(bands):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(part.column(c) for c in ("node", "copies", "v")),
-                            pa.array(np.full(len(codes), dims, np.int32)),
-                            pa.array(np.full(len(codes), band, np.int32)),
-                            pa.array(codes[:, band]),
-                        ],
-                        names=["node", "copies", "v", "dims", "band", "code"],
-                    )
-
-    probes = nodes.select("node", "copies", "v").mapInArrow(
-        probe, f"node bigint, copies bigint, v array<{kind}>, dims int, band int, code bigint"
+                codes = Codes.of(unit(matrix(part.column("v"), dims)), width * bands, seed)
+                places = codes.bands(width, bands)
+                ends = np.arange(len(places) + 1, dtype=np.int32) * bands
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("node"),
+                        pa.array(np.full(len(places), dims, np.int32)),
+                        codes.packed(),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(places.ravel())),
+                    ],
+                    names=["node", "dims", "packed", "bands"],
+                )
+
+    stored = materialize(
+        nodes.select("node", "v").mapInArrow(encode, "node bigint, dims int, packed binary, bands array<bigint>")
     )
     place = ["dims", "band", "code"]
-    sizes = (
-        probes.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    keys = stored.select("dims", F.posexplode("bands").alias("band", "code"))
+    large = materialize(
+        keys.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        .select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     # A large bucket is cut into blocks by the node's hash, and each pair of blocks is a task group.
+    blocks = F.coalesce("blocks", F.lit(1))
     dealt = (
-        probes.join(sizes.drop("n"), place)
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        stored.select("node", "dims", "packed", F.posexplode("bands").alias("band", "code"))
+        .join(large, place, "left")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
-            *place, "node", "copies", "v", "block",
+            *place, "node", "packed", "block",
             F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         )
     )
+    groups = [*place, "low", "high"]
 
-    def compare(group: pa.RecordBatch) -> pa.RecordBatch:
-        dims, band = group.column("dims")[0].as_py(), group.column("band")[0].as_py()
-        vectors = unit(matrix(group.column("v"), dims))
-        node, copies, block = (
-            group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "block")
-        )
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    def chosen(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) in a group of the pairs that codes cannot exclude, a block at a time."""
+        dims, band, low, high = (group.column(c)[0].as_py() for c in ("dims", "band", "low", "high"))
+        codes = Codes.unpacked(group.column("packed"), dims)
+        earlier = codes.bands(width, band) if band else None
+        block = group.column("block").to_numpy(zero_copy_only=False)
         left = np.flatnonzero(block == low)
         right = left if low == high else np.flatnonzero(block == high)
-        codes = band_codes(vectors, width, band, seed) if band else None
-        counts = np.zeros(len(node), np.int64)
-        ends = [np.empty((2, 0), np.int64)]
         for s in range(0, len(left), BLOCK):
             for t in range(s if low == high else 0, len(right), BLOCK):
                 one, two = left[s : s + BLOCK], right[t : t + BLOCK]
                 same = low == high and s == t
-                i, j = pairs_within(vectors[one], vectors[two], threshold, sigmas, seed, same)
+                i, j = candidates(codes.at(one), codes.at(two), threshold, sigmas, same)
                 i, j = one[i], two[j]
-                if codes is not None:  # a pair counts in the first band it shares
-                    new = ~(codes[i] == codes[j]).any(1)
+                if earlier is not None:  # a pair belongs to the first band it shares
+                    new = np.ones(len(i), bool)
+                    for b in range(band):
+                        new &= earlier[i, b] != earlier[j, b]
                     i, j = i[new], j[new]
-                np.add.at(counts, i, copies[j])
-                np.add.at(counts, j, copies[i])
-                ends.append(np.stack([node[i], node[j]]))
-        a, b = np.concatenate(ends, axis=1).tolist()
-        roots = union_find(a, b)
-        has = np.flatnonzero(counts)
-        root = [roots[x] for x in node[has].tolist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(node[has]), pa.array(counts[has]), pa.array(root, pa.int64())],
-            names=["node", "links", "root"],
-        )
-
-    groups = [*place, "low", "high"]
+                yield i, j
 
-    def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, groups):
             if group.num_rows > 1:
-                yield compare(group)
+                needed = np.zeros(group.num_rows, bool)
+                for i, j in chosen(group):
+                    needed[i] = needed[j] = True
+                if needed.any():
+                    yield group.filter(pa.array(needed))
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, groups):
+            vectors = unit(matrix(group.column("v"), group.column("dims")[0].as_py()))
+            node, copies = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies"))
+            counts = np.zeros(len(node), np.int64)
+            ends = [np.empty((2, 0), np.int64)]
+            for i, j in chosen(group):
+                close = exactly(vectors, vectors, i, j) >= threshold
+                i, j = i[close], j[close]
+                np.add.at(counts, i, copies[j])
+                np.add.at(counts, j, copies[i])
+                ends.append(np.stack([node[i], node[j]]))
+            a, b = np.concatenate(ends, axis=1).tolist()
+            roots = union_find(a, b)
+            has = np.flatnonzero(counts)
+            root = [roots[x] for x in node[has].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[has]), pa.array(counts[has]), pa.array(root, pa.int64())],
+                names=["node", "links", "root"],
+            )
+
+    layout = "dims int, band int, code bigint, node bigint, packed binary, block int, low int, high int"
+    needed = materialize(
+        dealt.repartition(*groups).sortWithinPartitions(*groups, "node").mapInArrow(search, layout)
+    )
     found = materialize(
-        dealt.repartition(*groups)
+        needed.join(nodes.select("node", "copies", "v"), "node")
+        .repartition(*groups)
         .sortWithinPartitions(*groups, "node")
-        .mapInArrow(compare_sorted, "node bigint, links bigint, root bigint")
+        .mapInArrow(compare, "node bigint, links bigint, root bigint")
     )
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

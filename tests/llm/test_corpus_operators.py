@@ -95,6 +95,49 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked_by_brute_force(vectors):
+    wide = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    close = wide @ wide.T >= 0.95
+    np.fill_diagonal(close, False)
+    group = union_find(*(x.tolist() for x in np.nonzero(close | np.eye(len(wide), dtype=bool))))
+    return [(int(close[at].sum()), group[at], at == group[at]) for at in range(len(wide))]
+
+
+def test_embedding_links_in_one_large_bucket(spark):
+    """More near copies than a block holds, of a length that is no multiple of 8."""
+    rng = np.random.default_rng(14)
+    near = rng.standard_normal(21) + rng.standard_normal((1500, 21)) * 0.16
+    vectors = np.concatenate([near, rng.standard_normal((200, 21))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    # Full recall of buckets: this tests blocks, codes and bounds. Bands are few, so that it is quick.
+    found = {r.vec_id: tuple(r)[1:] for r in embeddings.near_duplicates(df, bucket=2000).collect()}
+    assert [found[k] for k in range(len(vectors))] == linked_by_brute_force(vectors)
+
+
+def test_embedding_extremes(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]),
+            (5, [-1e308, 1e308]), (6, [-1e-308, 1e-308]), (7, [0.0, 1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert found == {**{k: (3, 1) for k in (1, 2, 3, 4)}, 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_codes_are_kept_whole_and_unbiased():
+    rng = np.random.default_rng(15)
+    one = embeddings.unit(rng.standard_normal((40, 50)))
+    other = embeddings.unit(one + 0.1 * rng.standard_normal((40, 50)))
+    true, off, within = one @ other.T, [], []
+    for seed in range(60):
+        a, b = (embeddings.Codes.of(v, 130, seed) for v in (one, other))
+        again = embeddings.Codes.unpacked(b.packed(), 50)
+        assert (again.bands(13, 10) == b.bands(13, 10)).all()
+        estimate, error = a.estimates(again)
+        off.append(estimate - true)
+        within.append(np.abs(estimate - true) <= 3 * error)
+    assert abs(np.mean(off)) < 0.002 and np.abs(np.mean(off, axis=0)).max() < 0.08
+    assert np.mean(within) > 0.99
+
+
 def plain_containment(docs, items, size=5, threshold=0.8):
     def runs(text, widths):
         words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
