@@ -28,6 +28,9 @@ from strata.session import materialize
 BLOCK = 1024
 #: Bits a component of the coarse rotated vector has.
 PLANES = 3
+#: Sign bits that estimates use, as far as ``ROTATIONS`` rotations have them.
+ESTIMATE_BITS = 192
+ROTATIONS = 3
 
 
 @lru_cache(maxsize=16)
@@ -68,31 +71,39 @@ def words(packed: np.ndarray) -> np.ndarray:
 class Codes:
     """Stored codes of vectors of one length: sign bits, bit planes and correction factors.
 
-    ``signs`` are packed bits of at least ``dims`` rotated components, more where the bands need
-    them. ``planes`` hold the first ``dims`` rotated components in steps of ``step`` from ``low``,
-    rounded by a random dither, so that they are right on average. ``factor`` is the inner product
-    of a vector with its code as a unit vector.
+    ``signs`` are the packed sign bits of one rotation after the other, each from a byte of its own;
+    there are as many as the bands need. For each of the first ``used`` rotations, ``planes`` hold
+    the components in steps of ``step`` from ``low``, rounded by a random dither, so that they are
+    right on average, and ``factor`` is the inner product of the vector with its code as a unit
+    vector; estimates are means over these rotations.
     """
 
     def __init__(self, dims: int, signs: np.ndarray, planes: np.ndarray, numbers: np.ndarray):
         self.dims, self.signs, self.planes, self.numbers = dims, signs, planes, numbers
+        self.used = numbers.shape[1] // 3
+
+    @staticmethod
+    def rotations_used(dims: int) -> int:
+        return min(ROTATIONS, ceil(ESTIMATE_BITS / dims))
 
     @classmethod
     def of(cls, vectors: np.ndarray, bits: int, seed: int) -> Codes:
-        """Codes of unit vectors, of ``bits`` sign bits or as many as there are components."""
+        """Codes of unit vectors with at least ``bits`` sign bits."""
         dims = vectors.shape[1]
-        bits = max(bits, dims)
-        rotated = [vectors @ q for q in rotations(dims, bits, seed)]
-        signs = np.packbits(np.concatenate([r > 0 for r in rotated], axis=1)[:, :bits], axis=1, bitorder="little")
-        first = rotated[0]
-        low = first.min(1, keepdims=True)
-        step = np.maximum((first.max(1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-30)
-        dither = np.random.default_rng([seed, dims, 1 << 20]).random(dims)
-        coarse = np.clip(np.floor((first - low) / step + dither), 0, (1 << PLANES) - 1).astype(np.uint8)
-        planes = [np.packbits(coarse >> p & 1, axis=1, bitorder="little") for p in range(PLANES)]
-        factor = np.abs(first).sum(1, keepdims=True) / np.sqrt(dims)
-        numbers = np.concatenate([factor, low, step], axis=1).astype(np.float32)
-        return cls(dims, signs, np.concatenate(planes, axis=1), numbers)
+        used = cls.rotations_used(dims)
+        signs, planes, numbers = [], [], []
+        for k, q in enumerate(rotations(dims, max(bits, used * dims), seed)):
+            rotated = vectors @ q
+            signs.append(np.packbits(rotated > 0, axis=1, bitorder="little"))
+            if k < used:
+                low = rotated.min(1, keepdims=True)
+                step = np.maximum((rotated.max(1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-30)
+                dither = np.random.default_rng([seed, dims, k, 1]).random(dims)
+                coarse = np.clip(np.floor((rotated - low) / step + dither), 0, (1 << PLANES) - 1).astype(np.uint8)
+                planes += [np.packbits(coarse >> p & 1, axis=1, bitorder="little") for p in range(PLANES)]
+                numbers += [np.abs(rotated).sum(1, keepdims=True) / np.sqrt(dims), low, step]
+        stored = np.concatenate(numbers, axis=1).astype(np.float32)
+        return cls(dims, np.concatenate(signs, axis=1), np.concatenate(planes, axis=1), stored)
 
     def packed(self) -> pa.Array:
         """One binary value per vector, all of one length."""
@@ -104,39 +115,45 @@ class Codes:
     @classmethod
     def unpacked(cls, column: pa.Array, dims: int) -> Codes:
         rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-        own = PLANES * ceil(dims / 8)
-        signs, planes, numbers = np.split(rows, [rows.shape[1] - own - 12, rows.shape[1] - 12], axis=1)
-        return cls(dims, signs, planes, np.ascontiguousarray(numbers).view(np.float32))
+        used = cls.rotations_used(dims)
+        numbers = rows.shape[1] - used * 12
+        planes = numbers - used * PLANES * ceil(dims / 8)
+        stored = np.ascontiguousarray(rows[:, numbers:]).view(np.float32)
+        return cls(dims, rows[:, :planes], rows[:, planes:numbers], stored)
 
     def at(self, places: np.ndarray) -> Codes:
         return Codes(self.dims, self.signs[places], self.planes[places], self.numbers[places])
 
     def bands(self, width: int, bands: int) -> np.ndarray:
         """One integer per vector and band: its sign bits, ``width`` at a time."""
-        bits = np.unpackbits(self.signs, axis=1, count=width * bands, bitorder="little")
-        return bits.reshape(len(bits), bands, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+        n = len(self.signs)
+        each = self.signs.reshape(n, -1, ceil(self.dims / 8))
+        bits = np.unpackbits(each, axis=2, count=self.dims, bitorder="little").reshape(n, -1)
+        bits = bits[:, : width * bands].reshape(n, bands, width).astype(np.int64)
+        return bits @ (1 << np.arange(width, dtype=np.int64))
 
     def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the inner products with the others, and their standard errors."""
-        size = ceil(self.dims / 8)
-        own = self.signs[:, :size]
-        if self.dims % 8:  # sign bits of further rotations begin within the last byte
-            own = own.copy()
-            own[:, -1] &= (1 << self.dims % 8) - 1
-        own, dims = words(own), self.dims
-        common = np.zeros((len(own), len(other.planes)))
-        total = np.zeros(len(other.planes))
-        for p in range(PLANES):
-            plane = words(other.planes[:, p * size : (p + 1) * size])
-            for w in range(own.shape[1]):
-                common += np.bitwise_count(own[:, None, w] & plane[None, :, w]) * float(1 << p)
-            total += np.bitwise_count(plane).sum(1) * float(1 << p)
-        ones = np.bitwise_count(own).sum(1).astype(float)
-        _, low, step = other.numbers.T.astype(float)
-        factor = self.numbers[:, :1].astype(float)
-        product = 2 * (ones[:, None] * low + common * step) - (low * dims + total * step)
-        spread = np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, dims - 1)
-        return product / np.sqrt(dims) / factor, np.sqrt(spread + (step / 2 / factor) ** 2)
+        size, dims = ceil(self.dims / 8), self.dims
+        estimate = np.zeros((len(self.signs), len(other.signs)))
+        variance = np.zeros_like(estimate)
+        for k in range(self.used):
+            own = words(self.signs[:, k * size : (k + 1) * size])
+            common, total = np.zeros_like(estimate), np.zeros(len(other.signs))
+            for p in range(PLANES):
+                at = (k * PLANES + p) * size
+                plane = words(other.planes[:, at : at + size])
+                for w in range(own.shape[1]):
+                    common += np.bitwise_count(own[:, None, w] & plane[None, :, w]) * float(1 << p)
+                total += np.bitwise_count(plane).sum(1) * float(1 << p)
+            ones = np.bitwise_count(own).sum(1).astype(float)
+            low, step = other.numbers[:, 3 * k + 1 : 3 * k + 3].T.astype(float)
+            factor = self.numbers[:, 3 * k, None].astype(float)
+            product = 2 * (ones[:, None] * low + common * step) - (low * dims + total * step)
+            estimate += product / np.sqrt(dims) / factor
+            spread = np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, dims - 1)
+            variance += spread + (step / 2 / factor) ** 2
+        return estimate / self.used, np.sqrt(variance) / self.used
 
 
 def candidates(
