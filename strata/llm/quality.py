@@ -87,12 +87,14 @@ class Space:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
+        """Shares of the votes for 1; all that are as close as the last of the neighbours vote."""
         cosine = self.project(terms) @ self.vectors.T
         k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
-        close = np.take_along_axis(cosine, near, 1).astype(np.float64)
-        weight = np.exp(self.sharpness * (close - 1.0)) * self.worth[near]
-        return (weight * self.votes[near]).sum(1) / np.maximum(weight.sum(1), 1e-300)
+        last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k, None]
+        row, near = np.nonzero(cosine >= last)
+        weight = np.exp(self.sharpness * (cosine[row, near].astype(np.float64) - 1.0)) * self.worth[near]
+        total = np.bincount(row, weight, len(cosine))
+        return np.bincount(row, weight * self.votes[near], len(cosine)) / np.maximum(total, 1e-300)
 
 
 def fit(
@@ -130,8 +132,8 @@ def score_quality(
 
     Only rows of ``labels`` with ``train`` (a condition on ``doc_id``) are learned from: at most
     ``per_class`` per class, chosen by hash, their latent vectors of ``width`` numbers broadcast.
-    An id with several texts is learned from with the least of them, an id labelled twice with the
-    greater label. Null and empty texts are scored by their shape alone; rows stay one to one,
+    Neighbours as close as the last of the ``neighbours`` nearest vote too. An id with several texts
+    is learned from with the least of them, an id labelled twice with the greater label. Null and empty texts are scored by their shape alone; rows stay one to one,
     repeated or not; an empty table stays empty.
     Without a usable label every score is 0.5; with one class, that class. A column named as
     ``out`` is replaced.

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -281,3 +282,106 @@ def test_isotonic_is_monotone():
     y = (rng.random(300) < 1 / (1 + np.exp(-2 * raw))).astype(float)
     at, value = toxicity.isotonic(raw, y, np.ones(300))
     assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all()
+
+
+def test_quality_equals_a_plain_vote(spark, documents):
+    rows, labels = classified(spark)
+    train = fold("doc_id", 3) != 1
+    asked = documents(*rows, (None, "the river"), (9000, None), (9001, ""))
+    out = quality.score_quality(asked, labels, train, width=20, neighbours=7)
+    learned = labels.where(train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
+    votes = {r.doc_id: int(r.q) for r in learned.collect() if r.q is not None}
+    texts = dict(rows)
+    known = sorted(k for k in votes if k in texts)
+    terms = np.stack([quality.terms_of(texts[k] or "") for k in known]).astype(float)
+    weights = np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 0.3
+    _, vectors = np.linalg.eigh((terms * weights).T @ (terms * weights))
+    axes = vectors[:, ::-1][:, :20]
+
+    def latent(text):
+        at = (quality.terms_of(text or "") * weights) @ axes
+        return at / np.linalg.norm(at)
+
+    places = [latent(texts[k]) for k in known]
+    for row in out.collect():
+        own = latent(row.text)
+        near = sorted(((float(own @ p), votes[k]) for p, k in zip(places, known, strict=True)), reverse=True)
+        near = [(c, v) for c, v in near if c >= near[6][0] - 1e-6]
+        pull = [np.exp(12.0 * (c - 1)) for c, _ in near]
+        plain = sum(w * v for w, (_, v) in zip(pull, near, strict=True)) / sum(pull)
+        assert abs(row.score - plain) < 2e-3, row.doc_id
+
+
+def test_votes_of_ties_do_not_depend_on_their_order():
+    vectors = np.repeat(np.eye(3, dtype=np.float32), [6, 2, 1], axis=0)
+    votes = np.array([1, 0, 0, 0, 0, 1, 1, 1, 0])
+    for order in (np.arange(9), np.arange(9)[::-1]):
+        space = quality.Space(
+            np.ones(3, np.float32), np.eye(3, dtype=np.float32), vectors[order], votes[order], np.ones(9), 2, 12.0
+        )
+        assert space.score(np.eye(3, dtype=np.float32)[:1]) == pytest.approx([2 / 6])
+
+
+def test_toxicity_equals_a_plain_walk(spark, documents, edges):
+    rows, labels = classified(spark)
+    model = toxicity.train_toxicity(documents(*rows), labels, fold("doc_id", 4) != 2, trees=12)
+    words = toxicity.automaton(model.stems)
+
+    def walk(tree, x, node=0):
+        f = tree.feature[node]
+        return tree.value[node] if f < 0 else walk(tree, x, 2 * node + (2 if x[f] > tree.threshold[node] else 1))
+
+    def calibrated(raw):
+        ends = list(zip(*model.boosted.steps, strict=True))
+        if raw <= ends[0][0]:
+            return ends[0][1]
+        for (a, u), (b, v) in zip(ends, ends[1:], strict=False):
+            if raw <= b:
+                return u + (v - u) * (raw - a) / (b - a)
+        return ends[-1][1]
+
+    for row in toxicity.score_toxicity(edges.unionByName(documents(*rows), True), model).collect():
+        x = toxicity.features_of(row.text or "", words)
+        raw = model.boosted.base + sum(model.boosted.rate * walk(t, x) for t in model.boosted.trees)
+        assert row.score == pytest.approx(calibrated(raw), abs=1e-9)
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(3)
+    x, weight = rng.integers(0, 9, (200, 4)).astype(float), rng.integers(1, 4, 200).astype(float)
+    y = ((x[:, 2] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    tree = toxicity.boost(x, y, weight, 1, depth=1).trees[0]
+    p = np.average(y, weights=weight)
+    g, h = weight * (p - y), weight * p * (1 - p)
+    gains = {}
+    for f in range(4):
+        for cut in sorted(set(x[:, f]))[:-1]:
+            right = x[:, f] > cut
+            if min(h[right].sum(), h[~right].sum()) >= 0.5:
+                gains[f, cut] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (right, ~right))
+    assert (tree.feature[0], tree.threshold[0]) == max(gains, key=gains.get)
+
+
+def test_isotonic_equals_the_minimax_formula():
+    rng = random.Random(5)
+    for _ in range(20):
+        n = rng.randint(1, 25)
+        raw = [rng.randint(0, 12) for _ in range(n)]
+        y, weight = [rng.randint(0, 1) for _ in range(n)], [rng.randint(1, 3) for _ in range(n)]
+        order = sorted(range(n), key=lambda i: raw[i])
+
+        def mean(a, b, order=order, y=y, weight=weight):
+            some = order[a : b + 1]
+            return Fraction(sum(y[i] * weight[i] for i in some), sum(weight[i] for i in some))
+
+        level = [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+        share, steps = mean(0, n - 1), {}
+        for value in sorted(set(level)):
+            some = [order[k] for k in range(n) if level[k] == value]
+            total = sum(weight[i] for i in some)
+            at = Fraction(sum(raw[i] * weight[i] for i in some), total)
+            steps.setdefault(at, (value * total + share) / (total + 1))
+        at, values = toxicity.isotonic(np.array(raw, float), np.array(y, float), np.array(weight, float))
+        assert at == pytest.approx([float(a) for a in sorted(steps)])
+        plain = np.maximum.accumulate([float(steps[a]) for a in sorted(steps)])
+        assert values == pytest.approx(plain)
