@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import row_hash
 from strata.operators.scd2 import (
+    START,
     current_versions,
     scd2_diff,
     scd2_initial,
@@ -144,3 +145,18 @@ def test_dense_keys_of_nothing(frame):
 def test_initial_load_needs_no_single_partition_window(spark, frame):
     loaded = scd2_initial(frame(SCHEMA, ("C001", "UK")), ["customer_id"], ["country"], "sk", DAY1)
     assert "Window" not in loaded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rebuild_leaves_columns_behind(frame):
+    """Only what is kept is numbered and written; versions are those of the whole feed."""
+    rows = [("1", "a", "x", "2026-01-01", 1), ("1", "a", "y", "2026-01-02", 2),
+            ("1", "b", "x", "2026-01-02", 3), ("2", "a", "x", "2026-01-02", 4), ("10", None, "x", "2026-01-02", 5)]
+    feed = frame("id string, kind string, other string, day date, n int", *rows)
+    options = (["id"], ["kind"], "sk", "day", ["n"])
+    whole = scd2_rebuild(feed, *options)
+    narrow = scd2_rebuild(feed.withColumn("id", F.col("id").cast("bigint")), *options, keep=[],
+                          order_by=[START, F.col("id").cast("string")])
+    assert narrow.columns == ["id", START, "effective_end_date", "is_current", "sk"]
+    shown = [F.col("id").cast("string"), START, "effective_end_date", "is_current", "sk"]
+    assert as_rows(narrow, *shown) == as_rows(whole, *shown) and narrow.count() == 4
+    assert scd2_rebuild(feed, *options, keep=["kind"]).columns == ["id", "kind", *narrow.columns[1:], "_row_hash"]

@@ -216,3 +216,20 @@ def test_best_live_interval_against_brute_force(frame):
 
     assert as_rows(run(fact), "invoice_id", "promo_id") == sorted(expected, key=repr)
     assert run(fact.limit(0)).isEmpty()
+
+
+def test_some_fifty_versions_a_key_need_no_timeline(spark):
+    """Each fact is compared with its key's versions; three shuffles of the timeline are saved."""
+    start = F.expr("date_add(DATE'2020-01-01', cast(id AS int))")
+    dim = spark.range(50).select(
+        F.lit("C").alias("customer_id"), F.col("id").alias("customer_sk"),
+        start.alias("effective_start_date"), F.date_add(start, 1).alias("effective_end_date"),
+    )
+    fact = spark.range(100).select(
+        F.col("id").alias("invoice_id"), F.lit("C").alias("customer_id"), start.alias("sale_date")
+    )
+    found = resolve(fact, dim)
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+    assert as_rows(found, "invoice_id", "customer_sk") == sorted(
+        ((i, i if i < 50 else None) for i in range(100)), key=repr
+    )
