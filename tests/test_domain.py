@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import as_rows
 
-from strata.plans import domain
+from strata.plans import domain, registered
 
 
 @pytest.fixture
@@ -49,3 +49,8 @@ def test_keys_as_numbers_give_the_same_history(spark, given):
     as_text = number.withColumn("stock_code", F.col("stock_code").cast("string"))
     assert as_rows(as_text, *shown) == as_rows(text, *shown)
     assert "unit_price" not in number.columns and number.schema["stock_code"].dataType.simpleString() == "bigint"
+
+
+def test_landing_files_grow_with_the_sales():
+    """Two micro-batches have half of the files each, and no file has more than its share of lines."""
+    assert [registered._sales_files(n) for n in (0, 1, 4_000_000, 4_000_001, 216_000_000)] == [2, 2, 2, 4, 108]
