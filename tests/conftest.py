@@ -16,6 +16,17 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_views_left(request):
+    """Temporary views of a test do not show in the listings of the next."""
+    yield
+    if "spark" in request.fixturenames:
+        catalog = request.getfixturevalue("spark").catalog
+        for table in catalog.listTables():
+            if table.isTemporary:
+                catalog.dropTempView(table.name)
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     return Tables(spark, str(tmp_path / "root"))
