@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import as_rows
 
-from strata.plans import domain, registered
+from strata.plans import domain, registered, star
 
 
 @pytest.fixture
@@ -54,3 +54,24 @@ def test_keys_as_numbers_give_the_same_history(spark, given):
 def test_landing_files_grow_with_the_sales():
     """Two micro-batches have half of the files each, and no file has more than its share of lines."""
     assert [registered._sales_files(n) for n in (0, 1, 4_000_000, 4_000_001, 216_000_000)] == [2, 2, 2, 4, 108]
+
+
+def test_an_order_finds_its_customer_before_its_lines(spark, given, frame):
+    """The fact is the same as over sales alone, and its lines are dealt out by no customer."""
+    sold = "customer_id bigint, customer_sk bigint, effective_start_date date, effective_end_date date"
+    customer = frame(sold, (5, 1, "2025-01-01", "2026-01-01"), (5, 2, "2026-01-01", None))
+    made = "stock_code bigint, product_sk bigint, effective_start_date date, effective_end_date date"
+    product = frame(made, (10, 7, "2025-01-01", None))
+    stores = frame("store_id bigint, store_sk bigint", (100, 3), (101, 4))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        early = star.fact_sales(registered._sold(spark, given, customer), customer, product, stores)
+        late = star.fact_sales(domain.sales(spark, given, F.col), customer, product, stores)
+        assert as_rows(early) == as_rows(late)
+        assert as_rows(early, "invoice_id", "stock_code", "customer_sk") == [(1, 10, 2), (1, 9, 2)]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (early, late)]
+        by_order, by_customer = "Exchange hashpartitioning(l_orderkey", "Exchange hashpartitioning(customer_id"
+        assert [p.index(by_customer) > p.index(by_order) for p in plans] == [True, False]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
