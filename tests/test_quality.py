@@ -142,3 +142,13 @@ def test_quarantine_report(invoices):
     assert as_rows(quarantine_report(rejected, "sales")) == [
         ("sales", "non_negative(quantity)", 1), ("sales", "not_null(stock_code)", 1),
     ]
+
+
+def test_flags_stay_inside_codegen(frame):
+    """Labels come from joined arrays; a lambda over an array of all labels would be interpreted."""
+    rules = [R.build({"type": "not_null", "column": c}) for c in ("a", "b", "a")]
+    flagged = validate(frame("a int, b int", (1, 1), (None, 1), (None, None)), rules).flagged
+    assert sorted(r[FAILED] for r in flagged.collect()) == [
+        [], ["not_null(a)", "not_null(a)"], ["not_null(a)", "not_null(b)", "not_null(a)"],
+    ]
+    assert "lambda" not in flagged._jdf.queryExecution().executedPlan().toString()
