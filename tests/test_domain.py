@@ -75,3 +75,41 @@ def test_an_order_finds_its_customer_before_its_lines(spark, given, frame):
         assert [p.index(by_customer) > p.index(by_order) for p in plans] == [True, False]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("on_stock_code", [True, False])
+def test_sales_and_returns_share_one_shuffle_of_the_lines(spark, frame, tmp_path, on_stock_code):
+    """Lines without an order or a part and lines that come twice are returned as from lines of their own."""
+    schema = (
+        "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date"
+    )
+    lines = [
+        (1, 1, 10, 100, 2.0, 8.0, "R", "F", "2026-01-01"), (1, 1, 10, 100, 2.0, 8.0, "R", "F", "2026-01-01"),
+        (1, 2, 9, 101, 1.0, 5.0, "R", "F", "2026-01-02"), (1, 2, 9, 101, 1.0, 5.0, "N", "F", "2026-01-03"),
+        (2, 1, None, 101, 3.0, 5.0, "R", "F", "2026-01-03"), (7, 1, 9, 101, 4.0, 4.0, "R", "F", "2026-01-03"),
+        (None, 1, 9, 101, 5.0, 4.0, "R", "F", "2026-01-03"), (None, 1, 9, 101, 6.0, 4.0, "R", "F", "2026-01-02"),
+    ]
+    frame(schema, *lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 5, "2026-01-01"), (2, 6, "2026-01-02")]
+    frame("o_orderkey bigint, o_custkey bigint, o_orderdate date", *orders).write.parquet(f"{tmp_path}/orders.parquet")
+    folder, before = str(tmp_path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, plans = [], []
+        for shared in (None, domain.lines_by_order(spark, folder)):
+            sold = domain.sales(spark, folder, F.col, None, shared).withColumnsRenamed(
+                {"customer_id": "customer_sk", "store_id": "product_sk"}
+            )
+            back = star.fact_returns(domain.returns(spark, folder, F.col, shared), sold, on_stock_code)
+            found.append(as_rows(back))
+            back.collect()
+            plans.append(back._jdf.queryExecution().executedPlan().toString())
+        assert found[1] == found[0]
+        assert sorted((r[1:] for r in found[1]), key=str) == sorted(
+            [(1, 5, 100, 2), (2, *((None, None) if on_stock_code else (6, 101)), 3), (7, None, None, 4),
+             (None, None, None, 5)], key=str,
+        )
+        assert ["ReusedExchange" in p for p in plans] == [False, True]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
