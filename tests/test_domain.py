@@ -113,3 +113,43 @@ def test_sales_and_returns_share_one_shuffle_of_the_lines(spark, frame, tmp_path
         assert ["ReusedExchange" in p for p in plans] == [False, True]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sales_leave_behind_what_nobody_reads(spark, frame, tmp_path):
+    """What is kept is that of the whole rows, whichever column breaks a tie; the rest is not shuffled."""
+    lines = [
+        (1, 10, 100, 1, 2.0, 8.0, "2026-01-02"), (1, 10, 101, 2, 3.0, 6.0, "2026-01-02"),
+        (1, 10, 101, 3, 1.0, 5.0, "2026-01-02"), (1, 10, 102, 9, 9.0, 9.0, "2026-01-01"),
+        (1, 9, None, 1, 1.0, 4.0, "2026-01-02"), (1, 9, None, 1, None, 5.0, "2026-01-02"),
+        (2, 9, 7, 1, 2.0, 4.0, None), (2, 9, 7, 1, 2.0, 3.0, None), (2, None, 8, 1, 2.0, 3.0, "2026-01-02"),
+        (2, None, 8, 2, 4.0, 3.0, "2026-01-02"), (None, 9, 7, 1, 2.0, 4.0, "2026-01-02"), (3, 9, 7, 1, 2.0, 4.0, None),
+    ]
+    schema = (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_shipdate date"
+    )
+    frame(schema, *lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 5, "2026-01-01"), (2, None, "2026-01-02"), (2, 6, None)]
+    frame("o_orderkey bigint, o_custkey bigint, o_orderdate date", *orders).write.parquet(f"{tmp_path}/orders.parquet")
+    whole = domain.sales(spark, str(tmp_path), F.col)
+    for last in ("invoice_id", "store_id", "quantity", "unit_price"):
+        kept = ["sale_date", "stock_code", "invoice_id", *([] if last == "invoice_id" else [last])]
+        narrow = domain.sales(spark, str(tmp_path), F.col, keep=kept)
+        assert narrow.columns == kept and narrow.count() == 6
+        assert as_rows(narrow, *kept) == as_rows(whole, *kept)
+    bare = domain.sales(spark, str(tmp_path), F.col, keep=("invoice_id", "stock_code", "sale_date"))
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(c in plan.split("Repartition")[0] for c in ("l_suppkey", "l_linenumber", "l_extendedprice"))
+
+
+def test_promotions_shuffle_only_what_they_read(monkeypatch, spark):
+    asked = []
+
+    def noted(spark, folder, *more, **options):
+        asked.append(options.get("keep"))
+        raise InterruptedError
+
+    monkeypatch.setattr(domain, "sales", noted)
+    with pytest.raises(InterruptedError):
+        registered.promotions_at_sale(spark, "nowhere")
+    assert asked == [("invoice_id", "stock_code", "sale_date")]
