@@ -2,7 +2,8 @@ import datetime as dt
 
 from rows import as_rows
 
-from strata.operators.dedup import dedup_latest
+from strata.operators import dedup
+from strata.operators.dedup import dedup_latest, dedup_mostly_unique
 from strata.operators.incremental import read_incremental, unprocessed_batches
 
 
@@ -42,6 +43,24 @@ def test_a_hot_key_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_only_rows_of_repeated_keys_are_shuffled(frame, monkeypatch):
+    """The same rows as ``dedup_latest``, NULL keys too, with few and with many repeated keys."""
+    df = frame(
+        "k string, part int, v bigint, ts string",
+        ("a", 1, 5, "10"), ("a", 1, 7, "14"), ("a", 2, 1, "10"), ("b", None, 2, "10"), ("b", None, 3, "10"),
+        (None, None, 4, "10"), (None, None, 4, "10"), (None, 1, 6, None), ("c", 1, 8, "10"), ("c", 1, 9, None),
+    )
+    key, whole = ["k", "part"], as_rows(dedup_latest(df, ["k", "part"], ["ts"]))
+    for few in (dedup.FEW_REPEATED, 0):
+        monkeypatch.setattr(dedup, "FEW_REPEATED", few)
+        kept, rows = dedup_mostly_unique(df, key, ["ts"])
+        assert rows == 10 and kept.columns == df.columns and as_rows(kept) == whole
+    unique, rows = dedup_mostly_unique(df.where("k = 'a' AND v <> 5"), key, ["ts"])
+    assert rows == 2 and "Exchange" not in unique._jdf.queryExecution().executedPlan().toString()
+    empty, rows = dedup_mostly_unique(df.where("k = 'z'"), key, ["ts"])
+    assert rows == 0 and as_rows(empty) == []
+
+
 def test_watermark(frame):
     source = frame(
         "id int, _ingest_date date", (1, "2026-01-01"), (2, "2026-01-02"), (3, "2026-01-03")

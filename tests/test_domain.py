@@ -153,3 +153,58 @@ def test_promotions_shuffle_only_what_they_read(monkeypatch, spark):
     with pytest.raises(InterruptedError):
         registered.promotions_at_sale(spark, "nowhere")
     assert asked == [("invoice_id", "stock_code", "sale_date")]
+
+
+def test_sales_find_their_region_before_their_lines(spark, frame, tmp_path):
+    """Lines are dealt out by no customer; rows are those of a join with the sales, repeated and NULL keys too."""
+    lines = [(o, p, 100 + p, p, 2.0, 8.0, "R", "F", f"2026-01-0{p}") for o in (1, 2, 3, 4) for p in (1, 2)]
+    lines += [(1, 1, 101, 1, 2.0, 8.0, "N", "O", "2026-01-05"), (None, 1, 101, 1, 2.0, 8.0, "R", "O", "2026-01-05")]
+    tables = {
+        "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                     "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date", lines),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string, o_orderdate date",
+                   [(1, 5, "F", "1", "2026-01-01"), (2, 6, "O", "1", "2026-01-02"), (3, None, "O", "2", "2026-01-02"),
+                    (4, 7, "F", "1", "2026-01-03")]),
+        "customer": ("c_custkey bigint, c_nationkey int", [(5, 1), (5, 2), (6, None), (7, 3), (None, 1)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "A", 1), (2, "B", 2), (3, "C", 9)]),
+        "region": ("r_regionkey int, r_name string", [(1, "EUROPE"), (2, "MIDDLE EAST")]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int", [(101, "S", 1)]),
+        "part": ("p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double", [(1, "P", "B", 1, 2.0)]),
+    }
+    for name, (schema, rows) in tables.items():
+        frame(schema, *rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        landed = registered._retail_landing(spark, folder)["sales"]
+        countries = {"5": ("MIDDLE EAST", "United Kingdom")}
+        expected = [
+            (r.invoice_id, r.stock_code, r.customer_id, c)
+            for r in domain.sales(spark, folder).collect() for c in countries.get(r.customer_id, (None,))
+        ]
+        assert as_rows(landed, "invoice_id", "stock_code", "customer_id", "country") == sorted(expected, key=repr)
+        joins = landed._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1:]
+        assert joins[0].startswith("Inner, (l_orderkey") and joins[1].startswith("LeftOuter, (customer_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shipments_and_returns_share_their_latest_lines(monkeypatch, spark, frame, tmp_path):
+    """All landing files are those of the frames one by one, and the latest lines are looked for once."""
+    asked, found = [], domain.latest_lines
+    rows = [(1, 1, 101, 1, 2.0, 8.0, "R", "F", "2026-01-01"), (1, 1, 101, 1, 3.0, 8.0, "N", "O", "2026-01-05"),
+            (None, 1, 101, 1, 2.0, 8.0, "R", "O", "2026-01-05"), (2, 2, 101, 1, 1.0, 8.0, "R", "O", None)]
+    frame("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+          "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date", *rows
+          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    folder = str(tmp_path)
+    alone = [as_rows(f(spark, folder)) for f in (domain.shipping, domain.returns)]
+    monkeypatch.setattr(domain, "latest_lines", lambda *a: asked.append(a) or found(*a))
+    landed = {}
+    monkeypatch.setattr(registered, "_retail_landing", lambda s, f, latest: {
+        "shipping": domain.shipping(s, f, latest), "returns": domain.returns(s, f, latest=latest)})
+    monkeypatch.setattr(registered, "export_landing", lambda df, path: landed.update({path: as_rows(df)}))
+    registered._land_retail(spark, folder, "landing")
+    assert [landed["landing/shipping"], landed["landing/returns"]] == alone and len(alone[1]) == 2
+    assert len(asked) == 1

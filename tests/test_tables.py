@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -6,8 +7,9 @@ import pytest
 from rows import as_rows
 from pyspark.sql import functions as F
 
-from strata.session import materialize, release
+from strata.session import FREE_SHUFFLES, materialize, release, shuffles_freed
 from strata.sources.catalog import CatalogTables
+from strata.sources.landing import CORRUPT, export_landing, read_landing
 from strata.sources.tables import touched_directories
 
 SCHEMA = "k string, v int, day date"
@@ -181,3 +183,40 @@ def test_directories_of_rows_need_no_pattern(frame, tables):
         shown = {unquote(r[0]) for r in found.select("_directory").distinct().collect()}
         assert shown == set(tables.published("silver", name).dirs)
         assert found.count() == 6
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_a_step_leaves_no_shuffle_files_behind(spark, tmp_path):
+    """They go when the step ends, not with the driver's garbage; afterwards Spark's setting is as before."""
+    shuffled, before = spark.range(1000).repartition("id"), _shuffle_files(spark)
+    with shuffles_freed(spark):
+        with shuffles_freed(spark):
+            shuffled.write.parquet(f"{tmp_path}/inner")
+        shuffled.write.parquet(f"{tmp_path}/outer")
+        export_landing(shuffled, f"{tmp_path}/landing")
+        assert spark.conf.get(FREE_SHUFFLES) == "true"
+    assert spark.conf.get(FREE_SHUFFLES, None) in (None, "false")
+    for _ in range(50):  # files are deleted in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.read.parquet(f"{tmp_path}/inner", f"{tmp_path}/outer").count() == 2000
+
+
+def test_files_are_compressed(spark, tables, tmp_path):
+    """Landing files and tables take a part of the disk that plain CSV and Spark's default take."""
+    rows = spark.range(5000).selectExpr("id", "cast(id % 7 as string) AS v", "CAST(NULL AS string) AS n").coalesce(1)
+    export_landing(rows, f"{tmp_path}/landing")
+    landed = [f for f in (tmp_path / "landing").iterdir() if f.name.startswith("part-")]
+    assert landed and all(f.name.endswith(".csv.gz") for f in landed)
+    back = read_landing(spark, f"{tmp_path}/landing", rows.schema).drop(CORRUPT)
+    assert as_rows(back) == as_rows(rows)
+    tables.write(rows, "silver", "t")
+    stored = list(Path(tables.root).rglob("part-*"))
+    assert stored and all(f.name.endswith(".zstd.parquet") for f in stored)
+    assert as_rows(tables.read("silver", "t")) == as_rows(rows)
